@@ -9,7 +9,7 @@ labels have one ``toxic`` column only, ``derived_categories`` makes two earlier
 rows with several different strong terms (``varied``), and those in which they are a large share of
 all words (``dense``); strong terms are those that the labels themselves tell apart.
 
-Features are words and their beginnings of 3 to 6 letters, hashed; the fit keeps the
+Features are words and their beginnings of 3 to 6 letters, hashed, once more where they are frequent; the fit keeps the
 ``MOST_FEATURES`` that depend most on the verdict. Languages, sources and ids are never features.
 
 Labelled rows are fitted on a sample of at most ``SAMPLE`` rows, chosen by a hash of the id, on the
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,6 +38,8 @@ MOST_FEATURES = 4_000
 FOLDS = 5
 DIMENSIONS = 1 << 22
 BEGINNINGS = (3, 4, 5, 6)
+#: A feature counts anew when it is there so many times.
+LEVELS = (1, 2, 4)
 THRESHOLD = 0.5
 #: A feature counts if at least so many sampled rows have it.
 LEAST_ROWS = 3
@@ -50,12 +53,22 @@ def word_features(word: str) -> list[int]:
     return [h % DIMENSIONS for h in made]
 
 
+def often(feature: int, level: int) -> int:
+    """The number that stands for a feature found at least LEVELS[level] times."""
+    return feature if not level else (feature * 0x9E3779B1 + level * 0x85EBCA77) % DIMENSIONS
+
+
+def leveled(counts: Counter) -> set[int]:
+    return {often(f, k) for f, n in counts.items() for k, least in enumerate(LEVELS) if n >= least}
+
+
 def features(text: str | None) -> np.ndarray:
     """Sorted distinct feature numbers of one text."""
-    found: set[int] = set()
-    for word in set(WORDS((text or "").lower())):
-        found.update(word_features(word))
-    return np.array(sorted(found), dtype=np.int32)
+    counts: Counter = Counter()
+    for word, n in Counter(WORDS((text or "").lower())).items():
+        for f in word_features(word):
+            counts[f] += n
+    return np.array(sorted(leveled(counts)), dtype=np.int32)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -94,7 +107,7 @@ class Linear:
         return sigmoid(rows.times(self.sparse) + dense @ self.dense + self.bias)
 
 
-def fit_linear(rows: Rows, dense: np.ndarray, y: np.ndarray, steps: int = 250, decay: float = 0.02) -> Linear:
+def fit_linear(rows: Rows, dense: np.ndarray, y: np.ndarray, steps: int = 250, decay: float = 0.0005) -> Linear:
     """Weighted logistic regression by Adam on all rows; both classes weigh the same."""
     n = len(y)
     if n == 0 or y.min() == y.max():
@@ -106,7 +119,7 @@ def fit_linear(rows: Rows, dense: np.ndarray, y: np.ndarray, steps: int = 250, d
     for step in range(1, steps + 1):
         error = weight * (sigmoid(rows.times(theta[: rows.shape[1]]) + dense @ theta[rows.shape[1] : -1] + theta[-1]) - y)
         grad = np.concatenate([rows.transposed_times(error), dense.T @ error, [error.sum()]]) / n
-        grad[:-1] += decay * theta[:-1] / 10
+        grad[:-1] += decay * theta[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Linear(theta[: rows.shape[1]], theta[rows.shape[1] : -1], float(theta[-1]))
@@ -220,18 +233,23 @@ def score_udf(chain: Chain):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         number = {f: k for k, f in enumerate(chosen)}
         known: dict[str, tuple[int, ...]] = {}
+
+        def useful(word: str) -> tuple[int, ...]:
+            return tuple(f for f in word_features(word) if any(often(f, k) in number for k in range(len(LEVELS))))
+
         for texts in batches:
             row, column = [], []
             for k, text in enumerate(texts):
-                found: set[int] = set()
-                for word in set(WORDS((text or "").lower())):
+                counts: Counter = Counter()
+                for word, n in Counter(WORDS((text or "").lower())).items():
                     mine = known.get(word)
                     if mine is None:
-                        mine = known[word] = tuple(number[f] for f in word_features(word) if f in number)
-                    if mine:
-                        found.update(mine)
+                        mine = known[word] = useful(word)
+                    for f in mine:
+                        counts[f] += n
+                found = sorted(number[f] for f in leveled(counts) if f in number)
                 row += [k] * len(found)
-                column += sorted(found)
+                column += found
                 if len(known) > KNOWN_WORDS:
                     known.clear()
             rows = Rows(np.array(row, dtype=np.int64), np.array(column, dtype=np.int64), (len(texts), len(chosen)))
