@@ -1,0 +1,42 @@
+import os
+
+import pytest
+
+import corpus_pipeline
+from strandloom.llm import decontaminate as dc
+from strandloom.llm import queries, simhash
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_stages_in_turn(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash near-dedup", "benchmark decontamination", "secret scans", "best-fit packing"]
+    seen = [docs.count()]
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    known = dc.prepare([(r["item_id"], r["text"]) for r in items])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, SF)
+        docs = docs.persist()
+        assert docs.columns == columns, name
+        seen.append(docs.count())
+        if name == "simhash near-dedup":
+            prints = [simhash.fingerprint(r["text"]) & (1 << 64) - 1 for r in docs.collect()]
+            assert not any((a ^ b).bit_count() <= simhash.TAU for i, a in enumerate(prints) for b in prints[:i])
+        if name == "benchmark decontamination":
+            assert not dc.matches([r["text"] for r in docs.collect()], known)
+        if name == "secret scans":
+            assert docs.count() == before.count()
+            assert all(r["n_chars"] == len(r["text"]) for r in docs.collect())
+            assert not docs.where("text like '%AKIA%'").count()
+    assert seen == sorted(seen, reverse=True) and seen[-1] > seen[0] // 2
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.select("doc_id").distinct().count() == seen[-1]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_queries_run(spark, name):
+    assert queries.QUERIES[name](spark, SF).count() > 0
