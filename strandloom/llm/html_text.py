@@ -11,9 +11,9 @@ with the host's name), so markup that says what it is counts as well: ``nav``, `
 ``footer``, ``form``, scripts, styles, elements whose class, id or role name a menu, advert, notice
 or reader comments; and where a page has an ``article`` or ``main``, what stands outside it.
 
-All pages are read once. The pairing is a range sort of (host, path, row) over the whole cluster, so
+The pages are parsed twice, which is cheaper than keeping their lines. The pairing is a range sort of (host, path, row) over the whole cluster, so
 a host with a third of all pages is split like any other; a pair over a partition's edge is made
-from one row a partition. Only hashes of lines move. Null and empty pages have an empty text; null
+from one row a partition. The pairing moves hashes of lines only; texts move once, to their template. Null and empty pages have an empty text; null
 urls are a host of their own; repeated urls are each other's neighbours.
 """
 
@@ -147,18 +147,24 @@ def shared(mine: list[int], other: list[int]) -> list[int]:
 
 
 _LINES = T.ArrayType(
-    T.StructType([T.StructField("line", T.StringType()), T.StructField("main", T.BooleanType()), T.StructField("dropped", T.BooleanType()), T.StructField("hash", T.LongType())])
+    T.StructType([T.StructField("line", T.StringType()), T.StructField("main", T.BooleanType()), T.StructField("dropped", T.BooleanType())])
 )
 
 
 @F.pandas_udf(_LINES)
 def _lines_column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for pages in batches:
-        yield pd.Series([[{"line": a, "main": b, "dropped": c, "hash": line_hash(a)} for a, b, c in lines_of(p)] for p in pages])
+        yield pd.Series([[{"line": a, "main": b, "dropped": c} for a, b, c in lines_of(p)] for p in pages])
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _hashes_column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for pages in batches:
+        yield pd.Series([[line_hash(a) for a, _, _ in lines_of(p)] for p in pages])
 
 
 _KEYS = T.StructType(
-    [T.StructField(c, T.LongType()) for c in ("pid", "row", "before", "after")] + [T.StructField(c, T.StringType()) for c in ("host", "path", "path_before", "path_after")]
+    [T.StructField("pid", T.LongType())] + [T.StructField(c, T.StringType()) for c in ("row", "before", "after", "host", "path", "path_before", "path_after")]
 )
 
 
@@ -170,7 +176,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows)) if rows else [()] * 8
-        kinds = [pa.int64()] * 4 + [pa.string()] * 4
+        kinds = [pa.int64()] + [pa.string()] * 7
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_KEYS.names)
 
     before = now = None
@@ -203,19 +209,24 @@ def _common(a: pd.Series, b: pd.Series) -> list[int]:
     return out
 
 
-@F.pandas_udf(T.LongType())
+@F.pandas_udf(T.StringType())
 def _nearer(path: pd.Series, before: pd.Series, path_before: pd.Series, after: pd.Series, path_after: pd.Series) -> pd.Series:
     first = np.array(_common(path, path_before)) >= np.array(_common(path, path_after))
-    return before.astype("Int64").where(pd.Series(first), after.astype("Int64"))
+    return before.where(pd.Series(first, index=before.index), after)
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _template(mine: pd.Series, other: pd.Series) -> pd.Series:
-    return pd.Series([shared([int(x) for x in a], [int(x) for x in b]) for a, b in zip(mine, other)])
+    """Shared places; none where all are: a page's copy tells nothing about its template."""
+    out = []
+    for a, b in zip(mine, other):
+        places = shared([int(x) for x in a], [int(x) for x in b])
+        out.append([] if len(places) == len(a) else places)
+    return pd.Series(out)
 
 
 def partners(keys: DataFrame) -> DataFrame:
-    """(row, partner) for every row of ``keys`` (host, path, row) whose host has another."""
+    """(row, partner) for every row of ``keys`` (host, path, row; distinct) whose host has another."""
     spark = keys.sparkSession
     ordered = keys.repartitionByRange(shuffle_partitions(spark), "host", "path", "row").sortWithinPartitions("host", "path", "row")
     near = cut(ordered.select("host", "path", "row").mapInArrow(_neighbours, _KEYS))
@@ -228,7 +239,7 @@ def partners(keys: DataFrame) -> DataFrame:
         if a["last"]["host"] == b["first"]["host"]:
             edges.append((a["last"]["row"], None, None, b["first"]["row"], b["first"]["path"]))
             edges.append((b["first"]["row"], a["last"]["row"], a["last"]["path"], None, None))
-    over = spark.createDataFrame(edges, "row long, b long, pb string, a long, pa string").groupBy("row").agg(*[F.max(c).alias(c) for c in ("b", "pb", "a", "pa")])
+    over = spark.createDataFrame(edges, "row string, b string, pb string, a string, pa string").groupBy("row").agg(*[F.max(c).alias(c) for c in ("b", "pb", "a", "pa")])
     joined = near.join(F.broadcast(over), "row", "left")
     pairs = joined.select(
         "row",
@@ -240,31 +251,29 @@ def partners(keys: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, url_column: str = "url", html_column: str = "html", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``pages`` (all but the html by default) with ``text``, the main text."""
+    """The columns ``keep`` of ``pages`` (all but the html by default) with ``text``, the main text, and
+    ``n_shared``, the number of its lines that its neighbour has too.
+
+    A page is known by a digest of its url and html, so equal rows are one page in the pairing.
+    """
     keep = [c for c in pages.columns if c != html_column] if keep is None else keep
-    keep = [c for c in keep if c.lower() != "text"]
-    row, host, path, lines = (free_name(pages, x) for x in ("row", "host", "path", "lines"))
+    keep = [c for c in keep if c.lower() not in ("text", "n_shared")]
+    key, lines, common = (free_name(pages, x) for x in ("key", "lines", "common"))
     url = F.coalesce(F.col(url_column).cast("string"), F.lit(""))
-    table = cut(
-        pages.select(
-            *keep,
-            F.monotonically_increasing_id().alias(row),
-            host_of(url).alias(host),
-            path_of(url).alias(path),
-            _lines_column(F.col(html_column).cast("string")).alias(lines),
-        )
-    )
+    page = F.coalesce(F.col(html_column).cast("string"), F.lit(""))
+    digest = F.md5(F.concat(url, F.lit("\x00"), page))
+    hashed = pages.select(digest.alias("row"), host_of(url).alias("host"), path_of(url).alias("path"), _hashes_column(page).alias("hashes"))
+    known = cut(hashed.groupBy("row").agg(*[F.first(c).alias(c) for c in ("host", "path", "hashes")]))
+    pairs = partners(known.select("host", "path", "row"))
+    other = known.select(F.col("row").alias("partner"), F.col("hashes").alias("others"))
+    template = pairs.join(known.select("row", "hashes"), "row").join(other, "partner")
+    template = template.select(F.col("row").alias(key), _template("hashes", "others").alias(common))
+    joined = pages.select(*keep, digest.alias(key), _lines_column(page).alias(lines)).join(template, key, "left")
     has_main = F.exists(lines, lambda x: x["main"] & ~x["dropped"])
-    pairs = partners(table.select(F.col(host).alias("host"), F.col(path).alias("path"), F.col(row).alias("row")))
-    hashes = table.select(F.col(row).alias("row"), F.col(f"{lines}.hash").alias("hashes"), (~has_main).alias("open"))
-    other = hashes.select(F.col("row").alias("partner"), F.col("hashes").alias("others"))
-    common = pairs.join(hashes, "row").join(other, "partner").select("row", "open", _template("hashes", "others").alias("common"))
-    template = common.where("open").select(F.col("row").alias(row), F.col("common").alias("__common"))
-    # Lines outside an article of a page that has one go by their markup, shared or not.
-    closed = table.where(has_main).select(*keep, _joined_lines(F.filter(lines, lambda x: x["main"] & ~x["dropped"])).alias("text"))
-    rest = table.where(~has_main).join(template, row, "left")
-    kept = F.filter(lines, lambda x, k: ~x["dropped"] & ~F.array_contains(F.coalesce("__common", F.array().cast("array<int>")), k.cast("int")))
-    return closed.unionByName(rest.select(*keep, _joined_lines(kept).alias("text")))
+    shared_lines = F.coalesce(F.col(common), F.array().cast("array<int>"))
+    # Lines outside the article of a page that has one go by their markup, shared or not; inside it none goes for being shared.
+    kept = F.filter(lines, lambda x, k: ~x["dropped"] & (x["main"] | ~has_main & ~F.array_contains(shared_lines, k.cast("int"))))
+    return joined.select(*keep, _joined_lines(kept).alias("text"), F.size(shared_lines).cast("long").alias("n_shared"))
 
 
 def _joined_lines(lines) -> F.Column:

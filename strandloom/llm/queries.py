@@ -63,7 +63,7 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract(table(spark, sf_dir, "pages"))
-    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,14 +70,21 @@ def test_differencing_without_markup(spark):
         return f"<div>Site name</div><div>Home</div><p>{body}</p><div>All rights</div>"
 
     rows = [(k, f"http://a.com/x/{k}", page(f"body {k}")) for k in range(4)] + [(9, "http://b.com/x/1", page("alone"))]
-    got = {r["page_id"]: r["text"] for r in h.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    table = h.extract(spark.createDataFrame(rows, PAGES)).collect()
+    got = {r["page_id"]: r["text"] for r in table}
+    assert {r["page_id"]: r["n_shared"] for r in table} == {0: 3, 1: 3, 2: 3, 3: 3, 9: 0}
     assert got == {**{k: f"body {k}" for k in range(4)}, 9: "Site name Home alone All rights"}
 
 
+def test_a_copy_is_no_template(spark):
+    rows = [(k, f"http://a.com/{k}", "<p>one</p><p>two</p>") for k in range(3)]
+    assert {r["text"] for r in h.extract(spark.createDataFrame(rows, PAGES)).collect()} == {"one two"}
+
+
 def test_pairs_are_the_nearest_in_order(spark):
     rnd = random.Random(2)
-    rows = [(f"h{rnd.randrange(3)}", f"/{rnd.choice('ab')}/{rnd.randrange(30)}", k) for k in range(60)] + [("single", "/", 99)]
-    got = {r["row"]: r["partner"] for r in h.partners(spark.createDataFrame(rows, "host string, path string, row long")).collect()}
+    rows = [(f"h{rnd.randrange(3)}", f"/{rnd.choice('ab')}/{rnd.randrange(30)}", f"r{k:02}") for k in range(60)] + [("single", "/", "r99")]
+    got = {r["row"]: r["partner"] for r in h.partners(spark.createDataFrame(rows, "host string, path string, row string")).collect()}
     order = sorted(rows)
 
     def common(a, b):
