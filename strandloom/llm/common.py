@@ -32,7 +32,16 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_at = path
+    return table
+
+
+def release(table: DataFrame) -> None:
+    """Delete a table that ``cut`` wrote, once nothing reads it any more."""
+    jvm = table.sparkSession._jvm
+    at = jvm.org.apache.hadoop.fs.Path(table._cut_at)
+    at.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

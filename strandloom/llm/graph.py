@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 #: Rounds halve the depth of every tree at least, so this covers any graph that fits a cluster.
 MAX_ROUNDS = 60
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     )
     seen = None
     for _ in range(MAX_ROUNDS):
-        stars = cut(_small_star(_large_star(stars).distinct()).distinct())
+        before, stars = stars, cut(_small_star(_large_star(stars).distinct()).distinct())
+        release(before)
         now = stars.agg(
             F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
         ).first()
