@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import json
 import re
-from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Parts of a text whose ids a worker keeps; beyond that it starts anew.
@@ -148,56 +149,78 @@ class WordBPE:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn_words(self, words: list[str]) -> None:
-        raw = sorted(((len(b := w.encode()), w, b) for w in words), key=lambda x: x[0])
-        for width, group in groupby(raw, key=lambda x: min(LONGEST + 1, 1 << max(2, (x[0] - 1).bit_length()))):
-            group = list(group)
+        by_width: dict[int, tuple[list[str], list[bytes]]] = {}
+        for word in words:
+            raw = word.encode()
+            width = min(LONGEST + 1, 1 << max(2, (len(raw) - 1).bit_length()))
+            names, raws = by_width.setdefault(width, ([], []))
+            names.append(word)
+            raws.append(raw)
+        for width, (names, raws) in by_width.items():
             if width > LONGEST:
-                self.words.update((w, self._encode(w)) for _, w, _ in group)
+                self.words.update((w, self._encode(w)) for w in names)
                 continue
-            sizes = np.array([n for n, _, _ in group])
-            flat = np.frombuffer(b"".join(b for _, _, b in group), dtype=np.uint8)
+            sizes = np.array(list(map(len, raws)))
+            flat = np.frombuffer(b"".join(raws), dtype=np.uint8)
             inside = np.arange(width) < sizes[:, None]
             symbols = np.full(inside.shape, -1, dtype=np.int32)
             symbols[inside] = self.first[flat]
-            symbols[np.arange(len(group)), sizes - 1] = self.last[flat[np.cumsum(sizes) - 1]]
+            symbols[np.arange(len(names)), sizes - 1] = self.last[flat[np.cumsum(sizes) - 1]]
             symbols = self._merge(symbols)
             kept = symbols >= 0
-            ids, ends = symbols[kept].astype("<u4").tobytes(), 4 * np.cumsum(kept.sum(axis=1))
-            at = 0
-            for (_, w, _), end in zip(group, ends.tolist()):
-                self.words[w] = ids[at:end]
-                at = end
+            ids, ends = symbols[kept].astype("<u4").tobytes(), (4 * np.cumsum(kept.sum(axis=1))).tolist()
+            self.words.update(zip(names, [ids[a:b] for a, b in zip([0, *ends], ends)]))
 
     def _learn(self, parts: list[str]) -> None:
+        """Parts are a word, a word and one mark, or anything else; only that is split by the pattern."""
         if not self.plain:
             made = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
             self.known.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(parts, made))
             return
-        odd = [p for p in parts if PLAIN.search(p)]
-        self.known.update((p, self._encode(p)) for p in odd)
-        if odd:
-            parts = [p for p in parts if p not in self.known]
-        found = self.split("\n".join(parts).lower() + "\n")
-        new = set(found)
+        words: list[str] = []
+        marked: list[str] = []
+        other: list[str] = []
+        for p in parts:
+            (words if p.isalpha() else marked if p[:-1].isalpha() else other).append(p)
+        lower = [w.lower() for w in words]
+        heads, marks = [p[:-1].lower() for p in marked], [p[-1] for p in marked]
+        found = self.split("\n".join(other).lower() + "\n")
+        new = {*lower, *heads, *marks, *found}
         new.discard("\n")
         if len(self.words) > KNOWN_PARTS:
             self.words.clear()
         self._learn_words([w for w in new if w not in self.words])
-        words, known, start = self.words, self.known, 0
-        for p in parts:
+        get, known = self.words.__getitem__, self.known
+        known.update(zip(words, map(get, lower)))
+        known.update(zip(marked, map(bytes.__add__, map(get, heads), map(get, marks))))
+        start = 0
+        for p in other:
             end = found.index("\n", start)
-            known[p] = words[found[start]] if end == start + 1 else b"".join([words[w] for w in found[start:end]])
+            known[p] = b"".join(map(get, found[start:end]))
             start = end + 1
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        """Little-endian unsigned 32-bit ids of each text.
+
+        The texts are cut at white space and their distinct parts numbered outside Python; what the cut
+        leaves inside a part, the pattern drops.
+        """
+        whole = {k for k, t in enumerate(texts) if "<|" in t and any(a in t for a in self.added) or CONTROL.search(t)}
+        cut = pc.utf8_split_whitespace(pa.array([None if k in whole else t for k, t in enumerate(texts)], pa.large_string()))
+        coded = pc.dictionary_encode(cut.flatten())
+        parts = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > KNOWN_PARTS:
             self.known.clear()
-        split = [None if "<|" in t and any(a in t for a in self.added) or CONTROL.search(t) else t.split() for t in texts]
-        new: set[str] = set()
-        for parts in split:
-            new.update(parts or ())
-        if missing := [p for p in new if p not in self.known]:
-            self._learn(missing)
         known = self.known
-        return [self._encode(t) if parts is None else b"".join([known[p] for p in parts]) for t, parts in zip(texts, split)]
+        missing = [p for p in parts if p not in known]
+        if self.plain:
+            for p in missing:
+                if not p.isascii() and PLAIN.search(p):
+                    known[p] = self._encode(p)
+            missing = [p for p in missing if p not in known] if missing else missing
+        if missing:
+            self._learn(missing)
+        made = [known[p] for p in parts]
+        places = list(map(made.__getitem__, coded.indices.to_numpy(zero_copy_only=False).tolist()))
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(cut), 0).to_numpy(zero_copy_only=False)).tolist()
+        return [self._encode(t) if k in whole else b"".join(places[a:b]) for k, (t, a, b) in enumerate(zip(texts, [0, *ends], ends))]
