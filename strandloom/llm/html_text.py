@@ -146,15 +146,28 @@ def shared(mine: list[int], other: list[int]) -> list[int]:
     return [*range(start), *reversed(middle), *range(len(mine) - end, len(mine))]
 
 
-_LINES = T.ArrayType(
-    T.StructType([T.StructField("line", T.StringType()), T.StructField("main", T.BooleanType()), T.StructField("dropped", T.BooleanType())])
+_PARTS = T.StructType(
+    [
+        T.StructField("text", T.StringType()),
+        T.StructField("loose", T.ArrayType(T.StructType([T.StructField("line", T.StringType()), T.StructField("place", T.IntegerType())]))),
+    ]
 )
 
 
-@F.pandas_udf(_LINES)
-def _lines_column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def parts_of(page: str | None) -> tuple[str | None, list[tuple[str, int]]]:
+    """The article's text where a page has an article; else none, and the lines that its markup doesn't drop, with their places."""
+    lines = lines_of(page)
+    article = [line for line, inside, dropped in lines if inside and not dropped]
+    if article:
+        return " ".join(article), []
+    return None, [(line, k) for k, (line, _, dropped) in enumerate(lines) if not dropped]
+
+
+@F.pandas_udf(_PARTS)
+def _parts_column(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for pages in batches:
-        yield pd.Series([[{"line": a, "main": b, "dropped": c} for a, b, c in lines_of(p)] for p in pages])
+        parts = [parts_of(p) for p in pages]
+        yield pd.DataFrame({"text": [t for t, _ in parts], "loose": [[{"line": a, "place": k} for a, k in loose] for _, loose in parts]})
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -268,13 +281,9 @@ def extract(pages: DataFrame, url_column: str = "url", html_column: str = "html"
     other = known.select(F.col("row").alias("partner"), F.col("hashes").alias("others"))
     template = pairs.join(known.select("row", "hashes"), "row").join(other, "partner")
     template = template.select(F.col("row").alias(key), _template("hashes", "others").alias(common))
-    joined = pages.select(*keep, digest.alias(key), _lines_column(page).alias(lines)).join(template, key, "left")
-    has_main = F.exists(lines, lambda x: x["main"] & ~x["dropped"])
-    shared_lines = F.coalesce(F.col(common), F.array().cast("array<int>"))
+    joined = pages.select(*keep, digest.alias(key), _parts_column(page).alias(lines)).join(template, key, "left")
     # Lines outside the article of a page that has one go by their markup, shared or not; inside it none goes for being shared.
-    kept = F.filter(lines, lambda x, k: ~x["dropped"] & (x["main"] | ~has_main & ~F.array_contains(shared_lines, k.cast("int"))))
-    return joined.select(*keep, _joined_lines(kept).alias("text"), F.size(shared_lines).cast("long").alias("n_shared"))
-
-
-def _joined_lines(lines) -> F.Column:
-    return F.array_join(F.transform(lines, lambda x: x["line"]), " ")
+    places = F.coalesce(F.col(common), F.array().cast("array<int>"))
+    rest = F.filter(F.col(f"{lines}.loose"), lambda x: ~F.array_contains(places, x["place"]))
+    text = F.coalesce(F.col(f"{lines}.text"), F.array_join(F.transform(rest, lambda x: x["line"]), " "))
+    return joined.select(*keep, text.alias("text"), F.size(places).cast("long").alias("n_shared"))
