@@ -102,6 +102,13 @@ def stranded_pileup(observed: DataFrame) -> DataFrame:
     return count(observed, "contig", "pos", "trstrand")
 
 
+def by_strand(observed: DataFrame) -> DataFrame:
+    """A row per position with the counts of both strands side by side (``+A`` to ``-T``), in one aggregation."""
+    seen = observed.where(F.col("base") != "N")
+    sums = [F.count_if((F.col("trstrand") == s) & (F.col("base") == n)).alias(f"{s}{n}") for s in "+-" for n in ACGT]
+    return seen.groupBy("contig", "pos").agg(*sums)
+
+
 def mapped_reads(observed: DataFrame) -> DataFrame:
     """(trstrand, reads): reads with at least one accepted base."""
     return observed.select("trstrand", "read_id").distinct().groupBy("trstrand").agg(F.count("*").alias("reads"))

@@ -49,13 +49,7 @@ def matrix(cut: DataFrame, genome: DataFrame, observed: DataFrame, design: str =
     are left out, those with two alleles only counted.
     """
     pieces = cut.select("roi_id", "contig", F.explode("pieces").alias("p")).select("roi_id", "contig", F.col("p.start_").alias("p_start"), F.col("p.end_").alias("p_end"))
-    counts = pileup.pileup(observed) if design == "u" else pileup.stranded_pileup(observed)
-    if design == "u":
-        at = predictor(refpred.with_counts(genome, counts, "left")).withColumn("trstrand", F.lit("."))
-    else:
-        known = sites.predicted(genome, sites.pooled(counts), predictor, "left")
-        both = known.withColumn("trstrand", F.explode(F.array(*map(F.lit, _strands(design)))))
-        at = both.join(counts, ["contig", "pos", "trstrand"], "left").na.fill(0, list(ACGT))
+    at = sites.site_table(genome, observed, design, predictor, "left")
     inside = intervals.points_in(at, pieces, "pos", "p_start", "p_end")
     hom = F.col("n2").isNull()
     sums = [F.count_if(hom & (F.col("n1") == a)).alias(n) for a, n in zip(ACGT, COUNTS)]
@@ -64,15 +58,23 @@ def matrix(cut: DataFrame, genome: DataFrame, observed: DataFrame, design: str =
 
 
 def roi_table(
-    rois: DataFrame, genome: DataFrame, reads: DataFrame, exclude: DataFrame | None = None, design: str = "u", predictor: sites.Predictor = refpred.autoref, **bases
+    rois: DataFrame,
+    genome: DataFrame,
+    reads: DataFrame,
+    exclude: DataFrame | None = None,
+    design: str = "u",
+    predictor: sites.Predictor = refpred.autoref,
+    covered: bool = True,
+    **bases,
 ) -> DataFrame:
-    """A row per region and strand of the design, before thresholds and strand prediction."""
+    """A row per region and strand of the design, before thresholds and strand prediction; without ``covered``, without coverage."""
     cut = regions(rois, exclude)
     observed = pileup.bases(reads, design, **bases)
     rows = cut.withColumn("trstrand", F.explode(F.array(*map(F.lit, _strands(design)))))
     full = rows.join(matrix(cut, genome, observed, design, predictor), ["roi_id", "trstrand"], "left")
-    covered = full.join(read_coverage(cut, reads, design, **bases), ["roi_id", "trstrand"], "left")
-    return covered.na.fill(0, ["heterozygous", *COUNTS, *CELLS, "coverage"])
+    if covered:
+        full = full.join(read_coverage(cut, reads, design, **bases), ["roi_id", "trstrand"], "left").na.fill(0, ["coverage"])
+    return full.na.fill(0, ["heterozygous", *COUNTS, *CELLS])
 
 
 def mark_forced(table: DataFrame, force: DataFrame) -> DataFrame:
@@ -92,7 +94,7 @@ def keep(table: DataFrame, force: DataFrame | None = None, **thresholds) -> Data
 def stranded(table: DataFrame, annotated: DataFrame | None = None, design: str = "u", **editing) -> DataFrame:
     if design != "u":
         return table
-    return strand.predict(table, annotated, lambda: strand.by_editing_roi(**editing), ["roi_id"], "post_start", "post_end")
+    return strand.predict(table, annotated, lambda: strand.by_editing_roi(**editing), "post_start", "post_end")
 
 
 def output(table: DataFrame) -> DataFrame:

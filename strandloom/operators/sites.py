@@ -14,24 +14,22 @@ Predictor = Callable[[DataFrame], DataFrame]
 COLUMNS = ["contig", "pos", "trstrand", "refnuc", "prednuc", *ACGT]
 
 
-def pooled(counts: DataFrame) -> DataFrame:
-    """Counts by position, over strands."""
-    return counts.groupBy("contig", "pos").agg(*[F.sum(n).alias(n) for n in ACGT])
+def site_table(genome: DataFrame, observed: DataFrame, design: str = "u", predictor: Predictor = refpred.autoref, how: str = "inner") -> DataFrame:
+    """(contig, pos, refnuc, n1, n2, trstrand, counts) of every covered position and every strand of the design.
 
-
-def predicted(genome: DataFrame, counts: DataFrame, predictor: Predictor = refpred.autoref, how: str = "inner") -> DataFrame:
-    """(contig, pos, refnuc, n1, n2): the reference predicted once per position, from all strands together."""
-    return predictor(refpred.with_counts(genome, counts, how)).select("contig", "pos", "refnuc", "n1", "n2")
-
-
-def site_table(genome: DataFrame, observed: DataFrame, design: str = "u", predictor: Predictor = refpred.autoref) -> DataFrame:
-    """(contig, pos, trstrand, refnuc, n1, n2, counts) of every covered position and strand with counts."""
+    The reference is predicted once per position, from all strands together; a strand without counts has
+    zeros. With ``how`` left, positions that nothing covers are there too.
+    """
     if design == "u":
-        counts = pileup.pileup(observed)
-        sites = predictor(refpred.with_counts(genome, counts))
-        return sites.withColumn("trstrand", F.lit("."))
-    counts = pileup.stranded_pileup(observed)
-    return counts.join(predicted(genome, pooled(counts), predictor), ["contig", "pos"])
+        return predictor(refpred.with_counts(genome, pileup.pileup(observed), how)).withColumn("trstrand", F.lit("."))
+    wide = pileup.by_strand(observed)
+    zero = F.lit(0).cast("bigint")
+    joined = genome.join(wide, ["contig", "pos"], how).select(
+        *genome.columns, *[F.coalesce(F.col(f"{s}{n}"), zero).alias(f"{s}{n}") for s in "+-" for n in ACGT]
+    )
+    pooled = joined.withColumns({n: F.col(f"+{n}") + F.col(f"-{n}") for n in ACGT})
+    strands = F.array(*[F.struct(F.lit(s).alias("trstrand"), *[F.col(f"{s}{n}").alias(n) for n in ACGT]) for s in "+-"])
+    return predictor(pooled).select(*genome.columns, "n1", "n2", F.explode(strands).alias("s")).select(*genome.columns, "n1", "n2", "s.*")
 
 
 def restrict(sites: DataFrame, include: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
@@ -46,26 +44,25 @@ def restrict(sites: DataFrame, include: DataFrame | None = None, exclude: DataFr
     return sites
 
 
-def forced_positions(genome: DataFrame, force: DataFrame) -> DataFrame:
-    return intervals.points_in(genome, force.select("contig", "start_", "end_"), "pos", "start_", "end_", "left_semi").select("contig", "pos")
-
-
 def keep(genome: DataFrame, sites: DataFrame, force: DataFrame | None = None, design: str = "u", **thresholds) -> DataFrame:
     """Sites that pass the thresholds; and all positions of ``force``, on every strand of the design, covered or not."""
     passing = filters.site_threshold(**thresholds)
     if force is None:
         return sites.where(passing)
-    must = forced_positions(genome, force).withColumn("forced", F.lit(True))
-    marked = sites.join(must, ["contig", "pos"], "left")
-    there = marked.where(F.col("forced") | passing).drop("forced")
-    strands = F.explode(F.array(*map(F.lit, "." if design == "u" else "+-")))
-    bare = genome.join(must, ["contig", "pos"], "left_semi").withColumn("trstrand", strands)
-    missing = bare.join(sites, ["contig", "pos", "trstrand"], "left_anti")
-    known = sites.select("contig", "pos", F.col("n1").alias("k1"), F.col("n2").alias("k2")).distinct()
-    empty = missing.join(known, ["contig", "pos"], "left").select(
-        "contig", "pos", "trstrand", "refnuc", F.coalesce("k1", "refnuc").alias("n1"), F.col("k2").alias("n2"), *[F.lit(0).cast("bigint").alias(n) for n in ACGT]
+    must = intervals.points_in(genome, force.select("contig", "start_", "end_"), "pos", "start_", "end_", "left_semi")
+    both = sites.join(must.withColumnRenamed("refnuc", "forced"), ["contig", "pos"], "full_outer")
+    missing = F.array(*map(F.lit, "." if design == "u" else "+-"))
+    filled = both.select(
+        "contig",
+        "pos",
+        F.explode(F.when(F.col("trstrand").isNull(), missing).otherwise(F.array("trstrand"))).alias("trstrand"),
+        F.coalesce("refnuc", "forced").alias("refnuc"),
+        F.coalesce("n1", "forced").alias("n1"),
+        "n2",
+        *[F.coalesce(n, F.lit(0).cast("bigint")).alias(n) for n in ACGT],
+        "forced",
     )
-    return there.select(*empty.columns).unionByName(empty)
+    return filled.where(F.col("forced").isNotNull() | passing).drop("forced")
 
 
 def stranded(sites: DataFrame, annotated: DataFrame | None = None, design: str = "u", **editing) -> DataFrame:
@@ -73,7 +70,7 @@ def stranded(sites: DataFrame, annotated: DataFrame | None = None, design: str =
     if design != "u":
         return sites
     spanned = sites.withColumn("pos_end", F.col("pos") + 1)
-    return strand.predict(spanned, annotated, lambda: strand.by_editing_site(**editing), ["contig", "pos"], "pos", "pos_end").drop("pos_end")
+    return strand.predict(spanned, annotated, lambda: strand.by_editing_site(**editing), "pos", "pos_end").drop("pos_end")
 
 
 def output(sites: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nucleotides import frequent
-from .intervals import overlaps
+from .intervals import BUCKET, bucketed
 
 CLASSES = ("exon", "gene", "utr3")
 LEAST_MISMATCHES, LEAST_FREQ = 50, 0.05
@@ -28,27 +28,42 @@ def utr3_extension(gff: DataFrame, length: int) -> DataFrame:
     return gff.where(F.lower("type") == "gene").select("contig", start.alias("start_"), end.alias("end_"), "strand", F.lit("utr3").alias("class"))
 
 
-def by_annotation(rows: DataFrame, annotated: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """(keys, strand): + or - where the first class with any overlapping feature has one strand only, else .
+def _verdict() -> Column:
+    """Of the counts by class and strand: the first class with any feature decides."""
+
+    def one(c: str) -> Column:
+        plus, minus = F.col(f"{c}+") > 0, F.col(f"{c}-") > 0
+        return F.when(plus & minus, ".").when(plus, "+").when(minus, "-")
+
+    return F.coalesce(*[one(c) for c in CLASSES])
+
 
-    A row per key that meets a feature. Classes come exon, gene, 3'UTR; one with both strands ends the search.
+def annotate(rows: DataFrame, annotated: DataFrame, start: str, end: str) -> DataFrame:
+    """``rows`` (distinct) with by_features: + or - where the first class with any overlapping feature has one
+    strand only, . where it has both, null where no class has any. Classes come exon, gene, 3'UTR.
+
+    One pass over ``rows``: they are joined with the features of their buckets and grouped again.
     """
-    own = rows.select(*keys, *([] if "contig" in keys else ["contig"]), F.col(start).alias("own_start"), F.col(end).alias("own_end"))
-    met = overlaps(
-        own,
-        annotated.select("contig", F.col("start_").alias("f_start"), F.col("end_").alias("f_end"), F.col("strand").alias("f_strand"), "class"),
-        ("own_start", "own_end"),
-        ("f_start", "f_end"),
-    )
-    counts = met.groupBy(*keys).agg(
-        *[F.count_if((F.col("class") == c) & (F.col("f_strand") == s)).alias(f"{c}{s}") for c in CLASSES for s in "+-"]
+    left = bucketed(rows, start, end).alias("l")
+    names = {"start_": "f_start", "end_": "f_end", "strand": "f_strand", "class": "f_class", "contig": "f_contig", "bucket": "f_bucket"}
+    right = bucketed(annotated.select("contig", "start_", "end_", "strand", "class"), "start_", "end_").withColumnsRenamed(names)
+    first = F.floor(F.greatest(F.col(f"l.{start}"), F.col("f_start")) / F.lit(BUCKET)).cast("bigint")
+    on = (
+        (F.col("l.contig") == F.col("f_contig"))
+        & (F.col("l.bucket") == F.col("f_bucket"))
+        & (F.col(f"l.{start}") < F.col("f_end"))
+        & (F.col("f_start") < F.col(f"l.{end}"))
+        & (F.col("l.bucket") == first)
     )
+    counts = [F.count_if((F.col("f_class") == c) & (F.col("f_strand") == s)).alias(f"{c}{s}") for c in CLASSES for s in "+-"]
+    grouped = left.join(right, on, "left").groupBy(*[F.col(f"l.{c}") for c in rows.columns]).agg(*counts)
+    return grouped.select(*rows.columns, _verdict().alias("by_features"))
 
-    def verdict(c: str) -> Column:
-        plus, minus = F.col(f"{c}+") > 0, F.col(f"{c}-") > 0
-        return F.when(plus & minus, ".").when(plus, "+").when(minus, "-")
 
-    return counts.select(*keys, F.coalesce(*[verdict(c) for c in CLASSES], F.lit(".")).alias("strand"))
+def by_annotation(rows: DataFrame, annotated: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """(keys, strand) of the rows that meet a feature."""
+    own = rows.select(*dict.fromkeys([*keys, "contig", start, end]))
+    return annotate(own, annotated, start, end).where("by_features is not null").select(*keys, F.col("by_features").alias("strand"))
 
 
 def edited(matches: Column, mismatched: Column, least: int = LEAST_MISMATCHES, least_freq: float = LEAST_FREQ) -> Column:
@@ -85,14 +100,11 @@ def by_editing_roi(least: int = LEAST_MISMATCHES, least_freq: float = LEAST_FREQ
     )
 
 
-def predict(
-    rows: DataFrame, annotated: DataFrame | None, editing: Callable[[], Column], keys: list[str], start: str, end: str
-) -> DataFrame:
-    """``rows`` with trstrand: what is unknown goes by annotation, if there is one, and then by editing."""
+def predict(rows: DataFrame, annotated: DataFrame | None, editing: Callable[[], Column], start: str, end: str) -> DataFrame:
+    """``rows`` (distinct) with trstrand: what is unknown goes by annotation, if there is one, and then by editing."""
     unknown = F.col("trstrand") == "."
     out = rows
     if annotated is not None:
-        found = by_annotation(rows.where(unknown), annotated, keys, start, end).withColumnRenamed("strand", "by_features")
-        out = out.join(found, keys, "left")
-        out = out.withColumn("trstrand", F.when(unknown, F.coalesce("by_features", F.lit("."))).otherwise(F.col("trstrand"))).drop("by_features")
+        found = annotate(rows, annotated, start, end)
+        out = found.withColumn("trstrand", F.when(unknown, F.coalesce("by_features", "trstrand")).otherwise(F.col("trstrand"))).drop("by_features")
     return out.withColumn("trstrand", F.when(unknown, editing()).otherwise(F.col("trstrand")))

@@ -60,10 +60,8 @@ def site_analysis(
     o = options or Options()
     observed = pileup.bases(o.passing(reads), o.design, **o.bases())
     found = sites.site_table(genome, sites.restrict(observed, include, exclude), o.design, o.predictor(variants))
-    forced = None if force is None else sites.restrict(sites.forced_positions(genome, force), include, exclude)
-    if forced is not None:
-        genome = genome.join(forced, ["contig", "pos"], "left_semi")
-    kept = sites.keep(genome, found, force, o.design, **o.thresholds)
+    reach = genome if force is None else sites.restrict(genome, include, exclude)
+    kept = sites.keep(reach, found, force, o.design, **o.thresholds)
     return sites.output(sites.stranded(kept, None if gff is None else strand.features(gff, o.utr3), o.design, **o.editing()))
 
 
@@ -75,10 +73,11 @@ def roi_rows(
     *,
     exclude: DataFrame | None = None,
     variants: DataFrame | None = None,
+    covered: bool = True,
 ) -> DataFrame:
     """Every region and strand, before thresholds and strand prediction."""
     o = options or Options()
-    return rois.roi_table(regions, genome, o.passing(reads), exclude, o.design, o.predictor(variants), **o.bases())
+    return rois.roi_table(regions, genome, o.passing(reads), exclude, o.design, o.predictor(variants), covered, **o.bases())
 
 
 def roi_analysis(
@@ -113,6 +112,6 @@ def editing_index(
 ) -> DataFrame:
     """The index counts all regions, whether they pass the thresholds or not."""
     o = options or Options()
-    table = roi_rows(reads, genome, regions, o, exclude=exclude, variants=variants)
+    table = roi_rows(reads, genome, regions, o, exclude=exclude, variants=variants, covered=False)
     known = rois.stranded(table, None if gff is None else strand.features(gff, o.utr3), o.design, **o.editing())
     return index.editing_index(known, experiment, roi_file)
