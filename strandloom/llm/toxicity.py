@@ -12,8 +12,9 @@ all words (``dense``); strong terms are those that the labels themselves tell ap
 Features are words and their beginnings of 3 to 6 letters, hashed, once more where they are frequent; the fit keeps the
 ``MOST_FEATURES`` that depend most on the verdict. Languages, sources and ids are never features.
 
-Labelled rows are fitted on a sample of at most ``SAMPLE`` rows, chosen by a hash of the id, on the
-driver; every text is scored, whole. Null and empty texts have no features and get the model's
+Labelled rows are fitted on a sample of at most ``SAMPLE`` rows, chosen by a hash of the id; their
+features are counted and chosen on the cluster, and the driver gets the chosen ones of each row, however
+long its text. Every text is scored, whole. Null and empty texts have no features and get the model's
 probability for that. Without both classes among the labelled rows every score is their mean.
 """
 
@@ -27,11 +28,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name
+from .common import cut, free_name, release
 
 SAMPLE = 10_000
 MOST_FEATURES = 4_000
@@ -43,6 +44,9 @@ LEVELS = (1, 2, 4)
 THRESHOLD = 0.5
 #: A feature counts if at least so many sampled rows have it.
 LEAST_ROWS = 3
+#: Least chi-square of a feature (chance alone exceeds it once in a hundred times), and most features of derived categories.
+LEAST_CHI = 6.6
+MOST_STRONG = 400
 WORDS = re.compile(r"[^\W\d_]+").findall
 #: Distinct words whose features a worker keeps.
 KNOWN_WORDS = 500_000
@@ -152,38 +156,39 @@ class Chain:
         return earlier
 
 
-def choose_features(texts: list[np.ndarray], y: np.ndarray, most: int = MOST_FEATURES) -> tuple[np.ndarray, np.ndarray]:
-    """Features by how much they depend on ``y`` (a chi-square), most dependent kept; and their sign."""
-    every = np.concatenate([np.array([], dtype=np.int32), *texts])
-    ids, inverse = np.unique(every, return_inverse=True)
-    labels = np.repeat(y, [len(t) for t in texts])
-    a = np.bincount(inverse, labels, len(ids))
-    b = np.bincount(inverse, 1 - labels, len(ids))
-    pos, neg = y.sum(), len(y) - y.sum()
-    n = pos + neg
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = n * (a * (neg - b) - b * (pos - a)) ** 2 / (pos * neg * (a + b) * (n - a - b))
-    chi = np.where((a + b >= LEAST_ROWS) & np.isfinite(chi), chi, 0)
-    order = np.lexsort((ids, -chi))[:most]
-    order = np.sort(order[chi[order] > 6.6])
-    return ids[order].astype(np.int32), a[order] * neg > b[order] * pos
-
-
-def derived_categories(texts: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Columns varied, dense, toxic; from the toxic column alone."""
-    chosen, positive = choose_features(texts, y, 400)
-    strong = chosen[positive]
+def chi_square(held: Column, toxic: Column, rows: float, positive: float) -> Column:
+    """How much a feature, held by ``held`` rows of which ``toxic`` are positive, depends on the label."""
+    a, b = toxic, held - toxic
+    pos, neg = F.lit(float(positive)), F.lit(float(rows - positive))
+    below = pos * neg * held * (F.lit(float(rows)) - held)
+    return F.when(below > 0, F.lit(float(rows)) * F.pow(a * (neg - b) - b * (pos - a), 2) / below).otherwise(0.0)
+
+
+def choose_features(rows: DataFrame, most: int = MOST_FEATURES) -> list[tuple[int, float, bool]]:
+    """(feature, chi-square, whether it tells positives) of at most ``most`` features of ``rows`` (f, y), most dependent first.
+
+    Counted on the cluster: the driver gets the chosen ones only.
+    """
+    total = rows.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
+    n, p = total["n"], total["p"] or 0.0
+    counts = rows.select("y", F.explode("f").alias("feature")).groupBy("feature").agg(F.count("*").cast("double").alias("held"), F.sum("y").alias("toxic"))
+    scored = counts.where(F.col("held") >= LEAST_ROWS).withColumn("chi", chi_square(F.col("held"), F.col("toxic"), n, p))
+    top = scored.where(F.col("chi") > LEAST_CHI).orderBy(F.desc("chi"), "feature").limit(most).collect()
+    return [(r["feature"], r["chi"], r["toxic"] * (n - p) > (r["held"] - r["toxic"]) * p) for r in top]
+
+
+def derived_categories(texts: list[np.ndarray], sizes: np.ndarray, y: np.ndarray, strong: np.ndarray) -> np.ndarray:
+    """Columns varied, dense, toxic, from the toxic column and the features that tell it (``strong``)."""
     hits = np.array([np.isin(t, strong).sum() for t in texts], dtype=float)
-    share = hits / np.array([max(1, len(t)) for t in texts])
-    toxic = y == 1
-    middle = np.median(hits[toxic & (hits > 0)]) if (toxic & (hits > 0)).any() else 1.0
-    level = np.median(share[toxic & (hits > 0)]) if (toxic & (hits > 0)).any() else 1.0
-    return np.column_stack([toxic & (hits > middle), toxic & (share > level) & (hits > 0), toxic]).astype(float)
+    share, toxic = hits / np.maximum(1, sizes), y == 1
+    some = toxic & (hits > 0)
+    middle, level = (np.median(x[some]) if some.any() else 1.0 for x in (hits, share))
+    return np.column_stack([toxic & (hits > middle), some & (share > level), toxic]).astype(float)
 
 
-def fit_chain(texts: list[np.ndarray], categories: np.ndarray, folds: np.ndarray) -> Chain:
-    """``categories``: a 0/1 column each, in chain order; ``folds``: the fold of each row."""
-    chain = Chain(choose_features(texts, categories[:, -1])[0])
+def fit_chain(chosen: np.ndarray, texts: list[np.ndarray], categories: np.ndarray, folds: np.ndarray) -> Chain:
+    """``categories``: a 0/1 column each, in chain order; ``folds``: the fold of each row; ``chosen``: features, ascending."""
+    chain = Chain(chosen)
     rows = chain.rows(texts)
     earlier = np.zeros((len(texts), 0))
     for k in range(categories.shape[1]):
@@ -199,30 +204,31 @@ def fit_chain(texts: list[np.ndarray], categories: np.ndarray, folds: np.ndarray
     return chain
 
 
-@F.pandas_udf(T.BinaryType())
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _feature_column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
-        yield pd.Series([features(t).tobytes() for t in texts])
+        yield pd.Series([features(t) for t in texts])
 
 
 def train(docs: DataFrame, labels: DataFrame, label_columns: list[str], id_column: str = "doc_id", text_column: str = "text", sample: int = SAMPLE) -> Chain:
     """Fits the chain on at most ``sample`` labelled rows; one label column gets derived categories before it."""
-    known = labels.select(F.col(id_column).alias("id"), *[F.col(c).cast("double").alias(f"y{k}") for k, c in enumerate(label_columns)]).dropna()
+    names = [f"y{k}" for k in range(len(label_columns))]
+    known = labels.select(F.col(id_column).alias("id"), *[F.col(c).cast("double").alias(n) for c, n in zip(label_columns, names)]).dropna()
     picked = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    rows = (
-        texts.join(F.broadcast(picked), "id")
-        .select("id", *[f"y{k}" for k in range(len(label_columns))], _feature_column("text").alias("f"))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(sample)
-        .toPandas()
-    )
-    found = [np.frombuffer(f, dtype=np.int32) for f in rows["f"]]
-    y = rows[[f"y{k}" for k in range(len(label_columns))]].to_numpy(dtype=float).reshape(len(found), len(label_columns))
-    if len(label_columns) == 1 and len(found):
-        y = derived_categories(found, y[:, 0])
-    folds = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in rows["id"]])
-    return fit_chain(found, y, folds)
+    rows = cut(texts.join(F.broadcast(picked), "id").select("id", *names, _feature_column("text").alias("f")))
+    top = choose_features(rows.select("f", F.col(names[-1]).alias("y")))
+    chosen = np.array(sorted(f for f, _, _ in top), dtype=np.int32)
+    wanted = F.array(*map(F.lit, chosen.tolist())) if len(chosen) else F.array().cast("array<int>")
+    found = rows.select("id", *names, F.size("f").alias("size"), F.array_intersect("f", wanted).alias("f")).orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    held = [np.array(r["f"], dtype=np.int32) for r in found]
+    y = np.array([[r[n] for n in names] for r in found], dtype=float).reshape(len(found), len(names))
+    if len(names) == 1:
+        strong = np.array([f for f, _, positive in top if positive][:MOST_STRONG], dtype=np.int32)
+        y = derived_categories(held, np.array([r["size"] for r in found]), y[:, 0], strong)
+    folds = np.array([zlib.crc32(str(r["id"]).encode()) % FOLDS for r in found])
+    release(rows)
+    return fit_chain(chosen, held, y, folds)
 
 
 def score_udf(chain: Chain):

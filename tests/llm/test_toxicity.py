@@ -57,7 +57,7 @@ def test_out_of_fold_predictions_do_not_see_their_fold():
     out = folds == 0
     held = toxicity.fit_linear(rows.take(~out), np.zeros((int((~out).sum()), 0)), y[~out]).predict(rows.take(out), np.zeros((8, 0)))
     assert ((full > 0.5) == y).all() and np.ptp(held) < 1e-9
-    assert toxicity.fit_chain(texts, np.column_stack([y, y]), folds).models[1].dense.shape == (1,)
+    assert toxicity.fit_chain(np.arange(40), texts, np.column_stack([y, y]), folds).models[1].dense.shape == (1,)
 
 
 @pytest.mark.parametrize("labels", [[], [(0, 1), (1, 1)], [(0, None), (9, 1)]])
