@@ -19,7 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``)."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", LOCAL_CHECKPOINT_DIR))
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(named or LOCAL_CHECKPOINT_DIR)
     return context._jsc.sc().getCheckpointDir().get()
 
 
