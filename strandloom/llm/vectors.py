@@ -22,6 +22,8 @@ link with nothing. Vectors of different lengths don't link. Repeated ids are sep
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,7 +50,7 @@ AUDITED = 256
 #: Nodes a little below the threshold are expanded too: their neighbours may be above it.
 SLACK = 0.05
 ROUNDS = ((1, 1), (2, 2), (0, 0))
-PAIRS_AT_ONCE = 1_000_000
+PAIRS_AT_ONCE = 200_000
 
 
 def usable(vector: Column, label: Column) -> Column:
@@ -135,6 +137,38 @@ def united(lists: list[np.ndarray], n: int) -> np.ndarray:
     return out
 
 
+def _beyond(x: np.ndarray, frontier: np.ndarray, adjacency: np.ndarray, seen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(queries, nodes, cosines) next to the frontier's (query, node) pairs that weren't seen, in parts.
+
+    In a dense cluster the same neighbours come up again and again; there a product of the frontier with
+    the adjacency finds each once.
+    """
+    n, degree = adjacency.shape
+    if len(frontier) * degree > n * n // 8:
+        edges = np.zeros((n, n), dtype=np.float32)
+        at, k = np.nonzero(adjacency >= 0)
+        edges[at, adjacency[at, k]] = 1
+        frontier = frontier[np.argsort(frontier[:, 0], kind="stable")]
+        for low in range(0, n, 512):
+            a, b = np.searchsorted(frontier[:, 0], (low, low + 512))
+            if a < b:
+                held = np.zeros((min(512, n - low), n), dtype=np.float32)
+                held[frontier[a:b, 0] - low, frontier[a:b, 1]] = 1
+                fresh = (held @ edges > 0) & ~seen[low : low + 512]
+                q, node = np.nonzero(fresh)
+                yield q + low, node, (x[low : low + 512] @ x.T)[fresh]
+        return
+    step = max(1, PAIRS_AT_ONCE // degree)
+    for k in range(0, len(frontier), step):
+        part = frontier[k : k + step]
+        node = adjacency[part[:, 1]]
+        q = np.broadcast_to(part[:, :1], node.shape)
+        fresh = (node >= 0) & ~seen[q, node]
+        pairs = np.unique(q[fresh] * n + node[fresh])
+        q, node = pairs // n, pairs % n
+        yield q, node, np.einsum("ij,ij->i", x[q], x[node])
+
+
 def search(x: np.ndarray, adjacency: np.ndarray, threshold: float = THRESHOLD, beam: int = BEAM) -> np.ndarray:
     """A symmetric matrix: which pairs the searches of all nodes found at ``threshold`` or more."""
     n = len(x)
@@ -181,15 +215,8 @@ def search(x: np.ndarray, adjacency: np.ndarray, threshold: float = THRESHOLD, b
     frontier = np.concatenate(near)
     while len(frontier):
         found = []
-        for k in range(0, len(frontier), max(1, PAIRS_AT_ONCE // adjacency.shape[1])):
-            part = frontier[k : k + max(1, PAIRS_AT_ONCE // adjacency.shape[1])]
-            node = adjacency[part[:, 1]]
-            q = np.broadcast_to(part[:, :1], node.shape)
-            fresh = (node >= 0) & ~seen[q, node]
-            pairs = np.unique(q[fresh] * n + node[fresh])
-            q, node = pairs // n, pairs % n
+        for q, node, value in _beyond(x, frontier, adjacency, seen):
             seen[q, node] = True
-            value = np.einsum("ij,ij->i", x[q], x[node])
             linked[q, node] = value >= threshold
             close = value >= threshold - SLACK
             found.append(np.column_stack([q[close], node[close]]))
