@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import cut, free_name, shuffle_partitions
 from .urls import host_of, path_of
@@ -113,8 +114,8 @@ def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
 
 
 def line_hash(line: str) -> int:
-    raw = line.encode("utf-8", "surrogatepass")
-    return zlib.crc32(raw) << 31 ^ zlib.adler32(raw)
+    """32 bits: lines are compared with one other page's lines only."""
+    return zlib.crc32(line.encode("utf-8", "surrogatepass")) - (1 << 31)
 
 
 def shared(mine: list[int], other: list[int]) -> list[int]:
@@ -170,38 +171,41 @@ def _parts_column(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"text": [t for t, _ in parts], "loose": [[{"line": a, "place": k} for a, k in loose] for _, loose in parts]})
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _hashes_column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for pages in batches:
         yield pd.Series([[line_hash(a) for a, _, _ in lines_of(p)] for p in pages])
 
 
-_KEYS = T.StructType(
-    [T.StructField("pid", T.LongType())] + [T.StructField(c, T.StringType()) for c in ("row", "before", "after", "host", "path", "path_before", "path_after")]
-)
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row with the rows before and after it, where they are of its host."""
-    from pyspark import TaskContext
-
-    pid = TaskContext.get().partitionId()
+def _neighbours(row_type: T.DataType):
+    """(schema, function): each row with the rows before and after it, where they are of its host."""
+    schema = T.StructType(
+        [T.StructField("pid", T.LongType())]
+        + [T.StructField(c, row_type) for c in ("row", "before", "after")]
+        + [T.StructField(c, T.StringType()) for c in ("host", "path", "path_before", "path_after")]
+    )
+    arrow = to_arrow_schema(schema)
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows)) if rows else [()] * 8
-        kinds = [pa.int64()] + [pa.string()] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_KEYS.names)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], names=arrow.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    before = now = None
-    for batch in batches:
-        out = []
-        for after in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "row"))):
-            if now:
-                out.append(_joined(pid, before, now, after))
-            before, now = now, after
-        yield made(out)
-    if now:
-        yield made([_joined(pid, before, now, None)])
+        pid = TaskContext.get().partitionId()
+        before = now = None
+        for batch in batches:
+            out = []
+            for after in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "row"))):
+                if now:
+                    out.append(_joined(pid, before, now, after))
+                before, now = now, after
+            yield made(out)
+        if now:
+            yield made([_joined(pid, before, now, None)])
+
+    return schema, run
 
 
 def _joined(pid: int, before: tuple | None, now: tuple, after: tuple | None) -> tuple:
@@ -222,10 +226,9 @@ def _common(a: pd.Series, b: pd.Series) -> list[int]:
     return out
 
 
-@F.pandas_udf(T.StringType())
-def _nearer(path: pd.Series, before: pd.Series, path_before: pd.Series, after: pd.Series, path_after: pd.Series) -> pd.Series:
-    first = np.array(_common(path, path_before)) >= np.array(_common(path, path_after))
-    return before.where(pd.Series(first, index=before.index), after)
+@F.pandas_udf(T.BooleanType())
+def _first_is_nearer(path: pd.Series, path_before: pd.Series, path_after: pd.Series) -> pd.Series:
+    return pd.Series(np.array(_common(path, path_before)) >= np.array(_common(path, path_after)))
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -242,7 +245,9 @@ def partners(keys: DataFrame) -> DataFrame:
     """(row, partner) for every row of ``keys`` (host, path, row; distinct) whose host has another."""
     spark = keys.sparkSession
     ordered = keys.repartitionByRange(shuffle_partitions(spark), "host", "path", "row").sortWithinPartitions("host", "path", "row")
-    near = cut(ordered.select("host", "path", "row").mapInArrow(_neighbours, _KEYS))
+    kind = keys.schema["row"].dataType
+    schema, run = _neighbours(kind)
+    near = cut(ordered.select("host", "path", "row").mapInArrow(run, schema))
     ends = near.groupBy("pid").agg(
         F.min(F.struct("host", "path", "row")).alias("first"), F.max(F.struct("host", "path", "row")).alias("last")
     )
@@ -252,14 +257,11 @@ def partners(keys: DataFrame) -> DataFrame:
         if a["last"]["host"] == b["first"]["host"]:
             edges.append((a["last"]["row"], None, None, b["first"]["row"], b["first"]["path"]))
             edges.append((b["first"]["row"], a["last"]["row"], a["last"]["path"], None, None))
-    over = spark.createDataFrame(edges, "row string, b string, pb string, a string, pa string").groupBy("row").agg(*[F.max(c).alias(c) for c in ("b", "pb", "a", "pa")])
+    name = kind.simpleString()
+    over = spark.createDataFrame(edges, f"row {name}, b {name}, pb string, a {name}, pa string").groupBy("row").agg(*[F.max(c).alias(c) for c in ("b", "pb", "a", "pa")])
     joined = near.join(F.broadcast(over), "row", "left")
-    pairs = joined.select(
-        "row",
-        _nearer(
-            "path", F.coalesce("before", "b"), F.coalesce("path_before", "pb"), F.coalesce("after", "a"), F.coalesce("path_after", "pa")
-        ).alias("partner"),
-    )
+    first = _first_is_nearer("path", F.coalesce("path_before", "pb"), F.coalesce("path_after", "pa"))
+    pairs = joined.select("row", F.when(first, F.coalesce("before", "b")).otherwise(F.coalesce("after", "a")).alias("partner"))
     return pairs.where("partner is not null")
 
 
@@ -274,7 +276,7 @@ def extract(pages: DataFrame, url_column: str = "url", html_column: str = "html"
     key, lines, common = (free_name(pages, x) for x in ("key", "lines", "common"))
     url = F.coalesce(F.col(url_column).cast("string"), F.lit(""))
     page = F.coalesce(F.col(html_column).cast("string"), F.lit(""))
-    digest = F.md5(F.concat(url, F.lit("\x00"), page))
+    digest = F.unhex(F.md5(F.concat(url, F.lit("\x00"), page)))
     hashed = pages.select(digest.alias("row"), host_of(url).alias("host"), path_of(url).alias("path"), _hashes_column(page).alias("hashes"))
     known = cut(hashed.groupBy("row").agg(*[F.first(c).alias(c) for c in ("host", "path", "hashes")]))
     pairs = partners(known.select("host", "path", "row"))
