@@ -67,14 +67,17 @@ def roi_table(
     covered: bool = True,
     **bases,
 ) -> DataFrame:
-    """A row per region and strand of the design, before thresholds and strand prediction; without ``covered``, without coverage."""
+    """A row per region and strand of the design, before thresholds and strand prediction; without ``covered``, without coverage.
+
+    Regions that the genome doesn't hold have null counts, which pass no threshold; ``output`` writes zeros.
+    """
     cut = regions(rois, exclude)
     observed = pileup.bases(reads, design, **bases)
     rows = cut.withColumn("trstrand", F.explode(F.array(*map(F.lit, _strands(design)))))
     full = rows.join(matrix(cut, genome, observed, design, predictor), ["roi_id", "trstrand"], "left")
     if covered:
         full = full.join(read_coverage(cut, reads, design, **bases), ["roi_id", "trstrand"], "left").na.fill(0, ["coverage"])
-    return full.na.fill(0, ["heterozygous", *COUNTS, *CELLS])
+    return full
 
 
 def mark_forced(table: DataFrame, force: DataFrame) -> DataFrame:
@@ -101,5 +104,7 @@ def output(table: DataFrame) -> DataFrame:
     named = ["contig", "start_", "end_", "strand", "name", "trstrand", "coverage", "nucmasked", "heterozygous"] + [
         c for a, n in zip(ACGT, COUNTS) for c in (n, *[cell(a, b) for b in ACGT])
     ]
+    # Plain renames above a filter on all cells would make the optimiser derive it for every mixture of names.
+    filled = {"heterozygous", *COUNTS, *CELLS}
     order = table.orderBy("contig", "start_", "end_", "trstrand", "name", "roi_id")
-    return order.select(*[F.col(c).alias(h) for c, h in zip(named, HEADER)])
+    return order.select(*[(F.coalesce(c, F.lit(0).cast("bigint")) if c in filled else F.col(c)).alias(h) for c, h in zip(named, HEADER)])
