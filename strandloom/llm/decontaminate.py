@@ -6,15 +6,16 @@ word: insertions, deletions, replacements).
 
 Candidates: the CGK embedding (Chakraborty, Goldenberg and Koucky, 2016) walks over a window and
 emits a word a step, moving on or staying by a random bit of (step, word); windows at a small edit
-distance get embeddings at a small Hamming distance. Item-sized windows start at every word. Per
-walk, repeated samples of ``BITS`` steps are hashed; two windows that agree on one sample are
-candidates. Walks depend only on where a window starts, so windows of all item sizes of one class
+distance get embeddings at a small Hamming distance. An item is walked from about ``ANCHORS``
+places spread over it, so that edits anywhere leave some walk alone; a text is walked from every word.
+Per walk, repeated samples of ``BITS`` steps are hashed; a text's walk and an item's that agree on one
+sample make a candidate. Walks depend only on where they start, so items of all sizes of one class
 share them: samples of a class are taken from the steps that its smallest item fills. The number of
-samples follows from ``RECALL`` and the share of steps in which windows at the allowed distance
-agree, as measured on edited copies of the items themselves.
+samples follows from ``RECALL``, as measured on copies of the items themselves with the most edits
+allowed: it is reached with the edits spread, and crowded at the head, the middle and the tail.
 
 Before walking, positions are passed over where no item can match for certain: of any window within
-distance k of an item at most k words are in no item at all.
+distance k of an item at most k words are in no item at all, so a place counts if such a window holds it.
 
 Verification: the exact distance of the item to the best part of the text around the candidate.
 
@@ -47,8 +48,12 @@ LEAST_WORDS = 5
 BLOCK_ITEMS = 5_000
 #: Independent walks; each serves many samples.
 WALKS = 12
-#: Steps that samples are taken from: more would cross more edits and add little.
+#: Steps that samples of one walk are taken from: more would cross more edits and add little.
 MOST_STEPS = 24
+#: Places of an item that walks start from, at least where it has as many words.
+ANCHORS = 12
+#: Where a measured copy's edits are: anywhere, or in a run that begins at this share of what is before its last place.
+CROWDS = (None, 0.0, 0.5, 1.0)
 MOST_SAMPLES = 64
 #: Edited copies on which the number of samples is measured.
 TRIALS = 60
@@ -123,7 +128,7 @@ class SizeClass:
     largest: int
     known: np.ndarray
     samples: list[tuple[int, np.ndarray]]
-    tables: list[dict[int, list[int]]]
+    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # by sample: keys in order, and each one's item and anchor
     filters: list[np.ndarray]
 
 
@@ -140,10 +145,16 @@ class Items:
     exact: dict[int, dict[tuple, list[int]]]
 
 
-def _edited(item: np.ndarray, edits: int, random: np.random.Generator, vocabulary: int) -> np.ndarray:
+def anchors(size: int) -> range:
+    return range(0, size, max(1, size // ANCHORS))
+
+
+def _edited(item: np.ndarray, edits: int, random: np.random.Generator, vocabulary: int, crowd: float | None) -> np.ndarray:
     out = item.tolist()
     for _ in range(edits):
         at, kind = int(random.integers(0, max(1, len(out)))), int(random.integers(0, 3))
+        if crowd is not None:
+            at = min(len(out) - 1, int(crowd * (len(item) - edits)) + int(random.integers(0, edits)))
         if kind == 0 and len(out) > 1:
             del out[at]
         elif kind == 1:
@@ -162,20 +173,34 @@ def _keys(made: dict[tuple[int, int], np.ndarray], sample: tuple[int, np.ndarray
     return key
 
 
+def _walked(parts: list[np.ndarray], starts: list[range], samples: list, bits: dict) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(part, start in it, keys by sample) of the walks from ``starts`` of each of ``parts``, which are kept apart by END."""
+    ids = np.concatenate([x for part in parts for x in (part, [END])]).astype(np.int32)
+    first = np.cumsum([0, *(len(part) + 1 for part in parts[:-1])])
+    part = np.repeat(np.arange(len(parts)), [len(s) for s in starts])
+    start = np.concatenate([np.array(s, dtype=np.int64) for s in starts])
+    made = emitted(ids, first[part] + start, samples, bits)
+    return part, start, [_keys(made, sample) for sample in samples]
+
+
 def choose_samples(items: list[np.ndarray], bits: dict, vocabulary: int, share: float, recall: float, width: int) -> list[tuple[int, np.ndarray]]:
-    """As many samples as reach ``recall`` on copies of ``items`` with the most edits allowed."""
+    """As many samples as reach ``recall`` on copies of ``items`` with the most edits allowed, wherever they crowd."""
     random = np.random.default_rng(SEED)
     steps = max(width, min(MOST_STEPS, *map(len, items), len(items[0])))  # a walk of n steps reads about n / 2 words
     pool = [(k % WALKS, np.sort(random.choice(steps, width, replace=False))) for k in range(MOST_SAMPLES)]
-    hit = np.zeros((TRIALS, len(pool)), dtype=bool)
-    for t, k in enumerate(random.integers(0, len(items), TRIALS)):
-        item, most = items[int(k)], allowed(len(items[int(k)]), share)
-        copy = _edited(item, most, random, vocabulary)
-        own = emitted(np.append(item, END), np.zeros(1, dtype=np.int64), pool, bits)
-        other = emitted(np.append(copy, END), np.arange(min(len(copy), 1 + most)), pool, bits)
-        for n, sample in enumerate(pool):
-            hit[t, n] = np.isin(_keys(other, sample), _keys(own, sample)).any()
-    reached = np.maximum.accumulate(hit, axis=1).mean(axis=0)
+    reached = np.ones(len(pool))
+    for crowd in CROWDS:
+        chosen = [items[int(k)] for k in random.integers(0, len(items), TRIALS)]
+        copies = [_edited(item, allowed(len(item), share), random, vocabulary, crowd) for item in chosen]
+        around = np.full(steps, STRANGE, dtype=np.int32)  # a copy in a text has words behind it
+        mine, _, own = _walked(chosen, [anchors(len(item)) for item in chosen], pool, bits)
+        theirs, _, other = _walked([np.append(c, around) for c in copies], [range(len(c)) for c in copies], pool, bits)
+        hit = np.zeros((TRIALS, len(pool)), dtype=bool)
+        for n in range(len(pool)):
+            apart = np.uint64(0xD6E8FEB86659FD93)
+            same = np.isin(other[n] ^ theirs.astype(np.uint64) * apart, own[n] ^ mine.astype(np.uint64) * apart)
+            hit[theirs[same], n] = True
+        reached = np.minimum(reached, np.maximum.accumulate(hit, axis=1).mean(axis=0))
     enough = np.flatnonzero(reached >= recall)
     return pool[: int(enough[0]) + 1 if len(enough) else len(pool)]
 
@@ -199,16 +224,16 @@ def prepare(rows: list[tuple], share: float = EDIT_SHARE, recall: float = RECALL
         while last < len(items) and len(items[last]) <= size * CLASS_GROWTH:
             last += 1
         samples = choose_samples(items[k:last], bits, len(words), share, recall, width)
-        tables: list[dict[int, list[int]]] = [{} for _ in samples]
-        filters = [np.zeros(1 << FILTER_BITS, dtype=bool) for _ in samples]
         inside = np.zeros(len(words) + 2, dtype=bool)
-        for n in range(k, last):
-            inside[items[n]] = True
-            made = emitted(np.append(items[n], END), np.zeros(1, dtype=np.int64), samples, bits)
-            for table, passed, sample in zip(tables, filters, samples):
-                key = int(_keys(made, sample)[0])
-                table.setdefault(key, []).append(n)
-                passed[key & (1 << FILTER_BITS) - 1] = True
+        inside[np.concatenate(items[k:last])] = True
+        tables, filters = [], []
+        number, start, made = _walked(items[k:last], [anchors(len(item)) for item in items[k:last]], samples, bits)
+        for keys in made:
+            order = np.argsort(keys, kind="stable")
+            tables.append((keys[order], (number[order] + k).astype(np.int32), start[order].astype(np.int32)))
+            passed = np.zeros(1 << FILTER_BITS, dtype=bool)
+            passed[(keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
+            filters.append(passed)
         known.classes.append(SizeClass(size, len(items[last - 1]), inside, samples, tables, filters))
         k = last
     return known
@@ -238,18 +263,29 @@ def matches(texts: list[str | None], known: Items) -> list[tuple[int, int, int,
             cost = np.where(c.known[ids], 0, 1)
             cost[ids == END] = len(ids)
             spent = np.concatenate([[0], np.cumsum(cost)])
-            starts = np.flatnonzero((spent[least:] - spent[:-least]) <= allowed(c.largest, known.share))
+            good = np.flatnonzero((spent[least:] - spent[:-least]) <= allowed(c.largest, known.share))
+            held = np.zeros(len(ids) + 1, dtype=np.int32)
+            held[good] += 1
+            held[good + least] -= 1
+            starts = np.flatnonzero(np.cumsum(held[:-1]))
             for at in range(0, len(starts), CHUNK):
                 part = starts[at : at + CHUNK]
                 made = emitted(ids, part, c.samples, known.bits)
-                for sample, table, passed in zip(c.samples, c.tables, c.filters):
+                for sample, (listed, number, anchor), passed in zip(c.samples, c.tables, c.filters):
                     keys = _keys(made, sample)
-                    for hit in np.flatnonzero(passed[(keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)]):
-                        for n in table.get(int(keys[hit]), ()):
-                            places.setdefault(n, []).append(part[hit])
+                    hit = np.flatnonzero(passed[(keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)])
+                    low, high = (np.searchsorted(listed, keys[hit], side=side) for side in ("left", "right"))
+                    where = np.repeat(part[hit], high - low)
+                    entry = np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange(len(where))
+                    own = bounds[np.searchsorted(bounds, where, side="right") - 1]
+                    begun = np.maximum(where - anchor[entry], own)
+                    order = np.argsort(number[entry], kind="stable")
+                    ns, cuts = np.unique(number[entry][order], return_index=True)
+                    for n, group in zip(ns.tolist(), np.split(begun[order], cuts[1:])):
+                        places.setdefault(n, []).append(group)
         found: dict[tuple[int, int], tuple[int, int]] = {}
         for n, at in places.items():
-            _verify(ids, bounds, known, n, np.unique(at), found)
+            _verify(ids, bounds, known, n, np.unique(np.concatenate(at)), found)
         for size, table in known.exact.items():
             for start in range(len(ids) - size):
                 for n in table.get(tuple(ids[start : start + size].tolist()), ()):

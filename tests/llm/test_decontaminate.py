@@ -74,6 +74,23 @@ def test_recall_and_precision_against_brute_force(items):
     assert all(k in got for k, d in want.items() if d == 0)
 
 
+@pytest.mark.parametrize("crowd", [0.0, 0.5, 1.0])
+def test_recall_where_edits_crowd(items, crowd):
+    """Every word of a run as long as the edits allowed is replaced, at the head, in the middle or at the tail."""
+    rnd = random.Random(3)
+    known, held, want = dc.prepare(items), [], 0
+    for i, item in items:
+        words = item.split()
+        most = dc.allowed(len(words))
+        at = int(crowd * (len(words) - most))
+        words[at : at + most] = rnd.choices(VOCABULARY, k=most)
+        around = [rnd.choices(VOCABULARY, k=30) for _ in range(2)]
+        text = " ".join([*around[0], *words, *around[1]])
+        want += 1
+        held.append(any(known.ids[n] == i for _, n, _, _ in dc.matches([text], known)))
+    assert sum(held) >= dc.RECALL * want
+
+
 def test_blocks_change_nothing(items, monkeypatch):
     known = dc.prepare(items)
     texts = [items[k % 60][1] + " x" * (k % 7) for k in range(90)]
