@@ -3,13 +3,15 @@
 A page becomes lines: the texts of its blocks, in page order, with character references decoded and
 white space folded. Pages of one host are sorted by url path; each is paired with the neighbour
 whose path shares the longer beginning. The two pages' lines are aligned by a longest common
-subsequence, and lines that both have are template and are deleted, unless they stand in the page's
-article: an article may quote a passage that its neighbour quotes too.
+subsequence, and lines that both have are template and are deleted, in and out of an article. Only a
+passage of running text (``p``, ``blockquote``, ``pre``) or a title (``h1``) in an ``article`` or ``main``
+stays: an article may quote a passage that its neighbour quotes too, and pages that are nearly copies
+have one title.
 
 Differencing alone keeps what is boilerplate but differs from page to page (an advert, a footer
 with the host's name), so markup that says what it is counts as well: ``nav``, ``aside``,
 ``footer``, ``form``, scripts, styles, elements whose class, id or role name a menu, advert, notice
-or reader comments; and where a page has an ``article`` or ``main``, what stands outside it.
+or reader comments. What merely stands outside an article stays unless it is shared or so named.
 
 The pages are parsed twice, which is cheaper than keeping their lines. The pairing is a range sort of (host, path, row) over the whole cluster, so
 a host with a third of all pages is split like any other; a pair over a partition's edge is made
@@ -41,6 +43,9 @@ RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title",
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 MAIN = {"article", "main"}
+PASSAGES = {"h1", "p", "blockquote", "pre"}
+#: Where a line stands.
+OUTSIDE, IN_ARTICLE, IN_PASSAGE = 0, 1, 2
 DROPPED = {"head", "nav", "aside", "footer", "form", "button", "select", "dialog", "menu"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 PARTS = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "related", "replies", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
@@ -63,13 +68,13 @@ def _names_a_part(name: str, attributes: str) -> bool:
     return False
 
 
-def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
-    """(line, in an article, dropped by its markup) of one page, in page order."""
+def lines_of(page: str | None) -> list[tuple[str, int, bool]]:
+    """(line, where it stands, dropped by its markup) of one page, in page order."""
     page = page or ""
-    out: list[tuple[str, bool, bool]] = []
+    out: list[tuple[str, int, bool]] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, in an article, dropped
-    at, inside, dropped = 0, False, False
+    stack: list[tuple[str, int, bool]] = []  # element, where it stands, dropped
+    at, inside, dropped = 0, OUTSIDE, False
 
     def flush() -> None:
         line = " ".join("".join(text).split())
@@ -107,8 +112,9 @@ def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
                     if stack[k][0] in MAIN or stack[k][0] in ("div", "section", "ul", "ol", "table", "tbody", "blockquote", "body"):
                         break
             gone = name in DROPPED or name == "header" and not inside or name not in ("html", "body") and _names_a_part(name, found[3])
-            stack.append((name, inside or name in MAIN, dropped or gone))
-        inside, dropped = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            where = IN_PASSAGE if inside and name in PASSAGES else max(inside, IN_ARTICLE if name in MAIN else OUTSIDE)
+            stack.append((name, where, dropped or gone))
+        inside, dropped = (stack[-1][1], stack[-1][2]) if stack else (OUTSIDE, False)
     flush()
     return out
 
@@ -147,28 +153,32 @@ def shared(mine: list[int], other: list[int]) -> list[int]:
     return [*range(start), *reversed(middle), *range(len(mine) - end, len(mine))]
 
 
-_PARTS = T.StructType(
-    [
-        T.StructField("text", T.StringType()),
-        T.StructField("loose", T.ArrayType(T.StructType([T.StructField("line", T.StringType()), T.StructField("place", T.IntegerType())]))),
-    ]
-)
+#: Place of what stays whatever the neighbour has.
+STAYS = -1
+_PARTS = T.ArrayType(T.StructType([T.StructField("line", T.StringType()), T.StructField("place", T.IntegerType())]))
 
 
-def parts_of(page: str | None) -> tuple[str | None, list[tuple[str, int]]]:
-    """The article's text where a page has an article; else none, and the lines that its markup doesn't drop, with their places."""
-    lines = lines_of(page)
-    article = [line for line, inside, dropped in lines if inside and not dropped]
-    if article:
-        return " ".join(article), []
-    return None, [(line, k) for k, (line, _, dropped) in enumerate(lines) if not dropped]
+def parts_of(page: str | None) -> list[tuple[str, int]]:
+    """The lines that their markup doesn't drop, with their places; passages of an article that follow each other as one."""
+    out: list[tuple[str, int]] = []
+    passages: list[str] = []
+    for k, (line, where, dropped) in enumerate(lines_of(page)):
+        if dropped:
+            continue
+        if where == IN_PASSAGE:
+            passages.append(line)
+            continue
+        if passages:
+            out.append((" ".join(passages), STAYS))
+            passages = []
+        out.append((line, k))
+    return [*out, (" ".join(passages), STAYS)] if passages else out
 
 
 @F.pandas_udf(_PARTS)
-def _parts_column(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _parts_column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for pages in batches:
-        parts = [parts_of(p) for p in pages]
-        yield pd.DataFrame({"text": [t for t, _ in parts], "loose": [[{"line": a, "place": k} for a, k in loose] for _, loose in parts]})
+        yield pd.Series([[{"line": line, "place": k} for line, k in parts_of(p)] for p in pages], dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -284,8 +294,7 @@ def extract(pages: DataFrame, url_column: str = "url", html_column: str = "html"
     template = pairs.join(known.select("row", "hashes"), "row").join(other, "partner")
     template = template.select(F.col("row").alias(key), _template("hashes", "others").alias(common))
     joined = pages.select(*keep, digest.alias(key), _parts_column(page).alias(lines)).join(template, key, "left")
-    # Lines outside the article of a page that has one go by their markup, shared or not; inside it none goes for being shared.
     places = F.coalesce(F.col(common), F.array().cast("array<int>"))
-    rest = F.filter(F.col(f"{lines}.loose"), lambda x: ~F.array_contains(places, x["place"]))
-    text = F.coalesce(F.col(f"{lines}.text"), F.array_join(F.transform(rest, lambda x: x["line"]), " "))
+    rest = F.filter(F.col(lines), lambda x: ~F.array_contains(places, x["place"]))
+    text = F.array_join(F.transform(rest, lambda x: x["line"]), " ")
     return joined.select(*keep, text.alias("text"), F.size(places).cast("long").alias("n_shared"))

@@ -76,6 +76,17 @@ def test_differencing_without_markup(spark):
     assert got == {**{k: f"body {k}" for k in range(4)}, 9: "Site name Home alone All rights"}
 
 
+def test_differencing_beside_an_article(spark):
+    """A teaser's article doesn't hide the main text beside it; shared lines go inside an article too, but for quoted passages."""
+
+    def page(k):
+        return f"<div>Site name</div><article><h3>Read more</h3><p>teaser {k}</p><p>a quoted passage</p><div>Share this</div></article><div>body {k}</div><div class=ad>ad {k}</div><div>All rights</div>"
+
+    rows = [(k, f"http://a.com/x/{k}", page(k)) for k in range(4)]
+    got = {r["page_id"]: r["text"] for r in h.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {k: f"teaser {k} a quoted passage body {k}" for k in range(4)}
+
+
 def test_a_copy_is_no_template(spark):
     rows = [(k, f"http://a.com/{k}", "<p>one</p><p>two</p>") for k in range(3)]
     assert {r["text"] for r in h.extract(spark.createDataFrame(rows, PAGES)).collect()} == {"one two"}
