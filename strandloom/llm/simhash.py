@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import shingles
 from .common import cut, free_name
 from .graph import components
 
@@ -171,12 +172,27 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of every group of near-duplicates the one with the smallest id.
 
-    Rows without an id stay: no group can be named by them, so none is known to be a copy.
+    Near-duplicates are within ``TAU`` bits, or share their word shingles (``shingles``). Rows without
+    an id stay: no group can be named by them, so none is known to be a copy. Rows that share an id
+    are one row only where they are of one shingle set.
     """
-    found = cut(near_duplicates(docs, id_column, text_column))
-    key = free_name(docs, "kept")
-    firsts = found.where("id = component").groupBy("id").agg(F.count("*").alias("n"))
-    kept = docs.join(firsts.select(F.col("id").alias(key)), F.col(id_column) == F.col(key), "left_semi")
-    if firsts.where("n > 1").limit(1).count():  # a row that is there twice with its id
-        kept = kept.dropDuplicates([id_column])
+    text = F.col(text_column).cast("string")
+    named = docs.where(F.col(id_column).isNotNull())
+    prints = cut(named.select(F.col(id_column).alias("id"), fingerprint_column(text).alias("fp"), shingles.sketch_column(text).alias("s")).select("id", "fp", "s.*"))
+    texts = cut(prints.groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    of_print = F.xxhash64("fp", F.lit("fingerprint"))
+    held = cut(prints.select(of_print.alias("a"), F.col("node").alias("b")).distinct())
+    bits = links(prints.select("fp").distinct().select(of_print.alias("node"), "fp"))
+    alike = shingles.links(texts.select("node", "size", "bands"), prints.select("node", "hashes"))
+    groups = components(held.union(bits).union(alike))
+    firsts = cut(texts.join(groups, "node").groupBy("component").agg(F.min(F.struct("id", "node")).alias("first")).select("first.*"))
+    rows = prints.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").join(firsts, "id", "left_semi")
+    key, node = free_name(docs, "kept"), free_name(docs, "node")
+    if rows.limit(1).count():  # an id that is there twice
+        named = named.withColumn(node, shingles.sketch_column(text)["node"])
+        wanted = firsts.select(F.col("id").alias(key), F.col("node").alias(f"{key}_node"))
+        kept = named.join(wanted, (F.col(id_column) == F.col(key)) & (F.col(node) == F.col(f"{key}_node")), "left_semi")
+        kept = kept.dropDuplicates([id_column, node]).drop(node)
+    else:
+        kept = named.join(firsts.select(F.col("id").alias(key)), F.col(id_column) == F.col(key), "left_semi")
     return kept.union(docs.where(F.col(id_column).isNull()))
