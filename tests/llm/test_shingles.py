@@ -35,3 +35,9 @@ def test_kept_as_by_brute_force(spark, make_docs, monkeypatch, limit):
             root[i] = root[j] = min(root[i], root[j])
     want = sorted(set(root))
     assert sorted(r["doc_id"] for r in simhash.keep_one(make_docs(texts)).collect()) == want and len(want) < 15
+
+
+def test_unlike_texts_with_one_id_stay(spark):
+    rows = [(1, "a text of its own about one thing"), (1, "another that shares nothing but the number"), (1, "another that shares nothing but the number")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["text"] for r in kept.collect()) == sorted({t for _, t in rows})
