@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder, as in local tests.
+#: Used only where the session names no checkpoint folder and runs in one process, as in local tests.
 LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints"
+#: This process's folder in the shared one.
+RUN = uuid.uuid4().hex
+#: A join's keys with more than this share of its rows are dealt over several tasks: fewer than its inverse.
+HOT_SHARE = 1 / 500
+LEAST_HOT = 5_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``)."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one only in local mode."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or LOCAL_CHECKPOINT_DIR)
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -27,22 +36,59 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
-    What was computed once is not computed again by later branches, and a lost
-    executor costs a re-read and no recomputation.
+    What was computed once is not computed again by later branches, and a lost executor costs a re-read
+    and no recomputation. ``release`` deletes a table; what is left goes when the driver's process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    run = f"{shared_dir(spark)}/{RUN}"
+    path = f"{run}/{uuid.uuid4().hex}"
+    atexit.unregister(_delete)
+    atexit.register(_delete, spark, run)
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._cut_at = path
     return table
 
 
-def release(table: DataFrame) -> None:
-    """Delete a table that ``cut`` wrote, once nothing reads it any more."""
-    jvm = table.sparkSession._jvm
-    at = jvm.org.apache.hadoop.fs.Path(table._cut_at)
-    at.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    except Exception:  # the JVM may have gone before the process
+        pass
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote, once nothing reads them any more."""
+    for table in tables:
+        _delete(table.sparkSession, table._cut_at)
+
+
+def hot_keys(sizes: DataFrame, key: str, count: str) -> DataFrame | None:
+    """(key, copies) of the keys that hold more than ``HOT_SHARE`` of the rows that ``sizes`` counts, or None where there are none.
+
+    There are fewer than ``1 / HOT_SHARE`` of them, whatever the table's size, so that they may be broadcast.
+    """
+    seen = sizes.agg(F.sum(count).alias("total"), F.max(count).alias("most")).first()
+    floor = max(LEAST_HOT, int((seen["total"] or 0) * HOT_SHARE))
+    if (seen["most"] or 0) <= floor:
+        return None
+    return sizes.where(F.col(count) > floor).select(key, F.ceil(F.col(count) / F.lit(floor)).cast("int").alias("copies"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, count: str, by: Column, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each ``key`` and in ``count`` the number of left rows that have it.
+
+    Rows of a hot key are dealt over tasks by a hash of ``by``, and its one right row is copied to each.
+    """
+    hot = hot_keys(right, key, count)
+    if hot is None:
+        return left.join(right, key, how)
+    copies, salt = free_name(left, "copies"), free_name(left, "salt")
+    hot = F.broadcast(hot.withColumnRenamed("copies", copies))
+    dealt = left.join(hot, key, "left").withColumn(salt, F.pmod(F.xxhash64(by), F.coalesce(copies, F.lit(1)).cast("long"))).drop(copies)
+    several = right.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(copies, F.lit(1)).cast("long") - 1))).drop(copies)
+    return dealt.join(several, [key, salt], how).drop(salt)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import cut, release, spread_join
 
 #: Rounds halve the depth of every tree at least, so this covers any graph that fits a cluster.
 MAX_ROUNDS = 60
 
 
+def _least(edges: DataFrame, value) -> DataFrame:
+    return edges.groupBy("a").agg(value.alias("m"), F.count("*").alias("n"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a").toDF("a", "b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = _least(both, F.least(F.min("b"), F.col("a")))
+    return spread_join(both, least, "a", "n", F.col("b")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    pointed = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return pointed.union(least.toDF("a", "b"))
+    least = _least(edges, F.min("b"))
+    pointed = spread_join(edges, least, "a", "n", F.col("b")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return pointed.union(least.select("a", "m").toDF("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,6 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates the large-star and the small-star operation (Kiveris et al., 2014) until the
     edges are stars. Self loops and repeated edges are allowed; an empty table gives an empty one.
+    A star's centre may have any share of all edges: its joins are dealt over tasks.
     """
     a, b = edges.columns
     stars = cut(
@@ -35,8 +40,10 @@ def components(edges: DataFrame) -> DataFrame:
     )
     seen = None
     for _ in range(MAX_ROUNDS):
-        before, stars = stars, cut(_small_star(_large_star(stars).distinct()).distinct())
-        release(before)
+        before = stars
+        wide = cut(_large_star(before).distinct())
+        stars = cut(_small_star(wide).distinct())
+        release(before, wide)
         now = stars.agg(
             F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
         ).first()
