@@ -6,13 +6,17 @@ word: insertions, deletions, replacements).
 
 Candidates: the CGK embedding (Chakraborty, Goldenberg and Koucky, 2016) walks over a window and
 emits a word a step, moving on or staying by a random bit of (step, word); windows at a small edit
-distance get embeddings at a small Hamming distance. An item is walked from about ``ANCHORS``
-places spread over it, so that edits anywhere leave some walk alone; a text is walked from every word.
+distance get embeddings at a small Hamming distance. A walk that has met many edits is lost for good, so an
+item-sized window is embedded block by block: a new walk begins about every ``BLOCK_STEPS / 2`` words, which is what
+``BLOCK_STEPS`` steps read, so that the walks together read the whole item whatever its size, and edits anywhere
+leave some of them alone. A text is walked from every word, so blocks needn't be aligned.
 Per walk, repeated samples of ``BITS`` steps are hashed; a text's walk and an item's that agree on one
 sample make a candidate. Walks depend only on where they start, so items of all sizes of one class
 share them: samples of a class are taken from the steps that its smallest item fills. The number of
 samples follows from ``RECALL``, as measured on copies of the items themselves with the most edits
-allowed: it is reached with the edits spread, and crowded at the head, the middle and the tail.
+allowed: it is reached with the edits spread, and crowded at the head, the middle and the tail. Where ``MOST_SAMPLES``
+samples don't reach it, the class gets an exact way beside them: k edits leave one of k + 1 parts of
+an item whole, so a run of that many equal words makes a candidate too and none is missed.
 
 Before walking, positions are passed over where no item can match for certain: of any window within
 distance k of an item at most k words are in no item at all, so a place counts if such a window holds it.
@@ -20,9 +24,12 @@ distance k of an item at most k words are in no item at all, so a place counts i
 Verification: the exact distance of the item to the best part of the text around the candidate.
 
 The items are a stated query set: they are read in blocks of at most ``BLOCK_ITEMS``, and each
-block's table goes to all texts, so nothing that is broadcast grows beyond a block. Null and empty
-texts and items match nothing. Items of fewer than ``LEAST_WORDS`` words are compared exactly
-(distance 0). Repeated rows give repeated result rows.
+block's table goes to all texts, so nothing that is broadcast grows beyond a block; with several blocks each one's matches
+are written before the next is sent. Null and empty texts and items match nothing, null ids are kept. Items of fewer than
+``LEAST_WORDS`` words are compared exactly (distance 0). Repeated rows give repeated result rows; of several places of an item
+in a text the first at the least distance is given. Very long texts are handled in parts of ``CHUNK`` words' walks. Columns are read
+by the names given, and results have names of their own, so extra columns of any name are passed over. Empty tables give
+no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +37,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import free_name
+from .common import cut, free_name, release
 
 EDIT_SHARE = 0.2
 RECALL = 0.97
@@ -48,15 +56,15 @@ LEAST_WORDS = 5
 BLOCK_ITEMS = 5_000
 #: Independent walks; each serves many samples.
 WALKS = 12
-#: Steps that samples of one walk are taken from: more would cross more edits and add little.
-MOST_STEPS = 24
+#: Steps of the walk over one block of an item.
+BLOCK_STEPS = 24
 #: Places of an item that walks start from, at least where it has as many words.
 ANCHORS = 12
 #: Where a measured copy's edits are: anywhere, or in a run that begins at this share of what is before its last place.
 CROWDS = (None, 0.0, 0.5, 1.0)
 MOST_SAMPLES = 64
 #: Edited copies on which the number of samples is measured.
-TRIALS = 60
+TRIALS = 200
 FILTER_BITS = 16
 #: Class sizes grow by this factor.
 CLASS_GROWTH = 1.3
@@ -67,6 +75,8 @@ CHUNK = 400_000
 SEED = 20160
 #: Stand for words of no item, and for the end of a text, where every walk stays.
 STRANGE, END = -1, -2
+#: The walk that moves on at every step.
+STRAIGHT = WALKS
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -146,7 +156,13 @@ class Items:
 
 
 def anchors(size: int) -> range:
-    return range(0, size, max(1, size // ANCHORS))
+    """Where an item's walks begin: no word lies between one walk's reach and the next walk."""
+    return range(0, size, max(1, min(size // ANCHORS, BLOCK_STEPS // 2)))
+
+
+def whole_part(size: int, share: float) -> int:
+    """Words of an item's parts, one of which any allowed edits leave whole."""
+    return size // (allowed(size, share) + 1)
 
 
 def _edited(item: np.ndarray, edits: int, random: np.random.Generator, vocabulary: int, crowd: float | None) -> np.ndarray:
@@ -183,10 +199,10 @@ def _walked(parts: list[np.ndarray], starts: list[range], samples: list, bits: d
     return part, start, [_keys(made, sample) for sample in samples]
 
 
-def choose_samples(items: list[np.ndarray], bits: dict, vocabulary: int, share: float, recall: float, width: int) -> list[tuple[int, np.ndarray]]:
-    """As many samples as reach ``recall`` on copies of ``items`` with the most edits allowed, wherever they crowd."""
+def choose_samples(items: list[np.ndarray], bits: dict, vocabulary: int, share: float, recall: float, width: int) -> tuple[list[tuple[int, np.ndarray]], bool]:
+    """As many samples as reach ``recall`` on copies of ``items`` with the most edits allowed, wherever they crowd; and whether they do."""
     random = np.random.default_rng(SEED)
-    steps = max(width, min(MOST_STEPS, *map(len, items), len(items[0])))  # a walk of n steps reads about n / 2 words
+    steps = max(width, min(BLOCK_STEPS, *map(len, items), len(items[0])))  # a walk of n steps reads about n / 2 words
     pool = [(k % WALKS, np.sort(random.choice(steps, width, replace=False))) for k in range(MOST_SAMPLES)]
     reached = np.ones(len(pool))
     for crowd in CROWDS:
@@ -201,8 +217,21 @@ def choose_samples(items: list[np.ndarray], bits: dict, vocabulary: int, share:
             same = np.isin(other[n] ^ theirs.astype(np.uint64) * apart, own[n] ^ mine.astype(np.uint64) * apart)
             hit[theirs[same], n] = True
         reached = np.minimum(reached, np.maximum.accumulate(hit, axis=1).mean(axis=0))
-    enough = np.flatnonzero(reached >= recall)
-    return pool[: int(enough[0]) + 1 if len(enough) else len(pool)]
+    enough = np.flatnonzero(reached[: len(pool) // 2] >= recall)
+    # What is measured is one draw of copies: twice the samples keep chance from deciding.
+    return pool[: 2 * int(enough[0]) + 2 if len(enough) else len(pool)], bool(len(enough))
+
+
+def _tables(made: list[np.ndarray], number: np.ndarray, start: np.ndarray) -> tuple[list, list]:
+    """By sample: (keys in order, each one's item and place in it), and which low bits of a key there are."""
+    tables, filters = [], []
+    for keys in made:
+        order = np.argsort(keys, kind="stable")
+        tables.append((keys[order], number[order].astype(np.int32), start[order].astype(np.int32)))
+        passed = np.zeros(1 << FILTER_BITS, dtype=bool)
+        passed[(keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
+        filters.append(passed)
+    return tables, filters
 
 
 def prepare(rows: list[tuple], share: float = EDIT_SHARE, recall: float = RECALL, width: int = BITS) -> Items:
@@ -211,7 +240,7 @@ def prepare(rows: list[tuple], share: float = EDIT_SHARE, recall: float = RECALL
     words: dict[bytes, int] = {}
     items = [np.array([words.setdefault(w, len(words)) for w in ws], dtype=np.int32) for _, ws in listed]
     longest = max([LEAST_WORDS, *map(len, items)])
-    bits = {w: np.stack([walk_bits(len(words), step, w) for step in range(min(longest, MOST_STEPS))]) for w in range(WALKS)}
+    bits = {w: np.stack([walk_bits(len(words), step, w) for step in range(min(longest, BLOCK_STEPS))]) for w in range(WALKS)}
     known = Items([i for i, _ in listed], words, items, share, bits, [], {})
     k = 0
     while k < len(items):
@@ -223,17 +252,21 @@ def prepare(rows: list[tuple], share: float = EDIT_SHARE, recall: float = RECALL
         last = k
         while last < len(items) and len(items[last]) <= size * CLASS_GROWTH:
             last += 1
-        samples = choose_samples(items[k:last], bits, len(words), share, recall, width)
+        block = items[k:last]
+        samples, reached = choose_samples(block, bits, len(words), share, recall, width)
         inside = np.zeros(len(words) + 2, dtype=bool)
-        inside[np.concatenate(items[k:last])] = True
-        tables, filters = [], []
-        number, start, made = _walked(items[k:last], [anchors(len(item)) for item in items[k:last]], samples, bits)
-        for keys in made:
-            order = np.argsort(keys, kind="stable")
-            tables.append((keys[order], (number[order] + k).astype(np.int32), start[order].astype(np.int32)))
-            passed = np.zeros(1 << FILTER_BITS, dtype=bool)
-            passed[(keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
-            filters.append(passed)
+        inside[np.concatenate(block)] = True
+        number, start, made = _walked(block, [anchors(len(item)) for item in block], samples, bits)
+        tables, filters = _tables(made, number + k, start)
+        if not reached:
+            size_ = min(whole_part(len(item), share) for item in block)
+            straight = np.ones((size_, len(words) + 2), dtype=np.int32)
+            straight[:, 0] = 0
+            bits[STRAIGHT] = straight if len(bits.get(STRAIGHT, ())) < size_ else bits[STRAIGHT]
+            samples = [*samples, (STRAIGHT, np.arange(size_))]
+            number, start, made = _walked(block, [range(len(item) - size_ + 1) for item in block], samples[-1:], bits)
+            more = _tables(made, number + k, start)
+            tables, filters = tables + more[0], filters + more[1]
         known.classes.append(SizeClass(size, len(items[last - 1]), inside, samples, tables, filters))
         k = last
     return known
@@ -303,14 +336,14 @@ def _verify(ids: np.ndarray, bounds: np.ndarray, known: Items, n: int, places: n
     docs = np.searchsorted(bounds, places, side="right") - 1
     low = np.maximum(bounds[docs], places - most)
     high = np.minimum(bounds[docs + 1] - 1, places + len(item) + most)
-    have = np.concatenate([[0], np.cumsum(inside[ids])])
-    keep = np.flatnonzero(have[high] - have[low] >= len(item) - most)
     k = 0
-    while k < len(keep):
-        a, b, doc = int(low[keep[k]]), int(high[keep[k]]), int(docs[keep[k]])
-        while k < len(keep) and docs[keep[k]] == doc and low[keep[k]] <= b:
-            b = int(high[keep[k]])
+    while k < len(places):
+        a, b, doc = int(low[k]), int(high[k]), int(docs[k])
+        while k < len(places) and docs[k] == doc and low[k] <= b:
+            b = int(high[k])
             k += 1
+        if np.count_nonzero(inside[ids[a:b]]) < len(item) - most:
+            continue
         if not found.get((doc, n), (1, 0))[0]:
             continue
         distance, end = best_distance(item, ids[a:b])
@@ -318,12 +351,12 @@ def _verify(ids: np.ndarray, bounds: np.ndarray, known: Items, n: int, places: n
             found[doc, n] = (distance, max(int(bounds[doc]), a + end - len(item)))
 
 
-def _item_blocks(benchmark: DataFrame, id_column: str, text_column: str) -> Iterator[list[tuple]]:
-    """The benchmark's rows in blocks of at most about BLOCK_ITEMS, by a hash of the id."""
+def _item_blocks(benchmark: DataFrame, id_column: str, text_column: str) -> Iterator[tuple[list[tuple], bool]]:
+    """The benchmark's rows in blocks of at most about BLOCK_ITEMS, by a hash of the id; and whether there is one block only."""
     items = benchmark.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).where("text is not null")
     blocks = max(1, -(-items.count() // BLOCK_ITEMS))
     for b in range(blocks):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).collect()]
+        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).collect()], blocks == 1
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = EDIT_SHARE, recall: float = RECALL) -> DataFrame:
@@ -332,11 +365,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     schema = T.StructType([T.StructField("doc", kind), T.StructField("item", item_kind), T.StructField("place", T.LongType()), T.StructField("distance", T.IntegerType())])
     texts = docs.select(F.col(id_column).alias("doc"), F.col(text_column).cast("string").alias("text")).where("text is not null")
     arrow_item = to_arrow_type(item_kind)
-    out = None
-    for rows in _item_blocks(benchmark, item_id, item_text):
-        known = docs.sparkSession.sparkContext.broadcast(prepare(rows, share, recall))
 
-        def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+    def part(known) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = matches(batch.column(1).to_pylist(), known.value)
                 at = [k for k, _, _, _ in found]
@@ -351,19 +382,35 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
                     names=["doc", "item", "place", "distance"],
                 )
 
-        part = texts.mapInArrow(run, schema)
-        out = part if out is None else out.union(part)
+        return texts.mapInArrow(run, schema)
+
+    parts = []
+    for rows, alone in _item_blocks(benchmark, item_id, item_text):
+        known = docs.sparkSession.sparkContext.broadcast(prepare(rows, share, recall))
+        parts.append(part(known) if alone else cut(part(known)))
+        if not alone:
+            known.destroy()
+    out = reduce(DataFrame.union, parts)
     return out.select(F.col("doc").alias(id_column), F.col("item").alias("item_id"), "place", "distance")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item; all columns, texts unchanged. Rows are judged where they are: nothing is shuffled."""
-    flag = free_name(docs, "leak")
-    out = docs
-    for rows in _item_blocks(benchmark, item_id, item_text):
+    """The rows of ``docs`` that hold no item; all columns, texts unchanged.
+
+    Rows are judged where they are, and nothing is shuffled where the items are one block. With several, the
+    digests of the texts that hold one are written, and rows leave by them. Rows without a text stay.
+    """
+    flag, text = free_name(docs, "leak"), F.col(text_column).cast("string")
+    parts = []
+    for rows, alone in _item_blocks(benchmark, item_id, item_text):
         known = docs.sparkSession.sparkContext.broadcast(prepare(rows))
-        out = out.withColumn(flag, _leak_udf(known)(F.col(text_column).cast("string"))).where(~F.col(flag)).drop(flag)
-    return out
+        if alone:
+            return docs.withColumn(flag, _leak_udf(known)(text)).where(~F.col(flag)).drop(flag)
+        parts.append(cut(docs.select(F.md5(text).alias(flag), _leak_udf(known)(text).alias("held")).where("held").select(flag).distinct()))
+        known.destroy()
+    leaked = cut(reduce(DataFrame.union, parts).distinct())
+    release(*parts)
+    return docs.withColumn(flag, F.md5(text)).join(leaked, flag, "left_anti").select(*docs.columns)
 
 
 def _leak_udf(known):

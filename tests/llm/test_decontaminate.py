@@ -126,3 +126,49 @@ def test_empty_tables(spark, make_docs, items):
     assert dc.find_leaks(make_docs(["x"]).where("false"), bench).count() == 0
     assert dc.find_leaks(make_docs([items[0][1]]), bench.where("false")).count() == 0
     assert dc.drop_contaminated(make_docs([items[0][1]]), bench.where("false")).count() == 1
+
+
+def with_edits(words, crowd, rnd):
+    """The most edits allowed: anywhere, or insertions, deletions and replacements in a run that begins at ``crowd``."""
+    out, most = list(words), dc.allowed(len(words))
+    for _ in range(most):
+        at = rnd.randrange(len(out)) if crowd is None else min(len(out) - 1, int(crowd * (len(words) - most)) + rnd.randrange(most))
+        match rnd.randrange(3):
+            case 0:
+                del out[at]
+            case 1:
+                out.insert(at, rnd.choice(VOCABULARY))
+            case _:
+                out[at] = rnd.choice(VOCABULARY)
+    return out
+
+
+@pytest.mark.parametrize("size", [15, 30, 60, 100, 300])
+def test_recall_at_every_size_wherever_the_edits_are(size):
+    rnd = random.Random(size)
+    items = [(k, " ".join(rnd.choices(VOCABULARY, k=size))) for k in range(30)]
+    known = dc.prepare(items)
+    for crowd in (None, 0.0, 0.25, 0.5, 0.75, 1.0):
+        texts = [" ".join([*rnd.choices(VOCABULARY, k=30), *with_edits(items[k % 30][1].split(), crowd, rnd), *rnd.choices(VOCABULARY, k=30)]) for k in range(150)]
+        found = {(t, known.ids[n]) for t, n, _, _ in dc.matches(texts, known)}
+        assert sum((t, t % 30) in found for t in range(150)) >= dc.RECALL * 150, crowd
+
+
+def test_the_exact_way_where_samples_do_not_reach_the_recall(monkeypatch):
+    """A recall that no number of samples reaches: every copy is found, as by brute force."""
+    rnd = random.Random(8)
+    items = [(k, " ".join(rnd.choices(VOCABULARY, k=rnd.randrange(10, 40)))) for k in range(30)]
+    monkeypatch.setattr(dc, "MOST_SAMPLES", 2)
+    known = dc.prepare(items, recall=1.01)
+    assert all(c.samples[-1][0] == dc.STRAIGHT for c in known.classes)
+    texts = [" ".join(["odd", *with_edits(items[k % 30][1].split(), None, rnd), "odd"]) for k in range(300)]
+    found = {(t, known.ids[n]) for t, n, _, _ in dc.matches(texts, known)}
+    assert all((t, t % 30) in found for t in range(300))
+
+
+def test_rows_without_ids_and_very_long_texts(spark, items):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(None, items[7][1]), (1, "filler words here " * 60_000 + items[8][1] + " filler" * 1000), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), r["item_id"]) for r in dc.find_leaks(docs, bench).collect()) == [("1", 8), ("None", 7)]
+    assert [tuple(r) for r in dc.drop_contaminated(docs, bench).collect()] == [(None, None)]
