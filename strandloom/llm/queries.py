@@ -52,7 +52,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
     voter = quality.train(docs, labels.where(rest != 0), "quality")
-    scored = docs.select("doc_id", (rest == 0).alias("held_out"), quality.score_udf(voter)("text").alias("score"))
+    scored = docs.select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), quality.score_udf(voter)("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= QUALITY_THRESHOLD).cast("int"))
 
 
@@ -76,8 +76,9 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = F.filter(spans, lambda s: s["kind"] < len(secrets.KINDS))
     return found.select(
-        "doc_id", *map(count, secrets.KINDS), F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(F.col(spans)).alias("spans")
-    )
+        "doc_id", *map(count, secrets.KINDS), F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(F.col(spans)).alias("spans"),
+        F.size(F.filter(spans, lambda s: s["live"])).cast("long").alias("n_live"), secrets.class_text(F.col(spans)).alias("classes"),
+    )
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,18 +148,21 @@ placed as (
   from found),
 kept as (select *, s + n as e from placed where case kind {tests} end),
 owned as (
-  select v, count(distinct source) <= {secrets.MOST_OWNERS} and count(distinct concat_ws('/', source, lang)) <= {secrets.MOST_REPOSITORIES} as live
+  select v, count(distinct source) as owners, count(distinct concat_ws('/', source, lang)) as repositories,
+    count(distinct source) <= {secrets.MOST_OWNERS} and count(distinct concat_ws('/', source, lang)) <= {secrets.MOST_REPOSITORIES} as live
   from kept group by v),
 reported as (
-  select k.* from kept k join owned o on o.v = k.v
+  select k.*, o.live, o.owners, o.repositories from kept k join owned o on o.v = k.v
   where kind < 3 or (o.live and not exists (select 1 from kept b where b.rn = k.rn and b.kind < 3 and b.s < k.e and k.s < b.e))),
 lists as (
   select rn, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,
     string_agg(['assign', 'access', 'hex', 'token'][kind + 1] || ':' || s || ':' || e, ',' order by s, kind) filter (kind < 3) as base,
-    string_agg(['assign', 'access', 'hex', 'token'][kind + 1] || ':' || s || ':' || e, ',' order by s, kind) as spans
+    string_agg(['assign', 'access', 'hex', 'token'][kind + 1] || ':' || s || ':' || e, ',' order by s, kind) as spans,
+    count(*) filter (live) as n_live, string_agg(case when live then 'live' else 'copied' end || ':' || owners || ':' || repositories, ',' order by s, kind) as classes
   from reported group by rn)
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
-  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+  coalesce(n_live, 0) as n_live, coalesce(classes, '') as classes
 from docs left join lists using (rn)
 """
 

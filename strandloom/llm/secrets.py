@@ -10,13 +10,16 @@ A fourth, ``token``, has any run of 20 or more characters of a value that mixes
 capitals and digits. Every candidate's value is hashed, and the corpus is asked how many distinct
 owners and repositories hold that hash: one with many is a copied example, one with few is
 specific to its owner and looks live. A ``token`` is reported only if it looks live and no span of
-another kind covers it; the other kinds are always reported, with their class.
+another kind covers it; the other kinds are always reported. Each reported span has its class and its numbers of owners and repositories.
 
 Spans are in code points, end exclusive. Spark has no function for positions of all matches; here
 they follow from the lengths of the matches and of the texts between them (``split`` by the same
-pattern). Null and empty texts have no spans. Null owners and repositories aren't counted, and a
-candidate that only rows without an owner hold counts as live. Repeated rows and ids: a result row
-for each row. Columns of the input are never read by name beyond the four given.
+pattern), as running sums that are made in blocks, so that a very long text of many matches takes time in proportion. Null and
+empty texts have no spans. Null owners and repositories aren't counted, and a
+candidate that only rows without an owner hold counts as live. Spans of two kinds that begin together come in the order of the
+kinds. Repeated rows and ids: a result row for each row. Extra columns come back as they are, whatever their names: columns of the
+input are never read by name beyond those given. An empty table gives an empty one. One value may be in any share of
+all rows: its rows are dealt over tasks where they meet its counts.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, text_or_empty
+from .common import cut, free_name, spread_join, text_or_empty
 
 KINDS = ("assign", "access", "hex")
 #: pattern, group of the value, least length of the value. Java's patterns; runs of a character class are maximal.
@@ -37,6 +40,39 @@ PATTERNS = {
 #: A value that more owners or repositories than these hold is a copied example.
 MOST_OWNERS = 2
 MOST_REPOSITORIES = 3
+#: Values of a running total that are made together.
+RUN = 128
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _blocks(values: Column) -> Column:
+    """``values`` in arrays of at most RUN."""
+
+    def cut_(v: Column) -> Column:
+        count = F.ceil(F.size(v) / F.lit(RUN)).cast("int")
+        return F.transform(F.filter(F.sequence(F.lit(0), count), lambda k: k < count), lambda k: F.slice(v, k * RUN + 1, F.lit(RUN)))
+
+    return _let(values, cut_)
+
+
+def running(values: Column, add) -> Column:
+    """array<int>: ``add`` of each of ``values`` (array<int>, none negative) with all before it, from 0.
+
+    Blocks have their totals, these are added up, and each block goes on from what is before it.
+    """
+    zero = F.lit(0)
+    after = lambda out, v: F.concat(out, F.array(add(F.element_at(out, -1), v)))
+
+    def whole(parts: Column) -> Column:
+        before = F.aggregate(F.transform(parts, lambda b: F.aggregate(b, zero, add)), F.array(zero), after)
+        rows = F.arrays_zip(parts.alias("part"), F.slice(before, F.lit(1), F.size(parts)).alias("before"))
+        return F.flatten(F.transform(rows, lambda r: F.slice(F.aggregate(r["part"], F.array(r["before"]), after), F.lit(2), F.lit(RUN))))
+
+    return F.when(F.size(values) > 0, _let(_blocks(values), whole)).otherwise(F.array().cast("array<int>"))
 
 
 def spans_of(text: Column, kind: str) -> Column:
@@ -45,7 +81,7 @@ def spans_of(text: Column, kind: str) -> Column:
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     between = F.split(text, pattern, -1)
-    found = F.arrays_zip(whole.alias("whole"), values.alias("value"), F.slice(between, F.lit(1), F.size(whole)).alias("gap"))
+    sizes = F.transform(F.arrays_zip(whole.alias("whole"), values.alias("value"), F.slice(between, F.lit(1), F.size(whole)).alias("gap")), lambda m: F.struct(m["value"].alias("value"), F.length(m["whole"]).alias("size"), F.length(m["gap"]).alias("gap")))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
     order = list(PATTERNS).index(kind)
 
@@ -53,31 +89,12 @@ def spans_of(text: Column, kind: str) -> Column:
         long = F.length(value) >= least
         return long & value.rlike("[a-z]") & value.rlike("[A-Z]") & value.rlike("[0-9]") if kind == "token" else long
 
-    walked = F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, m: F.struct(
-            (acc["at"] + F.length(m["gap"]) + F.length(m["whole"])).alias("at"),
-            F.when(
-                counts(m["value"]),
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.length(m["gap"])).alias("start"),
-                            F.lit(order).alias("kind"),
-                            (acc["at"] + F.length(m["gap"]) + F.length(m["whole"])).alias("end"),
-                            m["value"].alias("value"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+    def placed(found: Column) -> Column:
+        ends = running(F.transform(found, lambda m: m["gap"] + m["size"]), lambda x, y: x + y)
+        kept = F.filter(F.arrays_zip(found.alias("m"), ends.alias("end")), lambda r: counts(r["m"]["value"]))
+        return F.transform(kept, lambda r: F.struct((r["end"] - r["m"]["size"]).alias("start"), F.lit(order).alias("kind"), r["end"].alias("end"), r["m"]["value"].alias("value")))
+
+    return F.when(text.rlike(pattern), _let(sizes, placed)).otherwise(empty)
 
 
 def candidates(text: Column) -> Column:
@@ -89,12 +106,12 @@ def candidates(text: Column) -> Column:
 
 
 def ownership(found: DataFrame, most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
-    """(hash, owners, repositories, live): distinct owners and repositories by candidate hash.
+    """(hash, owners, repositories, n, live): distinct owners and repositories, and all candidates, by candidate hash.
 
     Distinct pairs first: a value's copies are gone before its hash meets another's.
     """
-    pairs = found.select("hash", "owner", "repository").distinct()
-    counts = pairs.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories"))
+    pairs = found.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"))
+    counts = pairs.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories"), F.sum("n").alias("n"))
     live = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
     return counts.withColumn("live", live)
 
@@ -102,8 +119,8 @@ def ownership(found: DataFrame, most_owners: int = MOST_OWNERS, most_repositorie
 def scan(
     docs: DataFrame, text_column: str = "text", owner: Column | None = None, repository: Column | None = None, keep: list[str] | None = None
 ) -> tuple[DataFrame, str]:
-    """The columns ``keep`` of ``docs`` (all by default) with ``spans``: array<struct<start, kind, end, live>>
-    by start and kind; and that column's name. kind: 0 assign, 1 access, 2 hex, 3 token.
+    """The columns ``keep`` of ``docs`` (all by default) with ``spans``: array<struct<start, kind, end, live, owners,
+    repositories>> by start and kind; and that column's name. kind: 0 assign, 1 access, 2 hex, 3 token.
 
     The texts are read once. The candidates are written with their rows' other columns, counted,
     classed, and come back to their rows by a number written with them.
@@ -124,9 +141,10 @@ def scan(
     found = table.where(F.size(spans) > 0).select(
         F.col(row).alias("row"), F.col(own).alias("owner"), F.col(repo).alias("repository"), F.explode(spans).alias("s")
     ).select("row", "owner", "repository", "s.*")
-    classed = found.join(ownership(found), "hash").select("row", F.struct("start", "kind", "end", "live").alias("s"))
+    owned = cut(ownership(found))
+    classed = spread_join(found, owned, "hash", "n", F.col("row")).select("row", F.struct("start", "kind", "end", "live", "owners", "repositories").alias("s"))
     lists = classed.groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("list"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean>>")
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean,owners:bigint,repositories:bigint>>")
     joined = table.select(*keep, row).join(lists.select(F.col("row").alias(row), F.col("list").alias(spans)), row, "left")
     return joined.select(*keep, _reported(F.coalesce(F.col(spans), none)).alias(spans)), spans
 
@@ -146,23 +164,30 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def class_text(spans: Column) -> Column:
+    """``live`` or ``copied`` and the numbers of owners and repositories of each span, in the order of ``span_text``."""
+    each = lambda s: F.concat_ws(":", F.when(s["live"], "live").otherwise("copied"), s["owners"].cast("string"), s["repositories"].cast("string"))
+    return F.array_join(F.transform(spans, each), ",")
+
+
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with every run of overlapping spans replaced by ``mark``."""
-    merged = F.aggregate(
-        spans,
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda out, s: F.when(
-            (F.size(out) > 0) & (F.coalesce(F.try_element_at(out, F.lit(-1))["end"], F.lit(-1)) > s["start"]),
-            F.concat(
-                F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))),
-                F.array(F.struct(F.try_element_at(out, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(out, F.lit(-1))["end"], s["end"]).alias("end"))),
-            ),
-        ).otherwise(F.concat(out, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
-    )
-    ends = F.concat(F.array(F.lit(0)), F.transform(merged, lambda s: s["end"]))
-    starts = F.concat(F.transform(merged, lambda s: s["start"]), F.array(F.length(text)))
-    kept = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda p: F.substring(text, p["a"] + 1, p["b"] - p["a"]))
-    return F.when(F.size(spans) > 0, F.array_join(kept, mark)).otherwise(text)
+    """``text`` with every run of overlapping spans replaced by ``mark``. Pieces are cut in blocks, each from its own part of the text."""
+
+    def pieces(reach: Column) -> Column:
+        """What stands before each run of spans, and after the last; ``reach``: the greatest end so far, with 0 before the first."""
+        ends = F.slice(reach, F.lit(1), F.size(spans))
+        runs = F.filter(F.arrays_zip(ends.alias("a"), F.transform(spans, lambda s: s["start"]).alias("b")), lambda p: p["b"] >= p["a"])
+        last = F.array(F.struct(F.element_at(reach, -1).alias("a"), F.length(text).alias("b")))
+
+        def cut_(block: Column) -> Column:
+            first = F.element_at(block, 1)["a"]
+            part = F.substring(text, first + 1, F.element_at(block, -1)["b"] - first)
+            return _let(part, lambda t: F.transform(block, lambda p: F.substring(t, p["a"] - first + 1, p["b"] - p["a"])))
+
+        return F.flatten(F.transform(_blocks(F.concat(runs, last)), cut_))
+
+    reach = F.concat(F.array(F.lit(0)), running(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y)))
+    return F.when(F.size(spans) > 0, F.array_join(_let(reach, pieces), mark)).otherwise(text)
 
 
 def redact_secrets(docs: DataFrame, text_column: str = "text", owner: Column | None = None, repository: Column | None = None) -> DataFrame:

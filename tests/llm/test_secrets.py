@@ -92,3 +92,41 @@ def _hand_over(spark):
 def test_main_path_is_native(spark):
     table, _ = s.scan(rows(spark), owner=F.col("source"))
     assert "Python" not in table._jdf.queryExecution().toString()
+
+
+def test_texts_of_very_many_spans(spark):
+    """In time and memory in proportion: 30,000 spans in one text, found and replaced."""
+    text = "token=abcdef123 é " * 30_000
+    (spans,) = found(spark, [text])
+    assert len(spans) == 30_000 and spans == [(18 * k, 0, 18 * k + 15) for k in range(30_000)]
+    docs = spark.createDataFrame([(1, text, "o")], "doc_id long, text string, source string")
+    assert s.redact_secrets(docs, owner=F.col("source")).first()["text"] == "[SECRET] é " * 30_000
+
+
+@pytest.mark.parametrize("run", [1, 2, 3, 128])
+def test_running_totals_in_blocks(spark, monkeypatch, run):
+    monkeypatch.setattr(s, "RUN", run)
+    rnd = random.Random(run)
+    rows = [(k, [rnd.randrange(50) for _ in range(rnd.randrange(12))]) for k in range(40)]
+    table = spark.createDataFrame(rows, "k long, v array<int>")
+    got = table.select("k", s.running(F.col("v"), lambda x, y: x + y).alias("sums"), s.running(F.col("v"), lambda x, y: F.greatest(x, y)).alias("tops")).collect()
+    for r, (_, v) in zip(sorted(got), rows):
+        assert r["sums"] == [sum(v[: k + 1]) for k in range(len(v))] and r["tops"] == [max(v[: k + 1]) for k in range(len(v))]
+
+
+def test_classes_and_owners_of_spans(spark):
+    value = "abcdef123456"
+    data = [(k, f"token={value}", f"o{k}", f"r{k}") for k in range(4)] + [(7, "secret=only4me_here", "o1", "r1")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, repo string")
+    table, name = s.scan(docs, owner=F.col("source"), repository=F.col("repo"))
+    got = {r["doc_id"]: r["c"] for r in table.select("doc_id", s.class_text(F.col(name)).alias("c")).collect()}
+    assert got == {**dict.fromkeys(range(4), "copied:4:4"), 7: "live:1:1"}
+
+
+def test_a_value_in_most_rows_is_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr("strandloom.llm.common.LEAST_HOT", 10)
+    data = [(k, "token=abcdef123456", f"o{k % 9}", "r") for k in range(400)] + [(900, "token=mine123456", "o", "r")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, repo string")
+    table, name = s.scan(docs, owner=F.col("source"), repository=F.col("repo"))
+    got = table.select("doc_id", F.col(name)[0]["live"].alias("live"), F.col(name)[0]["owners"].alias("n"), F.size(name).alias("spans")).collect()
+    assert sorted(tuple(r) for r in got) == [*((k, False, 9, 1) for k in range(400)), (900, True, 1, 1)]
