@@ -11,12 +11,15 @@ have one title.
 Differencing alone keeps what is boilerplate but differs from page to page (an advert, a footer
 with the host's name), so markup that says what it is counts as well: ``nav``, ``aside``,
 ``footer``, ``form``, scripts, styles, elements whose class, id or role name a menu, advert, notice
-or reader comments. What merely stands outside an article stays unless it is shared or so named.
+or reader comments. What merely stands outside an article stays unless it is shared or so named. Elements around all
+articles of a page never drop the largest of them.
 
 The pages are parsed twice, which is cheaper than keeping their lines. The pairing is a range sort of (host, path, row) over the whole cluster, so
 a host with a third of all pages is split like any other; a pair over a partition's edge is made
 from one row a partition. The pairing moves hashes of lines only; texts move once, to their template. Null and empty pages have an empty text; null
-urls are a host of their own; repeated urls are each other's neighbours.
+urls are a host of their own; repeated urls are each other's neighbours. Of two neighbours as near the one before is taken; equal
+rows are one page in the pairing and a result row each. Very long pages are aligned in bounded memory. Extra columns come back
+but for ``text`` and ``n_shared``, whose names the result needs. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -24,7 +27,6 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,10 +45,12 @@ RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title",
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 MAIN = {"article", "main"}
+#: Elements that a part of a class, as in site-footer, may name; all others it names as a whole word.
+CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "span"}
 PASSAGES = {"h1", "p", "blockquote", "pre"}
 #: Where a line stands.
 OUTSIDE, IN_ARTICLE, IN_PASSAGE = 0, 1, 2
-DROPPED = {"head", "nav", "aside", "footer", "form", "button", "select", "dialog", "menu"}
+DROPPED = {"head", "header", "nav", "aside", "footer", "form", "button", "select", "dialog", "menu"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 PARTS = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "related", "replies", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 
@@ -57,30 +61,36 @@ CLOSED_BY_NEXT = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 
 
 def _names_a_part(name: str, attributes: str) -> bool:
-    whole = name in MAIN
     for kind, *values in ATTRIBUTE.findall(attributes):
         for value in next((v for v in values if v), "").lower().split():
             if kind.lower() == "role":
                 if value in ROLES:
                     return True
-            elif value in PARTS or not whole and not PARTS.isdisjoint(re.split(r"[^a-z]+", value)):
+            elif value in PARTS or name in CONTAINERS and not PARTS.isdisjoint(re.split(r"[^a-z]+", value)):
                 return True
     return False
 
 
 def lines_of(page: str | None) -> list[tuple[str, int, bool]]:
-    """(line, where it stands, dropped by its markup) of one page, in page order."""
+    """(line, where it stands, dropped by its markup) of one page, in page order.
+
+    Elements that hold every article of the page don't drop the one with the most text, whatever they are
+    called: a page's layout may be a form, or named for the sidebar that stands in it.
+    """
     page = page or ""
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int, tuple[int, ...]]] = []
     text: list[str] = []
-    stack: list[tuple[str, int, bool]] = []  # element, where it stands, dropped
-    at, inside, dropped = 0, OUTSIDE, False
+    stack: list[tuple[str, int, tuple[int, ...], int]] = []  # element, where it stands, the dropping elements around it, its article
+    mains: list[list] = []  # of each outermost article: the dropping elements around it, its characters
+    at, inside, causes, main, dropping = 0, OUTSIDE, (), -1, 0
 
     def flush() -> None:
         line = " ".join("".join(text).split())
         text.clear()
         if line:
-            out.append((line, inside, dropped))
+            out.append((line, inside, causes))
+            if main >= 0 and causes == mains[main][0]:
+                mains[main][1] += len(line)
 
     while at < len(page):
         found = TOKEN.search(page, at)
@@ -111,12 +121,19 @@ def lines_of(page: str | None) -> list[tuple[str, int, bool]]:
                         break
                     if stack[k][0] in MAIN or stack[k][0] in ("div", "section", "ul", "ol", "table", "tbody", "blockquote", "body"):
                         break
-            gone = name in DROPPED or name == "header" and not inside or name not in ("html", "body") and _names_a_part(name, found[3])
+            _, inside, causes, main = stack[-1] if stack else ("", OUTSIDE, (), -1)
+            if name in DROPPED or name not in ("html", "body") and _names_a_part(name, found[3]):
+                dropping += 1
+                causes = (*causes, dropping)
+            if name in MAIN and main < 0:
+                main = len(mains)
+                mains.append([causes, 0])
             where = IN_PASSAGE if inside and name in PASSAGES else max(inside, IN_ARTICLE if name in MAIN else OUTSIDE)
-            stack.append((name, where, dropped or gone))
-        inside, dropped = (stack[-1][1], stack[-1][2]) if stack else (OUTSIDE, False)
+            stack.append((name, where, causes, main))
+        _, inside, causes, main = stack[-1] if stack else ("", OUTSIDE, (), -1)
     flush()
-    return out
+    spared = set(max(mains, key=lambda m: m[1])[0]) if mains and all(m[0] for m in mains) else set()
+    return [(line, where, not spared.issuperset(around)) for line, where, around in out]
 
 
 def line_hash(line: str) -> int:
@@ -124,33 +141,78 @@ def line_hash(line: str) -> int:
     return zlib.crc32(line.encode("utf-8", "surrogatepass")) - (1 << 31)
 
 
+#: Bits of an alignment's table that are kept; larger ones are halved (Hirschberg, 1975).
+MOST_TABLE = 1 << 25
+
+
+def _rows(mine: list[int], other: list[int]) -> Iterator[int]:
+    """After each of ``mine``: an integer whose zero bits are the places of ``other`` at which the longest common subsequence grows (Hyyroe, 2004)."""
+    at: dict[int, int] = {}
+    for j, value in enumerate(other):
+        at.setdefault(value, []).append(j)
+    masks = {}
+    for value in set(mine) & at.keys():
+        bits = np.zeros(len(other), dtype=np.uint8)
+        bits[at[value]] = 1
+        masks[value] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    full = (1 << len(other)) - 1
+    row = full
+    for value in mine:
+        if mask := masks.get(value):
+            both = row & mask
+            row = (row + both | row - both) & full
+        yield row
+
+
+def _lengths(mine: list[int], other: list[int]) -> np.ndarray:
+    """The longest common subsequence's length of ``mine`` with every beginning of ``other``."""
+    row = (1 << len(other)) - 1
+    for row in _rows(mine, other):  # noqa: B007  the last
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(other) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")
+    return np.concatenate([[0], np.cumsum(1 - bits[: len(other)].astype(np.int64))])
+
+
+def _aligned(mine: list[int], other: list[int], first: int) -> list[int]:
+    if not mine or not other:
+        return []
+    if len(mine) > 1 and len(mine) * len(other) > MOST_TABLE:
+        half = len(mine) // 2
+        ahead = _lengths(mine[:half], other)
+        behind = _lengths(mine[:half - 1 if half else None:-1], other[::-1])[::-1]
+        cut_ = int((ahead + behind).argmax())
+        return _aligned(mine[:half], other[:cut_], first) + _aligned(mine[half:], other[cut_:], first + half)
+    rows, out = list(_rows(mine, other)), []
+    i, j = len(mine), len(other)
+    while i and j:
+        if rows[i - 1] >> j - 1 & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or rows[i - 1] >> j - 1 & 1:  # what grows here doesn't in the row before: a match
+            out.append(first + i)
+            j -= 1
+    return out[::-1]
+
+
 def shared(mine: list[int], other: list[int]) -> list[int]:
-    """Places in ``mine`` of a longest common subsequence with ``other`` (Hunt and Szymanski, 1977)."""
+    """Places in ``mine`` of a longest common subsequence with ``other``.
+
+    Bits of whole rows are handled at once, and a large table is halved, so that pages of many equal lines take no
+    more than those of unlike ones, and memory is bounded. Of several such subsequences any one is taken.
+    """
     start = 0
     while start < min(len(mine), len(other)) and mine[start] == other[start]:
         start += 1
     end = 0
     while end < min(len(mine), len(other)) - start and mine[-1 - end] == other[-1 - end]:
         end += 1
-    places: dict[int, list[int]] = {}
-    for j in range(len(other) - end - 1, start - 1, -1):
-        places.setdefault(other[j], []).append(j)
-    tails: list[int] = []
-    nodes: list[tuple] = []
-    for i in range(start, len(mine) - end):
-        for j in places.get(mine[i], ()):
-            k = bisect_left(tails, j)
-            node = (i, nodes[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                nodes.append(node)
-            else:
-                tails[k], nodes[k] = j, node
-    middle, node = [], nodes[-1] if nodes else None
-    while node:
-        middle.append(node[0])
-        node = node[1]
-    return [*range(start), *reversed(middle), *range(len(mine) - end, len(mine))]
+    known = set(other[start : len(other) - end])
+    places = [k for k in range(start, len(mine) - end) if mine[k] in known]
+    wanted = {mine[k] for k in places}
+    left = [x for x in other[start : len(other) - end] if x in wanted]
+    middle = [places[k] for k in _aligned([mine[k] for k in places], left, 0)]
+    return [*range(start), *middle, *range(len(mine) - end, len(mine))]
 
 
 #: Place of what stays whatever the neighbour has.

@@ -29,7 +29,13 @@ def text(page):
         ("<article><p>x</p><div class='comments'><p>no</p></div><p>y</p></article>", "x y"),
         ("<article>x<aside>no<p>no</aside>y<form><input>no</form></article>", "x y"),
         ("<div class=ad>no</div><p>x</p><div id='cookie-notice'>no</div>", "x"),
-        ("<header>no</header><main><header><h1>T</h1></header>x</main>", "T x"),
+        ("<header>no</header><main><header><h1>no</h1></header><h1>T</h1>x</main>", "T x"),
+        ("<div class='layout has-sidebar'><article><p>x</article><div class=sidebar>no</div></div>", "x"),
+        ("<form id='aspnetForm'><article><p>x</article><nav>no</nav></form>", "x"),
+        ("<div class='share-buttons-enabled page'><main><p>x</main></div>", "x"),
+        ("<article><p class='related-work'>x</p><p class=notice>no</p></article>", "x"),
+        ("<article>x</article><section class=comments><article>no</article></section>", "x"),
+        ("<article>x<section class=comments><article class=comment>no</article></section></article>", "x"),
         ("<body class='has-sidebar'><p>x", "x"),
         ("<article class='post with-comments'>x</article>", "x"),
         ("<p>1 &lt; 2 < 3 &am &amp&copy;", "1 < 2 < 3 &am &©"),
@@ -116,3 +122,25 @@ def test_odd_rows(spark):
     got = h.extract(pages).collect()
     assert len(got) == 6 and {r["page_id"]: r["text"] for r in got}[4] == "x"
     assert h.extract(pages.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("table", [1 << 25, 8])
+def test_alignment_is_a_longest_common_subsequence(monkeypatch, table):
+    """Against the plain recurrence, also where the table is halved."""
+    monkeypatch.setattr(h, "MOST_TABLE", table)
+    rnd = random.Random(table)
+    for _ in range(400):
+        kinds = rnd.randrange(1, 6)
+        a, b = ([rnd.randrange(kinds) for _ in range(rnd.randrange(14))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        places, rest = h.shared(a, b), iter(b)
+        assert len(places) == best[-1][-1] and places == sorted(set(places)) and all(a[k] in rest for k in places)
+
+
+def test_long_pages_of_few_kinds_of_lines_end():
+    rnd = random.Random(1)
+    a, b = ([rnd.randrange(2) for _ in range(20_000)] for _ in range(2))
+    assert len(h.shared(a, b)) > 15_000
