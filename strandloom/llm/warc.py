@@ -14,6 +14,7 @@ Headers of the revisit replace the response's, but for those that describe the s
 Status: ``response``; ``resolved``; ``changed`` (the latest earlier response contradicts);
 ``unchecked`` (no validator in common); ``missing`` (no earlier response, or no url). Records of
 one time are ordered by id; a response at a revisit's own time counts as earlier if its id is less.
+Nulls in any column are allowed; an empty table gives an empty one; bodies of any length stay where they are.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, shuffle_partitions
+from .common import cut, shuffle_partitions, spread_join
 
 #: Headers that describe the stored body, which a not-modified answer may not change.
 BODY_HEADERS = ["connection", "content-encoding", "content-length", "content-md5", "content-range", "content-type", "keep-alive", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade"]
@@ -111,20 +112,23 @@ def _agrees(a: Column, b: Column) -> Column:
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """All ``records`` (RECORD) with canonical, source_id, status and merged headers.
 
-    Repeated rows and ids: a result for each. Further columns stay, but for those named like the four.
+    Repeated rows and ids: a result for each. Further columns stay, whatever their names, but for those named like the first three
+    of the four, which the result replaces.
     """
-    own = [c for c in records.columns if c.lower() not in ("canonical", "source_id", "status", "row", "source")]
-    known = cut(records.select(*own, canonical_url(F.col("url")).alias("canonical"), F.monotonically_increasing_id().alias("row")))
-    found = latest_responses(known)
-    full = known.where("kind = 'response'").select(
-        F.col("row").alias("source"), *[F.col(c).alias(f"stored_{c}") for c in ("id", "etag", "last_modified", "digest", "headers")]
-    )
-    joined = known.join(found.join(full, "source", "left"), "row", "left")
-    checks = [_agrees(F.col(c), F.col(f"stored_{c}")) for c in ("digest", "etag", "last_modified")]
+    place = {c.lower(): f"c{k}" for k, c in enumerate(records.columns)}
+    col = lambda c: F.col(place[c])
+    inner = records.select(*[F.col(c).alias(place[c.lower()]) for c in records.columns], canonical_url(F.col("url")).alias("canonical"), F.monotonically_increasing_id().alias("row"))
+    known = cut(inner)
+    found = cut(latest_responses(known.select("canonical", "row", col("time").alias("time"), col("id").alias("id"), col("kind").alias("kind"))))
+    asked = found.where("source is not null").groupBy("source").agg(F.count("*").alias("n"))
+    full = known.where(col("kind") == "response").select(F.col("row").alias("source"), *[col(c).alias(f"stored_{c}") for c in ("id", "etag", "last_modified", "digest", "headers")])
+    given = spread_join(found.where("source is not null"), full.join(asked, "source"), "source", "n", F.col("row")).drop("n")
+    joined = known.join(given, "row", "left")
+    checks = [_agrees(col(c), F.col(f"stored_{c}")) for c in ("digest", "etag", "last_modified")]
     contradicts = F.coalesce(F.greatest(*[~c for c in checks]), F.lit(False))
     checked = F.coalesce(F.greatest(*checks), F.lit(False))
     status = (
-        F.when(F.col("kind") == "response", "response")
+        F.when(col("kind") == "response", "response")
         .when(F.col("source").isNull(), "missing")
         .when(contradicts, "changed")
         .when(checked, "resolved")
@@ -133,15 +137,15 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     none = F.map_from_arrays(F.array(), F.array()).cast("map<string,string>")
     fixed = F.array(*map(F.lit, BODY_HEADERS))
     stored = F.coalesce(F.col("stored_headers"), none)
-    fresh = F.map_filter(F.coalesce(F.col("headers"), none), lambda k, _: ~F.array_contains(fixed, F.lower(k)))
+    fresh = F.map_filter(F.coalesce(col("headers"), none), lambda k, _: ~F.array_contains(fixed, F.lower(k)))
     merged = F.map_concat(F.map_filter(stored, lambda k, _: ~F.map_contains_key(fresh, k)), fresh)
     resolved = F.col("status") == "resolved"
     return joined.withColumn("status", status).select(
-        *[c for c in own if c != "headers"],
+        *[F.col(place[c.lower()]).alias(c) for c in records.columns if c.lower() not in ("canonical", "source_id", "status", "headers")],
         "canonical",
         F.when(resolved, F.col("stored_id")).alias("source_id"),
         "status",
-        F.when(resolved, merged).otherwise(F.col("headers")).alias("headers"),
+        F.when(resolved, merged).otherwise(col("headers")).alias("headers"),
     )
 
 
@@ -152,9 +156,10 @@ def write_record(kind: str, url: str, date: str, http: bytes, extra: dict[str, s
     return gzip.compress(f"WARC/1.1\r\n{lines}\r\n".encode() + http + b"\r\n\r\n", mtime=0)
 
 
-def parse_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields in lower case, block) of each record of a file, gzipped by member or plain."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content))
+def parse_records(source: bytes | io.IOBase) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields in lower case, block) of each record of a file, gzipped by member or plain; one record is in memory at a time."""
+    raw = io.BufferedReader(io.BytesIO(source) if isinstance(source, bytes) else source)
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if raw.peek(2)[:2] == b"\x1f\x8b" else raw
     while line := stream.readline():
         if not line.strip():
             continue
@@ -167,6 +172,28 @@ def parse_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, stream.read(int(fields.get("content-length", 0)))
 
 
+def http_headers(head: bytes) -> dict[str, str]:
+    """Fields in lower case; the values of a field that is there several times are joined by commas (RFC 9110, 5.3)."""
+    out: dict[str, str] = {}
+    for line in head.decode("latin-1").split("\r\n")[1:]:
+        name, _, value = line.partition(":")
+        if name := name.strip().lower():
+            out[name] = f"{out[name]}, {value.strip()}" if name in out else value.strip()
+    return out
+
+
+def _opened(path: str) -> io.IOBase:
+    """A file as a stream: local, or of a store that pyarrow knows."""
+    if path.startswith("file:") or "://" not in path:
+        from urllib.parse import unquote, urlparse
+
+        return open(unquote(urlparse(path).path), "rb")
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)
+
+
 def _epoch(date: str) -> int:
     from datetime import datetime
 
@@ -174,34 +201,37 @@ def _epoch(date: str) -> int:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records (RECORD and body) of the WARC files under ``path``, a file a task row; ids are by file and place."""
+    """Records (RECORD and body) of the WARC files under ``path``; ids are by file and place.
+
+    Spark lists the files, and each is read as a stream, record by record, so that a file may have any size.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for at, (fields, block) in enumerate(parse_records(content)):
-                    if fields.get("warc-type") not in ("response", "revisit"):
-                        continue
-                    head, _, body = block.partition(b"\r\n\r\n")
-                    headers = {
-                        k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:]) if k.strip()
-                    }
-                    yield pa.RecordBatch.from_pylist(
-                        [
-                            {
-                                "file": name, "at": at, "url": fields.get("warc-target-uri"), "time": _epoch(fields["warc-date"]), "kind": fields["warc-type"],
-                                "etag": headers.get("etag"), "last_modified": headers.get("last-modified"), "digest": fields.get("warc-payload-digest"),
-                                "headers": list(headers.items()), "body": body,
-                            }
-                        ],
-                        schema=_arrow,
-                    )
+            for name in batch.column(0).to_pylist():
+                with _opened(name) as file:
+                    for at, (fields, block) in enumerate(parse_records(file)):
+                        if fields.get("warc-type") not in ("response", "revisit"):
+                            continue
+                        head, _, body = block.partition(b"\r\n\r\n")
+                        headers = http_headers(head)
+                        yield pa.RecordBatch.from_pylist(
+                            [
+                                {
+                                    "file": name, "at": at, "url": fields.get("warc-target-uri"), "time": _epoch(fields["warc-date"]), "kind": fields["warc-type"],
+                                    "etag": headers.get("etag"), "last_modified": headers.get("last-modified"), "digest": fields.get("warc-payload-digest"),
+                                    "headers": list(headers.items()), "body": body,
+                                }
+                            ],
+                            schema=_arrow,
+                        )
 
     text, number = pa.string(), pa.int64()
     _arrow = pa.schema(
         [("file", text), ("at", number), ("url", text), ("time", number), ("kind", text), ("etag", text), ("last_modified", text), ("digest", text), ("headers", pa.map_(text, text)), ("body", pa.binary())]
     )
     schema = "file string, at long, url string, time long, kind string, etag string, last_modified string, digest string, headers map<string,string>, body binary"
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).select("path")
+    files = files.repartition(max(1, min(files.count(), 10_000)))
     made = files.mapInArrow(rows, schema)
     return made.withColumn("id", F.xxhash64("file", "at")).drop("file", "at")

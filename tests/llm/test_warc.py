@@ -58,7 +58,7 @@ def test_against_a_plain_search(spark, seed):
     rows = made(250, seed)
     records = spark.createDataFrame(rows, warc.RECORD).withColumn("status", F.lit(1)).withColumn("row", F.lit(2)).withColumn("body", F.lit(b"x"))
     found = warc.resolve_revisits(records)
-    assert "body" in found.columns
+    assert {"body", "row"} <= set(found.columns)
     assert {r["id"]: (r["status"], r["source_id"], r["headers"]) for r in found.collect()} == slow(rows)
 
 
@@ -79,3 +79,22 @@ def test_files_round_trip(spark, tmp_path):
     got = {r["kind"]: r for r in warc.resolve_revisits(records).collect()}
     assert got["revisit"]["status"] == "resolved" and got["response"]["body"] == b"<p>\r\n\r\nx"
     assert got["revisit"]["headers"] == {"etag": '"1"', "content-type": "text/html", "cache-control": "max-age=1"}
+
+
+@pytest.mark.parametrize("name", ["stored_id", "source", "row", "n", "c0", "stored_headers", "handed", "Canonical_", "pid"])
+def test_names_that_are_used_inside_come_back(spark, name):
+    rows = made(40, 3)
+    records = spark.createDataFrame(rows, warc.RECORD).withColumn(name, F.concat(F.lit("x"), F.col("id").cast("string")))
+    found = {r["id"]: (r["status"], r["source_id"], r["headers"], r[name]) for r in warc.resolve_revisits(records).collect()}
+    assert found == {k: (*v, f"x{k}") for k, v in slow(rows).items()}
+
+
+def test_a_response_that_most_revisits_name(spark, monkeypatch):
+    monkeypatch.setattr("strandloom.llm.common.LEAST_HOT", 10)
+    rows = [(0, "http://hot.org/", 0, "response", "t", None, None, {"a": "b"})] + [(k, "http://hot.org/", k, "revisit", "t", None, None, None) for k in range(1, 300)]
+    found = warc.resolve_revisits(spark.createDataFrame(rows, warc.RECORD)).where("source_id = 0 and headers['a'] = 'b'")
+    assert found.count() == 299
+
+
+def test_repeated_http_headers_are_joined():
+    assert warc.http_headers(b"HTTP/1.1 200 OK\r\nVia: a\r\nX: 1\r\nvia: b") == {"via": "a, b", "x": "1"}
