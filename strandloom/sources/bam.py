@@ -15,13 +15,15 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .files import open_input, open_output
+
 SCHEMA = "read_id bigint, contig string, pos bigint, flags int, mapq int, cigar string, seq string, qual string, name string"
 #: Compressed bytes of a piece.
 SPLIT = 32 << 20
@@ -30,20 +32,11 @@ BASES, OPERATIONS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 EOF_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
 
-def open_file(path: str):
-    if "://" in path:
-        from pyarrow import fs
-
-        system, inner = fs.FileSystem.from_uri(path)
-        return system.open_input_file(inner)
-    return open(path, "rb")
-
-
 class Blocks:
     """A BGZF file from a virtual offset on: 48 bits of the block's place and 16 bits inside it."""
 
     def __init__(self, path: str, start: int = 0) -> None:
-        self.file = open_file(path)
+        self.file = open_input(path)
         self.place, self.next = start >> 16, start >> 16
         self.data, self.at = b"", 0
         if self._load():
@@ -166,7 +159,7 @@ class BamReader(DataSourceReader):
         if self.contig is not None and self.contig not in names:
             return []
         try:
-            with open_file(f"{path}.bai") as f:
+            with open_input(f"{path}.bai") as f:
                 windows = linear_offsets(f.read())
         except OSError:
             return [Piece(path, number, first, None)]
@@ -266,7 +259,7 @@ def header_contigs(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.createDataFrame(rows, "contig string, len bigint")
 
 
-def _block(data: bytes) -> bytes:
+def bgzf_block(data: bytes) -> bytes:
     packer = zlib.compressobj(6, zlib.DEFLATED, -15)
     packed = packer.compress(data) + packer.flush()
     head = b"\x1f\x8b\x08\x04" + b"\0" * 4 + b"\0\xff" + struct.pack("<H", 6) + b"BC\2\0" + struct.pack("<H", len(packed) + 25)
@@ -291,31 +284,38 @@ def encode(row: tuple, contigs: list[str]) -> bytes:
     return struct.pack("<i", len(body)) + body
 
 
-def write_bam(path: str, contigs: list[tuple[str, int]], rows: list[tuple], block: int = 60_000, index: bool = True) -> None:
-    """A small BAM file, sorted as ``rows`` are, with its linear index; for tests and conversions."""
+def write_bam(path: str, contigs: list[tuple[str, int]], rows: Iterable[tuple], block: int = 60_000, index: bool = True) -> int:
+    """A BAM file of ``rows`` in the order they have, with its linear index; the number of rows. One block is in memory."""
     names = [n for n, _ in contigs]
     head = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", len(contigs))
     for name, size in contigs:
         head += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", size)
-    with open(path, "wb") as f:
-        f.write(_block(head))
-        windows: list[dict[int, int]] = [{} for _ in contigs]
-        data = b""
+    windows: list[dict[int, int]] = [{} for _ in contigs]
+    data, at, count = b"", 0, 0
+    with open_output(path) as f:
+
+        def put(part: bytes) -> int:
+            packed = bgzf_block(part)
+            f.write(packed)
+            return len(packed)
+
+        at += put(head)
         for row in rows:
+            count += 1
             if len(data) >= block:
-                f.write(_block(data[:block]))
+                at += put(data[:block])
                 data = data[block:]
             if row[0] is not None:
                 own = windows[names.index(row[0])]
                 for w in range(row[1] >> 14, (row[1] + max(1, _span(row[4])) - 1 >> 14) + 1):
-                    own.setdefault(w, f.tell() << 16 | len(data))
+                    own.setdefault(w, at << 16 | len(data))
             data += encode(row, names)
         while data:
-            f.write(_block(data[:block]))
+            put(data[:block])
             data = data[block:]
         f.write(EOF_BLOCK)
     if index:
-        with open(f"{path}.bai", "wb") as f:
+        with open_output(f"{path}.bai") as f:
             f.write(b"BAI\1" + struct.pack("<i", len(contigs)))
             for own in windows:
                 size = max(own, default=-1) + 1
@@ -324,3 +324,21 @@ def write_bam(path: str, contigs: list[tuple[str, int]], rows: list[tuple], bloc
                     last = own.get(w, last)
                     filled.append(last)
                 f.write(struct.pack("<ii", 0, size) + struct.pack(f"<{size}Q", *filled))
+    return count
+
+
+def write_parts(reads: DataFrame, folder: str, contigs: list[tuple[str, int]], parts: int) -> list[str]:
+    """Sorted BAM files with indexes, ``parts`` at most, each written by a task; their paths. ``folder`` is shared by all executors."""
+    columns = ["contig", "pos", "flags", "mapq", "cigar", "seq", "qual", "name"]
+    ordered = reads.select(*columns).repartitionByRange(parts, "contig", "pos", "name").sortWithinPartitions("contig", "pos", "name")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        path = f"{folder}/part-{task.partitionId():05d}-{task.attemptNumber()}.bam"  # a second attempt has a file of its own
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        count = write_bam(path, contigs, rows)
+        yield pa.RecordBatch.from_pydict({"path": [path], "n": [count]})
+
+    return [r["path"] for r in ordered.mapInArrow(run, "path string, n long").collect() if r["n"]]

@@ -1,15 +1,19 @@
 """Genomic views over the benchmark tables: genome, reads, regions, exclusions, features, variants.
 
 The SQL is FIXTURES.md's; only reads are made in another way here: each alignment's bases are fetched
-from the genome's tiles by an equi join, so that no task ever holds a contig.
+from the genome's tiles by an equi join, so that no task ever holds a contig. The genome's tiles and the reads stand for a FASTA and
+a BAM file: they are written once for each directory and session, in the shared folder, and every query reads them from there.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import text
+from . import bam, bcf, fasta, files, text
 
 _N = "(select cast(floor(count(*) / 3) as bigint) from {orders})"
 
@@ -74,6 +78,12 @@ from (select concat('c', cast(o_orderkey % 3 as string)) as contig, cast(floor(o
 READ_LENGTH = 40
 
 
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+_FILES: dict[tuple[str, str, str], list[str]] = {}
+#: Files that reads and variants are written to.
+PARTS = 8
+
+
 class Fixtures:
     """The views over one directory of tables."""
 
@@ -85,14 +95,99 @@ class Fixtures:
         tables = {n: self.spark.read.parquet(f"{self.sf_dir}/{n}.parquet") for n in names}
         return self.spark.sql(query, **tables, **extra)
 
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _WRITTEN:
+            path = f"{files.shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+            files.stored(make(), path)
+            _WRITTEN[key] = path
+        return self.spark.read.parquet(_WRITTEN[key])
+
+    def prepare(self) -> None:
+        """Writes what is written once."""
+        self.tiles(), self.reads()
+
+    def folder(self, name: str) -> str:
+        """A path of its own in the shared folder."""
+        return f"{files.shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+
+    def _written(self, name: str, write: Callable[[str], list[str]]) -> list[str]:
+        """Paths of files that are written once."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _FILES:
+            _FILES[key] = write(self.folder(name))
+        return _FILES[key]
+
+    def contigs(self) -> list[tuple[str, int]]:
+        tiles = self.tiles().groupBy("contig").agg(F.max(F.col("tile") * text.TILE + F.length("seq")).alias("len"))
+        return [(r["contig"], r["len"]) for r in tiles.orderBy("contig").collect()]
+
+    def bam_files(self) -> list[str]:
+        """The reads as sorted and indexed BAM files; a read's name is its number."""
+
+        def write(folder: str) -> list[str]:
+            files.make_dir(self.spark, folder)
+            return bam.write_parts(self.reads().withColumn("name", F.concat(F.lit("r"), "read_id")), folder, self.contigs(), PARTS)
+
+        return self._written("bam", write)
+
+    def fasta_file(self, index: bool = True) -> str:
+        """The genome in lines of 64 bases, with signs in its headers that start records elsewhere."""
+
+        def write(folder: str) -> list[str]:
+            lines = F.regexp_replace(F.regexp_replace("seq", "(.{64})", "$1\n"), "\n$", "")
+            head = F.when(F.col("tile") == 0, F.concat(F.lit(">"), "contig", F.lit(" A>G\tlen=1\n"))).otherwise("")
+            self.tiles().orderBy("contig", "tile").select(F.concat(head, lines).alias("value")).write.text(f"{folder}/parts")
+            files.join_parts(self.spark, f"{folder}/parts", f"{folder}/genome.fa", "")
+            if index:
+                files.replace_text(self.spark, f"{folder}/genome.fa.fai", fasta.make_index(f"{folder}/genome.fa"))
+            return [f"{folder}/genome.fa"]
+
+        return self._written(f"fasta {index}", write)[0]
+
+    def bed_file(self, rows: DataFrame, name: str) -> str:
+        """``rows`` (contig, start_, end_, and name and strand where there are) as gzipped BED."""
+        more = ["name", F.lit("0"), "strand"] if "name" in rows.columns else []
+        line = F.concat_ws("\t", "contig", "start_", "end_", *more).alias("value")
+        return self._text_file(f"{name}.bed", rows.select(line))
+
+    def _text_file(self, name: str, lines: DataFrame) -> str:
+        def write(folder: str) -> list[str]:
+            lines.write.option("compression", "gzip").text(folder)
+            return [folder]
+
+        return self._written(name, write)[0]
+
+    def gff_file(self) -> str:
+        line = F.concat_ws("\t", "contig", F.lit("src"), "type", "start1", "end1", F.lit("."), "strand", F.lit("."), F.lit("ID=x"))
+        return self._text_file("gff", self.gff_raw().select(line.alias("value")))
+
+    def vcf_file(self) -> str:
+        line = F.concat_ws("\t", "contig", "pos1", F.lit("."), "ref", "alt", F.lit("50"), "filter_", F.lit("."), F.lit("DP:GT"), F.concat(F.lit("9:"), F.col("gt")))
+        return self._text_file("vcf", self.vcf_raw().select(line.alias("value")))
+
+    def bcf_files(self) -> list[str]:
+        def write(folder: str) -> list[str]:
+            files.make_dir(self.spark, folder)
+            return bcf.write_parts(self.vcf(), folder, self.contigs(), ["q10"], PARTS)
+
+        return self._written("bcf", write)
+
     def genome(self) -> DataFrame:
-        return self._sql(GENOME)
+        """(contig, pos, refnuc) of every position."""
+        return text.positions(self.tiles())
+
+    def tiles(self) -> DataFrame:
+        return self._once("tiles", lambda: text.tiles_of(self._sql(GENOME)))
 
     def reads(self) -> DataFrame:
-        starts = self._sql(STARTS)
-        ends = starts.select("read_id", "contig", "pos", (F.col("pos") + READ_LENGTH).alias("stop"))
-        fetched = text.fetch(text.tiles_of(self.genome()), ends, "read_id", "pos", "stop")
-        return self._sql(SEQUENCED, r=starts.join(fetched.withColumnRenamed("seq", "s"), "read_id"))
+        def make() -> DataFrame:
+            starts = self._sql(STARTS)
+            ends = starts.select("read_id", "contig", "pos", (F.col("pos") + READ_LENGTH).alias("stop"))
+            fetched = text.fetch(self.tiles(), ends, "read_id", "pos", "stop")
+            return self._sql(SEQUENCED, r=starts.join(fetched.withColumnRenamed("seq", "s"), "read_id"))
+
+        return self._once("reads", make)
 
     def rois(self) -> DataFrame:
         return self._sql(ROIS)

@@ -1,15 +1,18 @@
-"""BED, GFF3, VCF and FASTA text. Files whose name ends in gz are decompressed by their extension.
+"""BED, GFF3 and VCF text, tiles of a genome, and tables that are written. Files whose name ends in gz are decompressed by their extension.
 
 The parsers take a DataFrame with a ``value`` column of lines, so they work on any source of lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+import io
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bases in a row of the genome's tiles.
-TILE = 1024
+from . import files
+from .fasta import TILE, read_fasta  # noqa: F401  tiles come from FASTA
 
 
 def _field(number: int):
@@ -35,11 +38,13 @@ def parse_gff(lines: DataFrame) -> DataFrame:
 
 
 def parse_vcf(lines: DataFrame) -> DataFrame:
-    """(contig, pos, ref, alt, filter_, gt) of a file with one sample; pos from 0."""
+    """(contig, pos, ref, alt, filter_, gt) of a file with one sample; pos from 0. More or fewer samples are an error."""
     rows = lines.where((F.trim("value") != "") & ~F.startswith("value", F.lit("#")))
     keys, values = F.split(_field(9), ":"), F.split(_field(10), ":")
     gt = F.get(values, F.array_position(keys, F.lit("GT")).cast("int") - 1)
-    return rows.select(_field(1).alias("contig"), (_field(2).cast("bigint") - 1).alias("pos"), _field(4).alias("ref"), _field(5).alias("alt"), _field(7).alias("filter_"), F.coalesce(gt, F.lit(".")).alias("gt"))
+    single = F.assert_true(F.size(F.split("value", "\t")) == 10, F.concat(F.lit("a VCF file must have exactly one sample: "), F.col("value")))
+    pos = F.coalesce(single.cast("bigint"), _field(2).cast("bigint") - 1)
+    return rows.select(_field(1).alias("contig"), pos.alias("pos"), _field(4).alias("ref"), _field(5).alias("alt"), _field(7).alias("filter_"), F.coalesce(gt, F.lit(".")).alias("gt"))
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
@@ -56,17 +61,12 @@ def read_gff(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    return parse_vcf(spark.read.text(path))
-
+    """Of a VCF file, or of a BCF file by its name's end."""
+    if path.endswith(".bcf"):
+        from .bcf import read_bcf
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """Tiles (contig, tile, seq) of TILE bases. A record is split off by its ``>``; each is cut to tiles in its row."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    name = F.regexp_extract("value", r"^([^\s]*)", 1)
-    seq = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
-    whole = records.select(name.alias("contig"), seq.alias("seq")).where("seq <> ''")
-    tiles = whole.withColumn("tile", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / TILE).cast("int"))))
-    return tiles.select("contig", F.col("tile").cast("bigint").alias("tile"), F.substring("seq", F.col("tile") * TILE + 1, F.lit(TILE)).alias("seq"))
+        return read_bcf(spark, path)
+    return parse_vcf(spark.read.text(path))
 
 
 def tiles_of(genome: DataFrame) -> DataFrame:
@@ -75,10 +75,48 @@ def tiles_of(genome: DataFrame) -> DataFrame:
     return genome.groupBy("contig", at.alias("tile")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "refnuc"))), lambda x: x["refnuc"]), "").alias("seq"))
 
 
+def letter(base: Column) -> Column:
+    """Upper case; letters but A, C, G and T are N."""
+    upper = F.upper(base)
+    return F.when(upper.isin("A", "C", "G", "T"), upper).otherwise("N")
+
+
 def positions(tiles: DataFrame) -> DataFrame:
-    """(contig, pos, refnuc) of tiles; letters but A, C, G and T are N."""
-    cells = tiles.select("contig", "tile", F.posexplode(F.split(F.upper("seq"), "")).alias("k", "base"))
-    return cells.select("contig", (F.col("tile") * TILE + F.col("k")).alias("pos"), F.when(F.col("base").isin("A", "C", "G", "T"), F.col("base")).otherwise("N").alias("refnuc"))
+    """(contig, pos, refnuc) of tiles."""
+    cells = tiles.select("contig", "tile", F.posexplode(F.split("seq", "")).alias("k", "base"))
+    return cells.select("contig", (F.col("tile") * TILE + F.col("k")).alias("pos"), letter(F.col("base")).alias("refnuc"))
+
+
+def tile_of(pos: Column) -> Column:
+    return F.shiftright(pos, TILE.bit_length() - 1)
+
+
+def with_base(rows: DataFrame, tiles: DataFrame) -> DataFrame:
+    """``rows`` (contig, pos, ...) with refnuc; those that the genome doesn't hold are gone.
+
+    The genome moves as tiles, never as positions.
+    """
+    at = (F.col("pos") % TILE + 1).cast("int")
+    keyed = rows.withColumn("tile", tile_of(F.col("pos")))
+    joined = keyed.join(tiles, ["contig", "tile"]).withColumn("base", F.substring("seq", at, F.lit(1)))
+    return joined.where("base <> ''").withColumn("refnuc", letter(F.col("base"))).drop("tile", "seq", "base")
+
+
+def positions_in(tiles: DataFrame, ranges: DataFrame, start: str = "start_", end: str = "end_") -> DataFrame:
+    """Each base of each of ``ranges`` (contig, start, end and further columns, which stay): with pos and refnuc.
+
+    Only the tiles that ranges touch are cut to letters.
+    """
+    rest = [c for c in ranges.columns if c not in ("contig", start, end)]
+    touched = F.sequence(tile_of(F.col(start)), tile_of(F.col(end) - 1))
+    spread = ranges.where((F.col(end) > F.col(start)) & (F.col(end) > 0)).withColumn(start, F.greatest(F.col(start), F.lit(0)))
+    spread = spread.select("contig", *rest, F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("e"), F.explode(touched).alias("tile"))
+    first = F.greatest(F.col("s") - F.col("tile") * TILE, F.lit(0))
+    last = F.least(F.col("e") - F.col("tile") * TILE, F.lit(TILE))
+    part = F.substring("seq", first.cast("int") + 1, (last - first).cast("int"))
+    cut = spread.join(tiles, ["contig", "tile"]).select("contig", *rest, (F.col("tile") * TILE + first).alias("at"), part.alias("part")).where("part <> ''")
+    cells = cut.select("contig", *rest, "at", F.posexplode(F.split("part", "")).alias("k", "base"))
+    return cells.select("contig", *rest, (F.col("at") + F.col("k")).alias("pos"), letter(F.col("base")).alias("refnuc"))
 
 
 def fetch(tiles: DataFrame, ranges: DataFrame, key: str, start: str = "start_", end: str = "end_") -> DataFrame:
@@ -99,11 +137,29 @@ def contigs(parts: DataFrame) -> DataFrame:
     return agreed.select("contig", F.coalesce(checked.cast("bigint"), F.col("len")).alias("len"))
 
 
+def _line(values: list) -> str:
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerow(["" if v is None else v for v in values])
+    return out.getvalue()
+
+
 def write_table(result: DataFrame, path: str, mode: str = "error") -> None:
-    """One CSV file with a header; rows in the order they have."""
-    result.coalesce(1).write.mode(mode).option("header", True).csv(path)
+    """The folder ``path`` with one CSV file, ``table.csv``, with a header; rows in the order they have.
+
+    Sorted parts are written in parallel and then joined as streams: no task holds the table.
+    """
+    spark = result.sparkSession
+    if files.exists(spark, path):
+        if mode != "overwrite":
+            raise FileExistsError(path)
+        files.delete(spark, path)
+    result.write.csv(f"{path}/_parts")
+    files.join_parts(spark, f"{path}/_parts", f"{path}/table.csv", _line(result.columns))
+    files.delete(spark, f"{path}/_parts")
 
 
 def append_index(row: DataFrame, path: str) -> None:
-    """Adds a run's editing index to ``path``; each file has its own header."""
-    row.coalesce(1).write.mode("append").option("header", True).csv(path)
+    """Adds a run's editing index to the file ``path``; a new file gets a header, one that is there only rows."""
+    spark = row.sparkSession
+    old = "".join(f"{r['value']}\n" for r in spark.read.text(path).collect()) if files.exists(spark, path) else _line(row.columns)
+    files.replace_text(spark, path, old + "".join(_line(list(r)) for r in row.collect()))

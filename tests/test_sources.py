@@ -4,7 +4,7 @@ import random
 import pytest
 
 from strandloom import cli
-from strandloom.sources import bam, text
+from strandloom.sources import bam, bcf, fasta, text
 from strandloom.streaming import pileup as streaming
 
 
@@ -43,6 +43,77 @@ def test_fasta_and_gzip(spark, tmp_path):
     assert {r["k"]: r["seq"] for r in text.fetch(tiles, ranges, "k").collect()} == {1: seq[1000:2100], 2: "A"}
 
 
+def fasta_text(contigs, width):
+    return "".join(f">{name}\n" + "".join(f"{seq[k : k + width]}\n" for k in range(0, len(seq), width)) for name, seq in contigs)
+
+
+@pytest.mark.parametrize(("width", "break_"), [(60, "\n"), (61, "\r\n"), (1024, "\n"), (5000, "\n")])
+@pytest.mark.parametrize("index", [True, False])
+def test_fasta_in_pieces(spark, tmp_path, width, break_, index):
+    """Headers may hold any sign, also those that start records; a last line may have no break."""
+    rnd = random.Random(width)
+    seqs = {f"c{k}": "".join(rnd.choices("ACGTacgtNR", k=n)) for k, n in enumerate((9000, 1, 1024, 2048, 3333))}
+    path = tmp_path / "x.fa"
+    path.write_bytes(fasta_text([(f"{c} A>G change > more\t>x", s) for c, s in seqs.items()], width).replace("\n", break_).rstrip().encode())
+    if index:
+        (tmp_path / "x.fa.fai").write_text(fasta.make_index(str(path)))
+    tiles = text.read_fasta(spark, str(path), split=2048)
+    assert (tiles.rdd.getNumPartitions() > 5) is index
+    rows = sorted((r["contig"], r["tile"], r["seq"]) for r in tiles.collect())
+    assert rows == sorted((c, k // 1024, s[k : k + 1024]) for c, s in seqs.items() for k in range(0, len(s), 1024))
+
+
+def test_fasta_that_is_odd(spark, tmp_path):
+    (tmp_path / "empty.fa").write_text("")
+    (tmp_path / "odd.fa").write_text("no record\n>a\n\n>b x\nAC\n\nGT\n>c\n")
+    assert text.read_fasta(spark, str(tmp_path / "empty.fa")).count() == 0
+    assert [tuple(r) for r in text.read_fasta(spark, str(tmp_path / "odd.fa")).collect()] == [("b", 0, "ACGT")]
+    (tmp_path / "bad.fa").write_text(">a\nAC\nACG\n")
+    with pytest.raises(ValueError, match="differ in length"):
+        fasta.make_index(str(tmp_path / "bad.fa"))
+
+
+def test_a_long_contig_is_read_in_time(spark, tmp_path):
+    """32 Mb on one line and in lines, with and without an index: seconds, not a power of the length."""
+    import time
+
+    seq = "".join(random.Random(1).choices("ACGT", k=1 << 15)) * (1 << 10)
+    for width in (80, len(seq)):
+        path = tmp_path / f"{width}.fa"
+        path.write_text(f">chr1 A>G\n" + "\n".join(seq[k : k + width] for k in range(0, len(seq), width)))
+        for _ in range(2):
+            began = time.perf_counter()
+            assert text.read_fasta(spark, str(path)).agg({"tile": "max"}).first()[0] == len(seq) // 1024 - 1
+            assert time.perf_counter() - began < 30
+            (tmp_path / f"{width}.fa.fai").write_text(fasta.make_index(str(path)))
+
+
+def test_vcf_has_one_sample(spark):
+    for line in ("c\t7\t.\tA\tG\t9\tPASS\t.\tGT\t0/1\t0/1", "c\t7\t.\tA\tG\t9\tPASS\t."):
+        with pytest.raises(Exception, match="exactly one sample"):
+            text.parse_vcf(lines(spark, line)).collect()
+
+
+def test_bcf(spark, tmp_path):
+    rows = [("a", 5, "A", "G", "PASS", "0/1"), ("b", 7, "A", "G,T", "q10", "1|2"), ("b", 8, "AT", "A", ".", "./1"), ("b", 9, "A" * 400, ".", "PASS;q10", "."), ("a", 2**30, "C", "T", "PASS", "1")]
+    path = str(tmp_path / "x.bcf")
+    bcf.write_bcf(path, [("a", 2**31 - 1), ("b", 99)], rows * 300, ["q10"])
+    assert sorted(tuple(r) for r in text.read_vcf(spark, path).collect()) == sorted(rows * 300)
+    with pytest.raises(ValueError, match="exactly one sample"):
+        bcf.decode(bytes(20) + (2).to_bytes(4, "little"), b"", ["a"], {})
+
+
+def test_tables_are_one_file_in_order(spark, tmp_path):
+    rows = spark.range(1000).repartition(7).selectExpr("id", "concat('a,', id) as name").orderBy("id")
+    text.write_table(rows, f"{tmp_path}/t")
+    got = (tmp_path / "t" / "table.csv").read_text().splitlines()
+    assert got == ["id,name", *(f'{k},"a,{k}"' for k in range(1000))]
+    with pytest.raises(FileExistsError):
+        text.write_table(rows, f"{tmp_path}/t")
+    text.write_table(rows.limit(1), f"{tmp_path}/t", "overwrite")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/t").count() == 1
+
+
 def test_contigs_must_agree(spark):
     same = spark.createDataFrame([("a", 5), ("a", 5), ("b", 1)], "contig string, len long")
     assert sorted(tuple(r) for r in text.contigs(same).collect()) == [("a", 5), ("b", 1)]
@@ -100,7 +171,9 @@ def inputs(tmp_path):
 
 def test_cli_site(spark, inputs, capsys):
     cli.main(["site", "-i", f"{inputs}/x.bam", "-r", f"{inputs}/g.fa", "-s", "u", "--str-min-mismatches", "4"])
-    assert capsys.readouterr().out.split() == ["contig,pos,trstrand,refnuc,prednuc,A,C,G,T", "c,8,+,A,A,8,0,4,0"]
+    said = capsys.readouterr()
+    assert said.err.strip().endswith("finished with 1 items, processed reads: . 12")
+    assert said.out.split() == ["contig,pos,trstrand,refnuc,prednuc,A,C,G,T", "c,8,+,A,A,8,0,4,0"]
 
 
 def test_cli_roi_with_index(spark, inputs):
@@ -110,6 +183,7 @@ def test_cli_roi_with_index(spark, inputs):
     assert len(out) == 1 and (out[0]["trstrand"], out[0]["A->G"], out[0]["coverage"], out[0]["#A"]) == ("+", "4", "12", "15")
     args[args.index(f"{inputs}/out")] = f"{inputs}/out2"
     cli.main(args)
+    assert (inputs / "ei").read_text().count("experiment") == 1
     ei = spark.read.option("header", True).csv(f"{inputs}/ei").collect()
     assert len(ei) == 2 and float(ei[0]["A->G"]) == pytest.approx(4 / 120)
 
