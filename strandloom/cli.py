@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import sys
 from pathlib import Path
 
-from pyspark import SparkConf
+from pyspark import SparkConf, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,14 +66,14 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--force", type=_file)
         if mode == "roi":
             p.add_argument("--rois", required=True, type=_file)
-            p.add_argument("--ei", help="a folder to which the editing index is appended")
+            p.add_argument("--ei", help="a file to which the editing index is appended; a new one gets a header")
         else:
             p.add_argument("--region", type=_file)
     return top
 
 
-def run(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, DataFrame | None]:
-    """The result table, and the editing index where one is asked for."""
+def run(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """The result table, the editing index where one is asked for, and the run's reads by strand."""
     options = analyses.Options(
         design=args.stranding, include_flags=args.in_flags, exclude_flags=args.ex_flags, mapq=args.mapq, no_mapq_255=args.no_mapq_255, phred=args.phread,
         trim5=args.trim5, trim3=args.trim3, ref_least_cov=args.ref_min_cov, ref_least_freq=args.ref_min_freq, hyperedit=args.hyperedit, utr3=args.utr3ext,
@@ -80,19 +81,22 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, DataF
         thresholds={"least_cov": args.out_min_cov, "least_mism": args.out_min_mismatches, "least_freq": args.out_min_freq},
     )
     text.contigs(bam.header_contigs(spark, *args.input)).collect()  # headers must agree
-    reads = bam.read_bam(spark, *args.input).where(F.col("contig").isNotNull())
-    genome = text.positions(text.read_fasta(spark, args.reference))
+    found = options.passing(bam.read_bam(spark, *args.input).where(F.col("contig").isNotNull()))
+    # Files are decoded once: bases, coverage and totals read what is left after the filters.
+    reads = found.drop("name").persist(StorageLevel.DISK_ONLY)
+    tiles = text.read_fasta(spark, args.reference)
     bed = {k: text.read_bed(spark, getattr(args, k, None)) if getattr(args, k, None) else None for k in ("exclude", "force", "region")}
     gff = text.read_gff(spark, args.annotation) if args.annotation else None
     variants = refpred.genotypes(text.read_vcf(spark, args.vcf)) if args.vcf else None
+    totals = analyses.run_totals(reads, options)
     if args.mode == "site":
-        found = analyses.site_analysis(reads, genome, options, include=bed["region"], exclude=bed["exclude"], force=bed["force"], gff=gff, variants=variants)
-        return found, None
+        table = analyses.site_analysis(reads, tiles, options, include=bed["region"], exclude=bed["exclude"], force=bed["force"], gff=gff, variants=variants)
+        return table, None, totals
     rois = text.read_regions(spark, args.rois)
-    more = {"exclude": bed["exclude"], "gff": gff, "variants": variants}
-    found = analyses.roi_analysis(reads, genome, rois, options, force=bed["force"], **more)
-    index = analyses.editing_index(reads, genome, rois, options, **more, experiment=args.name, roi_file=args.rois) if args.ei else None
-    return found, index
+    # The output and the index are made of one table, a row for each region and strand.
+    rows = analyses.roi_rows(reads, tiles, rois, options, exclude=bed["exclude"], variants=variants).persist(StorageLevel.DISK_ONLY)
+    index = analyses.indexed(rows, options, gff, args.name, args.rois) if args.ei else None
+    return analyses.finished(rows, options, bed["force"], gff), index, totals
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -102,12 +106,18 @@ def main(argv: list[str] | None = None) -> None:
         builder = SparkSession.builder.appName(f"strandloom {args.mode}")
         submitted = "spark.master" in dict(SparkConf().getAll())
         spark = (builder if submitted else builder.master(f"local[{args.threads}]")).getOrCreate()
-    found, index = run(spark, args)
+    found, index, totals = run(spark, args)
     if args.saveto == "-":
+        items = 0
         print(",".join(found.columns))
         for row in found.toLocalIterator():
+            items += 1
             print(",".join("" if v is None else str(v) for v in row))
     else:
         text.write_table(found, args.saveto)
+        items = spark.read.option("header", True).csv(args.saveto).count()
     if index is not None:
         text.append_index(index, args.ei)
+    by_strand = ", ".join(f"{r['trstrand']} {r['reads']}" for r in totals.orderBy("trstrand").collect())
+    print(f"finished with {items} items, processed reads: {by_strand}", file=sys.stderr)
+    spark.catalog.clearCache()

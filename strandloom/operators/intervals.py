@@ -54,6 +54,23 @@ def overlaps(left: DataFrame, right: DataFrame, l_range: tuple[str, str], r_rang
     return a.join(b, on).select(*[F.col(f"l.{c}") for c in left.columns], *kept)
 
 
+def touching(blocks: DataFrame, ranges: DataFrame, start: str, end: str, strings: list[str], width: int = 4 * BUCKET) -> DataFrame:
+    """The parts of ``blocks`` (contig, start, end) in whose bucket a range (contig, r_start, r_end) overlaps them.
+
+    Blocks are cut where buckets meet, with their ``strings``, which have a letter a base; so each part is in one bucket
+    and comes once, whatever it overlaps, and a part that nothing overlaps goes before its bases are looked at.
+    """
+    first, last = _bucket(F.col(start), width), _bucket(F.col(end) - 1, width)
+    spread = blocks.withColumn("bucket", F.explode(F.sequence(first, last)))
+    low, high = F.greatest(F.col(start), F.col("bucket") * width), F.least(F.col(end), (F.col("bucket") + 1) * width)
+    at, size = (low - F.col(start) + 1).cast("int"), (high - low).cast("int")
+    kept = [c for c in blocks.columns if c not in (start, end, *strings)]
+    parts = spread.select(*kept, "bucket", low.alias(start), high.alias(end), *[F.substring(F.col(c), at, size).alias(c) for c in strings])
+    near = bucketed(ranges.select(F.col("contig").alias("r_contig"), "r_start", "r_end").distinct(), "r_start", "r_end", width).withColumnRenamed("bucket", "r_bucket")
+    on = (F.col("contig") == F.col("r_contig")) & (F.col("bucket") == F.col("r_bucket")) & (F.col(start) < F.col("r_end")) & (F.col("r_start") < F.col(end))
+    return parts.join(near, on, "left_semi").drop("bucket")
+
+
 _PIECES = "array<struct<start_:bigint,end_:bigint>>"
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nucleotides import ACGT, count_column, normalize
 from ..functions.strands import deduce, of_read
+from . import intervals
 from .filters import PHRED
 
 _BLOCKS = "array<struct<ref:bigint,query:bigint,len:bigint>>"
@@ -58,35 +59,56 @@ def trimmed_blocks(trim5: int = 0, trim3: int = 0) -> Column:
     return F.filter(F.transform(blocks, cut), lambda b: (b["len"] > 0) & (total > trim5 + trim3))
 
 
-def bases(reads: DataFrame, design: str = "u", trim5: int = 0, trim3: int = 0, phred: int = PHRED) -> DataFrame:
-    """(read_id, contig, pos, base, trstrand): a row per observed base of sufficient quality; other letters are N."""
-    blocks = reads.select(
-        "read_id", "contig", "pos", "seq", "qual", deduce(F.col("flags"), design).alias("trstrand"), F.explode(trimmed_blocks(trim5, trim3)).alias("b")
-    )
+def _block_rows(reads: DataFrame, trim5: int, trim3: int, *more: Column) -> DataFrame:
+    """(read_id, contig, start_, end_, letters, marks, more) of every aligned block that trimming leaves."""
+    blocks = reads.select("read_id", "contig", "pos", "seq", "qual", *more, F.explode(trimmed_blocks(trim5, trim3)).alias("b")).where("b.len > 0")
+    part = lambda c: F.substring(F.col(c), F.col("b.query").cast("int") + 1, F.col("b.len").cast("int"))
     here = F.col("pos") + F.col("b.ref")
-    letters, marks = (F.split(F.substring(F.col(c), F.col("b.query").cast("int") + 1, F.col("b.len").cast("int")), "") for c in ("seq", "qual"))
-    cells = F.arrays_zip(F.sequence(here, here + F.col("b.len") - 1).alias("pos"), letters.alias("base"), marks.alias("mark"))
-    single = blocks.where("b.len > 0").select("read_id", "contig", "trstrand", F.explode(cells).alias("c"))
-    return single.where(F.ascii("c.mark") - 33 >= phred).select("read_id", "contig", "c.pos", normalize(F.col("c.base")).alias("base"), "trstrand")
+    rest = [c for c in blocks.columns if c not in ("read_id", "contig", "pos", "seq", "qual", "b")]
+    return blocks.select("read_id", "contig", here.alias("start_"), (here + F.col("b.len")).alias("end_"), part("seq").alias("letters"), part("qual").alias("marks"), *rest)
 
 
-def matched_blocks(reads: DataFrame, trim5: int = 0, trim3: int = 0, phred: int = PHRED) -> DataFrame:
-    """(read_id, contig, start_, end_): runs of accepted bases within one aligned block; N counts as matched."""
-    blocks = reads.select("read_id", "contig", "pos", "qual", F.explode(trimmed_blocks(trim5, trim3)).alias("b")).where("b.len > 0")
-    marks = F.split(F.substring(F.col("qual"), F.col("b.query").cast("int") + 1, F.col("b.len").cast("int")), "")
-    kind = "array<struct<start_:bigint,end_:bigint>>"
-
-    def step(runs: Column, m: Column) -> Column:
-        last = F.try_element_at(runs, F.lit(-1))
-        at = m["at"]
-        grown = F.concat(F.slice(runs, F.lit(1), F.greatest(F.size(runs) - 1, F.lit(0))), F.array(F.struct(last["start_"].alias("start_"), (at + 1).alias("end_"))))
-        fresh = F.concat(runs, F.array(F.struct(at.alias("start_"), (at + 1).alias("end_"))))
-        return F.when(F.ascii(m["mark"]) - 33 < phred, runs).when(F.coalesce(last["end_"] == at, F.lit(False)), grown).otherwise(fresh)
+def bases(reads: DataFrame, design: str = "u", trim5: int = 0, trim3: int = 0, phred: int = PHRED, within: DataFrame | None = None) -> DataFrame:
+    """(read_id, contig, pos, base, trstrand): a row per observed base of sufficient quality; other letters are N.
 
-    here = F.col("pos") + F.col("b.ref")
-    cells = F.arrays_zip(F.sequence(here, here + F.col("b.len") - 1).alias("at"), marks.alias("mark"))
-    runs = F.aggregate(cells, F.array().cast(kind), step)
-    return blocks.select("read_id", "contig", F.explode(runs).alias("r")).select("read_id", "contig", "r.start_", "r.end_")
+    With ``within`` (contig, r_start, r_end) what no range is near is left out before it is cut to bases.
+    """
+    blocks = _block_rows(reads, trim5, trim3, deduce(F.col("flags"), design).alias("trstrand"))
+    if within is not None:
+        blocks = intervals.touching(blocks, within, "start_", "end_", ["letters", "marks"])
+    # a base that is missing (a sequence shorter than its CIGAR says) has no mark either
+    cells = F.posexplode(F.split("letters", "")).alias("k", "letter")
+    single = blocks.select("read_id", "contig", "start_", "marks", "trstrand", cells)
+    mark = F.ascii(F.substring(F.col("marks"), F.col("k") + 1, F.lit(1)))
+    return single.where((F.col("letter") != "") & (mark - 33 >= phred)).select("read_id", "contig", (F.col("start_") + F.col("k")).alias("pos"), normalize(F.col("letter")).alias("base"), "trstrand")
+
+
+#: Stands for a quality that is too low; no quality string holds it.
+_LOW = "\x01"
+
+
+def matched_blocks(reads: DataFrame, trim5: int = 0, trim3: int = 0, phred: int = PHRED) -> DataFrame:
+    """(read_id, contig, start_, end_): runs of accepted bases within one aligned block; N counts as matched.
+
+    Runs are found in the masked quality string, and only runs, a few a block, are looked at one by one.
+    """
+    blocks = _block_rows(reads, trim5, trim3)
+    low = "".join(map(chr, range(33, 33 + max(0, phred))))
+    masked = F.translate("marks", low, _LOW * len(low)) if low else F.col("marks")
+    run = f"[^{_LOW}]+"
+    lengths = lambda texts: F.transform(texts, lambda t: F.length(t).cast("bigint"))
+    marked = blocks.select("read_id", "contig", "start_", masked.alias("masked"))
+    found = marked.select("read_id", "contig", "start_", lengths(F.regexp_extract_all("masked", F.lit(run), F.lit(0))).alias("runs"), lengths(F.split("masked", run, -1)).alias("gaps"))
+
+    def step(done: Column, r: Column) -> Column:
+        start = done["at"] + r["gap"]
+        piece = F.struct(start.alias("start_"), (start + r["run"]).alias("end_"))
+        return F.struct((start + r["run"]).alias("at"), F.concat(done["out"], F.array(piece)).alias("out"))
+
+    zero = F.struct(F.col("start_").alias("at"), F.array().cast("array<struct<start_:bigint,end_:bigint>>").alias("out"))
+    pairs = F.arrays_zip(F.col("runs").alias("run"), F.slice("gaps", F.lit(1), F.size("runs")).alias("gap"))
+    runs = F.aggregate(pairs, zero, step, lambda done: done["out"])
+    return found.where(F.size("runs") > 0).select("read_id", "contig", F.explode(runs).alias("r")).select("read_id", "contig", "r.start_", "r.end_")
 
 
 def count(observed: DataFrame, *keys: str) -> DataFrame:

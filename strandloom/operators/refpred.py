@@ -6,15 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nucleotides import ACGT, coverage, frequent, most_frequent
+from ..sources import text
 
 
-def with_counts(genome: DataFrame, counts: DataFrame, how: str = "inner") -> DataFrame:
-    """Positions with reference base and counts; with ``how`` left, uncovered positions have zeros.
+def with_counts(tiles: DataFrame, counts: DataFrame) -> DataFrame:
+    """Covered positions with reference base and counts. The genome moves as tiles, and only counted positions meet them."""
+    return text.with_base(counts, tiles)
 
-    The counts come hash-partitioned by (contig, pos) from their aggregation, so only the genome moves.
-    """
-    joined = genome.join(counts, ["contig", "pos"], how)
-    return joined.select(*genome.columns, *[c for c in counts.columns if c not in (*genome.columns, *ACGT)], *[F.coalesce(n, F.lit(0).cast("bigint")).alias(n) for n in ACGT])
+
+def filled(places: DataFrame, counts: DataFrame) -> DataFrame:
+    """``places`` (contig, pos, ...) with counts; those that nothing covers have zeros. Both are partitioned by (contig, pos)."""
+    names = [c for c in counts.columns if c not in ("contig", "pos")]
+    joined = places.join(counts, ["contig", "pos"], "left")
+    return joined.select(*places.columns, *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in names])
 
 
 def infer(assembly: Column, least_cov: int = 20, least_freq: float = 0.95, hyperedit: bool = False) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nucleotides import ACGT
 from ..functions.strands import deduce
+from ..sources import text
 from . import filters, intervals, pileup, refpred, sites, strand
 from .filters import cell
 
@@ -42,15 +43,19 @@ def read_coverage(cut: DataFrame, reads: DataFrame, design: str = "u", **bases)
     return named.groupBy("roi_id", "trstrand").agg(F.count("*").alias("coverage"))
 
 
-def matrix(cut: DataFrame, genome: DataFrame, observed: DataFrame, design: str = "u", predictor: sites.Predictor = refpred.autoref) -> DataFrame:
+def pieces_of(cut: DataFrame) -> DataFrame:
+    """(roi_id, contig, p_start, p_end) of every piece of ``regions``."""
+    return cut.select("roi_id", "contig", F.explode("pieces").alias("p")).select("roi_id", "contig", F.col("p.start_").alias("p_start"), F.col("p.end_").alias("p_end"))
+
+
+def matrix(cut: DataFrame, tiles: DataFrame, observed: DataFrame, design: str = "u", predictor: sites.Predictor = refpred.autoref) -> DataFrame:
     """(roi_id, trstrand, heterozygous, n_a..n_t, a_to_a..t_to_t) of every region and strand of the design.
 
     Driven from the genome's side: uncovered positions count in n_x too. Positions whose prediction is N
-    are left out, those with two alleles only counted.
+    are left out, those with two alleles only counted. Only the tiles that regions touch are cut to positions.
     """
-    pieces = cut.select("roi_id", "contig", F.explode("pieces").alias("p")).select("roi_id", "contig", F.col("p.start_").alias("p_start"), F.col("p.end_").alias("p_end"))
-    at = sites.site_table(genome, observed, design, predictor, "left")
-    inside = intervals.points_in(at, pieces, "pos", "p_start", "p_end")
+    places = text.positions_in(tiles, pieces_of(cut), "p_start", "p_end")
+    inside = sites.predicted(refpred.filled(places, sites.counts_of(observed, design)), design, predictor)
     hom = F.col("n2").isNull()
     sums = [F.count_if(hom & (F.col("n1") == a)).alias(n) for a, n in zip(ACGT, COUNTS)]
     cells = [F.coalesce(F.sum(F.when(hom & (F.col("n1") == a), F.col(b))), F.lit(0).cast("bigint")).alias(cell(a, b)) for a in ACGT for b in ACGT]
@@ -59,7 +64,7 @@ def matrix(cut: DataFrame, genome: DataFrame, observed: DataFrame, design: str =
 
 def roi_table(
     rois: DataFrame,
-    genome: DataFrame,
+    tiles: DataFrame,
     reads: DataFrame,
     exclude: DataFrame | None = None,
     design: str = "u",
@@ -72,9 +77,10 @@ def roi_table(
     Regions that the genome doesn't hold have null counts, which pass no threshold; ``output`` writes zeros.
     """
     cut = regions(rois, exclude)
-    observed = pileup.bases(reads, design, **bases)
+    near = pieces_of(cut).select("contig", F.col("p_start").alias("r_start"), F.col("p_end").alias("r_end"))
+    observed = pileup.bases(reads, design, **bases, within=near)
     rows = cut.withColumn("trstrand", F.explode(F.array(*map(F.lit, _strands(design)))))
-    full = rows.join(matrix(cut, genome, observed, design, predictor), ["roi_id", "trstrand"], "left")
+    full = rows.join(matrix(cut, tiles, observed, design, predictor), ["roi_id", "trstrand"], "left")
     if covered:
         full = full.join(read_coverage(cut, reads, design, **bases), ["roi_id", "trstrand"], "left").na.fill(0, ["coverage"])
     return full

@@ -8,28 +8,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nucleotides import ACGT, symbol
+from ..sources import text
 from . import filters, intervals, pileup, refpred, strand
 
 Predictor = Callable[[DataFrame], DataFrame]
 COLUMNS = ["contig", "pos", "trstrand", "refnuc", "prednuc", *ACGT]
 
 
-def site_table(genome: DataFrame, observed: DataFrame, design: str = "u", predictor: Predictor = refpred.autoref, how: str = "inner") -> DataFrame:
-    """(contig, pos, refnuc, n1, n2, trstrand, counts) of every covered position and every strand of the design.
+def counts_of(observed: DataFrame, design: str) -> DataFrame:
+    """Counts by (contig, pos): one row a position, with both strands side by side where the design tells them."""
+    return pileup.pileup(observed) if design == "u" else pileup.by_strand(observed)
 
-    The reference is predicted once per position, from all strands together; a strand without counts has
-    zeros. With ``how`` left, positions that nothing covers are there too.
+
+def predicted(places: DataFrame, design: str, predictor: Predictor) -> DataFrame:
+    """``places`` (contig, pos, refnuc and what ``counts_of`` gives) with n1, n2, and a row with counts for every strand of the design.
+
+    The reference is predicted once per position, from all strands together.
     """
     if design == "u":
-        return predictor(refpred.with_counts(genome, pileup.pileup(observed), how)).withColumn("trstrand", F.lit("."))
-    wide = pileup.by_strand(observed)
-    zero = F.lit(0).cast("bigint")
-    joined = genome.join(wide, ["contig", "pos"], how).select(
-        *genome.columns, *[F.coalesce(F.col(f"{s}{n}"), zero).alias(f"{s}{n}") for s in "+-" for n in ACGT]
-    )
-    pooled = joined.withColumns({n: F.col(f"+{n}") + F.col(f"-{n}") for n in ACGT})
+        return predictor(places).withColumn("trstrand", F.lit("."))
+    own = [c for c in places.columns if c[1:] not in ACGT or c[:1] not in "+-"]
+    pooled = places.withColumns({n: F.col(f"+{n}") + F.col(f"-{n}") for n in ACGT})
     strands = F.array(*[F.struct(F.lit(s).alias("trstrand"), *[F.col(f"{s}{n}").alias(n) for n in ACGT]) for s in "+-"])
-    return predictor(pooled).select(*genome.columns, "n1", "n2", F.explode(strands).alias("s")).select(*genome.columns, "n1", "n2", "s.*")
+    return predictor(pooled).select(*own, "n1", "n2", F.explode(strands).alias("s")).select(*own, "n1", "n2", "s.*")
+
+
+def site_table(tiles: DataFrame, observed: DataFrame, design: str = "u", predictor: Predictor = refpred.autoref) -> DataFrame:
+    """(contig, pos, refnuc, n1, n2, trstrand, counts) of every covered position and every strand of the design; a strand without counts has zeros."""
+    return predicted(refpred.with_counts(tiles, counts_of(observed, design)), design, predictor)
 
 
 def restrict(sites: DataFrame, include: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
@@ -44,25 +50,23 @@ def restrict(sites: DataFrame, include: DataFrame | None = None, exclude: DataFr
     return sites
 
 
-def keep(genome: DataFrame, sites: DataFrame, force: DataFrame | None = None, design: str = "u", **thresholds) -> DataFrame:
-    """Sites that pass the thresholds; and all positions of ``force``, on every strand of the design, covered or not."""
-    passing = filters.site_threshold(**thresholds)
-    if force is None:
-        return sites.where(passing)
-    must = intervals.points_in(genome, force.select("contig", "start_", "end_"), "pos", "start_", "end_", "left_semi")
-    both = sites.join(must.withColumnRenamed("refnuc", "forced"), ["contig", "pos"], "full_outer")
-    missing = F.array(*map(F.lit, "." if design == "u" else "+-"))
-    filled = both.select(
-        "contig",
-        "pos",
-        F.explode(F.when(F.col("trstrand").isNull(), missing).otherwise(F.array("trstrand"))).alias("trstrand"),
-        F.coalesce("refnuc", "forced").alias("refnuc"),
-        F.coalesce("n1", "forced").alias("n1"),
-        "n2",
-        *[F.coalesce(n, F.lit(0).cast("bigint")).alias(n) for n in ACGT],
-        "forced",
-    )
-    return filled.where(F.col("forced").isNotNull() | passing).drop("forced")
+def forced(
+    tiles: DataFrame, observed: DataFrame, force: DataFrame, design: str = "u", predictor: Predictor = refpred.autoref, reach: Callable[[DataFrame], DataFrame] = lambda at: at
+) -> DataFrame:
+    """All positions of ``force``, on every strand of the design, covered or not, as ``site_table`` gives them.
+
+    ``reach`` takes from the forced positions those that the analysis doesn't look at.
+    """
+    places = reach(text.positions_in(tiles, force.select("contig", "start_", "end_")).distinct())
+    return predicted(refpred.filled(places, counts_of(observed, design)), design, predictor)
+
+
+def keep(sites: DataFrame, must: DataFrame | None = None, **thresholds) -> DataFrame:
+    """Sites that pass the thresholds, and all of ``must``."""
+    passing = sites.where(filters.site_threshold(**thresholds))
+    if must is None:
+        return passing
+    return passing.join(must.select("contig", "pos").distinct(), ["contig", "pos"], "left_anti").unionByName(must.select(*sites.columns))
 
 
 def stranded(sites: DataFrame, annotated: DataFrame | None = None, design: str = "u", **editing) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import filters, index, pileup, refpred, rois, sites, strand
 
@@ -47,7 +48,7 @@ class Options:
 
 def site_analysis(
     reads: DataFrame,
-    genome: DataFrame,
+    tiles: DataFrame,
     options: Options | None = None,
     *,
     include: DataFrame | None = None,
@@ -58,16 +59,18 @@ def site_analysis(
 ) -> DataFrame:
     """The site table in its output form. Thresholds come before strand prediction: they drop most rows."""
     o = options or Options()
-    observed = pileup.bases(o.passing(reads), o.design, **o.bases())
-    found = sites.site_table(genome, sites.restrict(observed, include, exclude), o.design, o.predictor(variants))
-    reach = genome if force is None else sites.restrict(genome, include, exclude)
-    kept = sites.keep(reach, found, force, o.design, **o.thresholds)
+    near = None if include is None else include.select("contig", F.col("start_").alias("r_start"), F.col("end_").alias("r_end"))
+    observed = pileup.bases(o.passing(reads), o.design, **o.bases(), within=near)
+    reach = lambda at: sites.restrict(at, include, exclude)
+    found = sites.site_table(tiles, reach(observed), o.design, o.predictor(variants))
+    must = None if force is None else sites.forced(tiles, observed, force, o.design, o.predictor(variants), reach)
+    kept = sites.keep(found, must, **o.thresholds)
     return sites.output(sites.stranded(kept, None if gff is None else strand.features(gff, o.utr3), o.design, **o.editing()))
 
 
 def roi_rows(
     reads: DataFrame,
-    genome: DataFrame,
+    tiles: DataFrame,
     regions: DataFrame,
     options: Options | None = None,
     *,
@@ -77,12 +80,24 @@ def roi_rows(
 ) -> DataFrame:
     """Every region and strand, before thresholds and strand prediction."""
     o = options or Options()
-    return rois.roi_table(regions, genome, o.passing(reads), exclude, o.design, o.predictor(variants), covered, **o.bases())
+    return rois.roi_table(regions, tiles, o.passing(reads), exclude, o.design, o.predictor(variants), covered, **o.bases())
+
+
+def finished(table: DataFrame, o: Options, force: DataFrame | None = None, gff: DataFrame | None = None) -> DataFrame:
+    """The output form of ``roi_rows``."""
+    kept = rois.keep(table, force, **o.thresholds)
+    return rois.output(rois.stranded(kept, None if gff is None else strand.features(gff, o.utr3), o.design, **o.editing()))
+
+
+def indexed(table: DataFrame, o: Options, gff: DataFrame | None = None, experiment: str = "NA", roi_file: str = "NA") -> DataFrame:
+    """The editing index of ``roi_rows``: all regions count, whether they pass the thresholds or not."""
+    known = rois.stranded(table, None if gff is None else strand.features(gff, o.utr3), o.design, **o.editing())
+    return index.editing_index(known, experiment, roi_file)
 
 
 def roi_analysis(
     reads: DataFrame,
-    genome: DataFrame,
+    tiles: DataFrame,
     regions: DataFrame,
     options: Options | None = None,
     *,
@@ -93,14 +108,12 @@ def roi_analysis(
 ) -> DataFrame:
     """The region table in its output form."""
     o = options or Options()
-    table = roi_rows(reads, genome, regions, o, exclude=exclude, variants=variants)
-    kept = rois.keep(table, force, **o.thresholds)
-    return rois.output(rois.stranded(kept, None if gff is None else strand.features(gff, o.utr3), o.design, **o.editing()))
+    return finished(roi_rows(reads, tiles, regions, o, exclude=exclude, variants=variants), o, force, gff)
 
 
 def editing_index(
     reads: DataFrame,
-    genome: DataFrame,
+    tiles: DataFrame,
     regions: DataFrame,
     options: Options | None = None,
     *,
@@ -110,8 +123,13 @@ def editing_index(
     experiment: str = "NA",
     roi_file: str = "NA",
 ) -> DataFrame:
-    """The index counts all regions, whether they pass the thresholds or not."""
     o = options or Options()
-    table = roi_rows(reads, genome, regions, o, exclude=exclude, variants=variants, covered=False)
-    known = rois.stranded(table, None if gff is None else strand.features(gff, o.utr3), o.design, **o.editing())
-    return index.editing_index(known, experiment, roi_file)
+    return indexed(roi_rows(reads, tiles, regions, o, exclude=exclude, variants=variants, covered=False), o, gff, experiment, roi_file)
+
+
+def run_totals(reads: DataFrame, options: Options | None = None) -> DataFrame:
+    """(trstrand, reads): reads with at least one accepted base, of every strand of the design; none where a strand has none."""
+    o = options or Options()
+    found = pileup.mapped_reads(pileup.bases(o.passing(reads), o.design, **o.bases()))
+    strands = reads.sparkSession.createDataFrame([(s,) for s in ("." if o.design == "u" else "+-")], "trstrand string")
+    return strands.join(found, "trstrand", "left").select("trstrand", F.coalesce("reads", F.lit(0).cast("bigint")).alias("reads"))

@@ -50,9 +50,9 @@ def _annotated(keys: str, source: str, start: str, end: str) -> str:
 
 
 def _matrix(positions: str) -> str:
-    cells = ", ".join(f"coalesce(sum({b}) filter (n1 = '{a}'), 0)::bigint as {a.lower()}_to_{b.lower()}" for a, b in _CELLS)
-    sums = ", ".join(f"count(*) filter (n1 = '{a}') as n_{a.lower()}" for a in "ACGT")
-    return f"select roi_id, cast(0 as bigint) as heterozygous, {sums}, {cells} from {positions} group by roi_id"
+    cells = ", ".join(f"coalesce(sum({b}) filter (n1 = '{a}' and n2 is null), 0)::bigint as {a.lower()}_to_{b.lower()}" for a, b in _CELLS)
+    sums = ", ".join(f"count(*) filter (n1 = '{a}' and n2 is null) as n_{a.lower()}" for a in "ACGT")
+    return f"select roi_id, count(*) filter (n2 is not null) as heterozygous, {sums}, {cells} from {positions} group by roi_id"
 
 
 _TOP = "case when A >= C and A >= G and A >= T then 'A' when C >= G and C >= T then 'C' when G >= T then 'G' else 'T' end"
@@ -95,8 +95,8 @@ CTE = {
     "masked": """select r.roi_id, r.contig, x as pos, r.start_, r.end_ from (select *, unnest(range(start_, end_)) as x from rois) r
         where not exists (select 1 from exclude e where e.contig = r.contig and e.start_ <= r.x and r.x < e.end_)""",
     "post": "select roi_id, contig, min(pos) as post_start, max(pos) + 1 as post_end, any_value(end_ - start_) - count(*) as nucmasked from masked group by roi_id, contig",
-    "roi_pos": "select r.roi_id, k.n1, k.A, k.C, k.G, k.T from rois r join known k on k.contig = r.contig and k.pos >= r.start_ and k.pos < r.end_",
-    "masked_pos": "select m.roi_id, k.n1, k.A, k.C, k.G, k.T from masked m join known k on k.contig = m.contig and k.pos = m.pos",
+    "roi_pos": "select r.roi_id, k.n1, cast(null as varchar) as n2, k.A, k.C, k.G, k.T from rois r join known k on k.contig = r.contig and k.pos >= r.start_ and k.pos < r.end_",
+    "masked_pos": "select m.roi_id, k.n1, cast(null as varchar) as n2, k.A, k.C, k.G, k.T from masked m join known k on k.contig = m.contig and k.pos = m.pos",
     "matrix": _matrix("roi_pos"),
     "masked_matrix": _matrix("masked_pos"),
     "cover": "select r.roi_id, count(distinct s.read_id) as coverage from rois r join seen s on s.contig = r.contig and s.p >= r.start_ and s.p < r.end_ group by r.roi_id",
@@ -108,6 +108,17 @@ CTE = {
         from vcf_raw where filter_ in ('PASS', '.')) where len(k) between 1 and 2 and (k[1] <> 0 or k[len(k)] <> 0)""",
     "genotypes": "select contig, pos, least(a, b) as n1, case when a <> b then greatest(a, b) end as n2 from calls where a in ('A', 'C', 'G', 'T') and b in ('A', 'C', 'G', 'T')",
     "roi_strand": _annotated("roi_id", "rois", "start_", "end_"),
+    # With trimming and variants, for the runs over files.
+    "tseen": "select * from seen where case when (flags & 16) = 0 then qp >= 3 and qp < total - 5 else qp >= 5 and qp < total - 3 end",
+    "tpile": f"select contig, p as pos, {_COUNTS} from tseen where base <> 'N' group by contig, p",
+    "vknown": """select g.*, coalesce(v.n1, g.refnuc) as n1, v.n2, coalesce(A, 0) as A, coalesce(C, 0) as C, coalesce(G, 0) as G, coalesce(T, 0) as T
+        from genome g left join tpile p on p.contig = g.contig and p.pos = g.pos left join genotypes v on v.contig = g.contig and v.pos = g.pos""",
+    "vmasked_pos": "select m.roi_id, k.n1, k.n2, k.A, k.C, k.G, k.T from masked m join vknown k on k.contig = m.contig and k.pos = m.pos",
+    "vmatrix": _matrix("vmasked_pos"),
+    "tcover": "select r.roi_id, count(distinct s.read_id) as coverage from post r join tseen s on s.contig = r.contig and s.p >= r.post_start and s.p < r.post_end group by r.roi_id",
+    "vtable": "select m.*, coalesce(c.coverage, 0) as coverage, r.contig, r.start_, r.end_, r.name, r.strand, p.post_start, p.post_end, p.nucmasked from vmatrix m join rois r using (roi_id) join post p using (roi_id) left join tcover c using (roi_id)",
+    "vreach": """select *, pos + 1 as stop from vknown k where exists (select 1 from rois r where r.contig = k.contig and r.start_ <= k.pos and k.pos < r.end_)
+        and not exists (select 1 from exclude e where e.contig = k.contig and e.start_ <= k.pos and k.pos < e.end_)""",
     "strand_reads": """select *, case when (flags & 64) <> 0 then (case when (flags & 16) <> 0 then '-' else '+' end) else (case when (flags & 16) <> 0 then '+' else '-' end) end as sf from seen""",
     "sf_pile": f"select contig, p as pos, sf as trstrand, {_COUNTS} from strand_reads where base <> 'N' group by contig, p, sf",
     "sf_pos": """select m.roi_id, s.trstrand, k.n1, coalesce(q.A, 0) as A, coalesce(q.C, 0) as C, coalesce(q.G, 0) as G, coalesce(q.T, 0) as T
@@ -119,8 +130,8 @@ _LOW = ", ".join(f"{n} as n_{n.lower()}" for n in "ACGT")
 _MM = "A + C + G + T - case {0} when 'A' then A when 'C' then C when 'G' then G when 'T' then T else 0 end"
 
 
-def _site_pass() -> str:
-    mm = _MM.format("n1")
+def _site_pass(allele: str = "n1") -> str:
+    mm = _MM.format(allele)
     return f"A + C + G + T >= 10 and {mm} >= 3 and {_freq(mm, 'A + C + G + T', 0.01)}"
 
 
@@ -130,12 +141,31 @@ _INDEX_PAIRS = ["A->A", "T->T", "G->G", "C->C", "A->T", "T->A", "A->G", "T->C",
 _COMPLEMENT = dict(zip("ACGT", "TGCA"))
 
 
+_SHARES = ", ".join(f"x_{p[0]}{p[3]}::double / nullif({' + '.join(f'x_{p[0]}{b}' for b in 'ACGT')}, 0)::double as \"{p}\"" for p in _INDEX_PAIRS)
+
+
 def _index_sql() -> str:
     cells = ", ".join(
         f"sum(case when trstrand = '+' and n1 = '{a}' then {b} when trstrand = '-' and n1 = '{_COMPLEMENT[a]}' then {_COMPLEMENT[b]} else 0 end) as x_{a}{b}" for a, b in _CELLS
     )
-    shares = ", ".join(f"x_{p[0]}{p[3]}::double / nullif({' + '.join(f'x_{p[0]}{b}' for b in 'ACGT')}, 0)::double as \"{p}\"" for p in _INDEX_PAIRS)
-    return f"""select 'fixture' as experiment, 'rois' as "ROI-file", cast(0 as bigint) as "#unstranded", {shares} from (select {cells} from sf_pos)"""
+    return f"""select 'fixture' as experiment, 'rois' as "ROI-file", (select count(*) from sf_pos where trstrand = '.') as "#unstranded", {_SHARES} from (select {cells} from sf_pos)"""
+
+
+def _unstranded_index_sql(table: str, annotation: str, head: str) -> str:
+    """Of regions whose strand is predicted: by annotation, then by editing."""
+    strand = f"coalesce(case when a.strand in ('+', '-') then a.strand end, {_roi_editing(ROI_EDITING['least'], _DEFAULT_FREQ)})"
+    cells = ", ".join(
+        f"sum(case when trstrand = '+' then {a}_to_{b} when trstrand = '-' then {_COMPLEMENT[a]}_to_{_COMPLEMENT[b]} else 0 end) as x_{a}{b}" for a, b in _CELLS
+    )
+    return f"""select {head}, u as "#unstranded", {_SHARES} from (select count(*) filter (trstrand = '.') as u, {cells} from (
+        select t.*, {strand} as trstrand from {table} t left join ({{{annotation}}}) a using (roi_id)))"""
+
+
+def _two_alleles(least: int, freq: float) -> str:
+    """Strand by editing of a site with up to two alleles; alleles that disagree tell nothing."""
+    one = lambda n: f"case when {n} = 'A' and {_edited('A', 'G', least, freq)} then '+' when {n} = 'T' and {_edited('T', 'C', least, freq)} then '-' end"
+    a, b = one("n1"), one("n2")
+    return f"case when ({a}) <> ({b}) then '.' else coalesce({a}, {b}, '.') end"
 
 
 _ROI_HEADER = ", ".join(f"n_{a.lower()} as \"#{a}\", " + ", ".join(f"{a}_to_{b}".lower() + f' as "{a}->{b}"' for b in "ACGT") for a in "ACGT")
@@ -161,7 +191,7 @@ SQL = {
     "roi_threshold": f"select roi_id, coverage from table_ where {_ROI_PASS}",
     "roi_matrix": "select * from matrix",
     "vcf_genotype": "select * from genotypes",
-    "site_region": f"select contig, pos, {_LOW} from counted c where exists (select 1 from rois r where r.roi_id % 10 = 0 and r.contig = c.contig and r.start_ <= c.pos and c.pos < r.end_)",
+    "site_region": f"select contig, pos, {_LOW} from counted c where exists (select 1 from rois r where r.contig = c.contig and r.start_ <= c.pos and c.pos < r.end_)",
     "site_exclude": f"select contig, pos, {_LOW} from counted c where not exists (select 1 from exclude r where r.contig = c.contig and r.start_ <= c.pos and c.pos < r.end_)",
     "roi_exclude": """select roi_id, post_start, post_end, nucmasked, n_pieces from post join (
         select roi_id, count(distinct grp) as n_pieces from (select roi_id, pos - row_number() over (partition by roi_id order by pos) as grp from masked) group by roi_id) using (roi_id)""",
@@ -183,10 +213,10 @@ SQL = {
     "vcf_reference": """select g.contig, g.pos, g.refnuc, case when v.contig is null then g.refnuc when n2 is null then n1 else n1 || '/' || n2 end as prednuc
         from genome g left join genotypes v on v.contig = g.contig and v.pos = g.pos""",
     "strand_by_annotation_roi": "select * from roi_strand",
-    "strand_by_annotation_site": _annotated("contig, pos", "(select *, pos + 1 as stop from genome where pos % 3 = 0)", "pos", "stop"),
-    "roi_force": f"select roi_id, coverage from masked_table t where ({_ROI_PASS}) or exists (select 1 from rois f where f.roi_id % 7 = 0 and f.contig = t.contig and f.start_ = t.post_start and f.end_ = t.post_end and f.strand = t.strand and f.name = t.name)",
+    "strand_by_annotation_site": _annotated("contig, pos", "(select *, pos + 1 as stop from genome)", "pos", "stop"),
+    "roi_force": f"select roi_id, coverage from masked_table t where ({_ROI_PASS}) or exists (select 1 from rois f where f.strand = '+' and f.contig = t.contig and f.start_ = t.post_start and f.end_ = t.post_end and f.strand = t.strand and f.name = t.name)",
     "site_force": f"""select contig, pos, '.' as trstrand, refnuc, n1, {_LOW} from known k
-        where (A + C + G + T > 0 and {_site_pass()}) or exists (select 1 from exclude e where e.ex_id % 5 = 0 and e.contig = k.contig and e.start_ <= k.pos and k.pos < e.end_)""",
+        where (A + C + G + T > 0 and {_site_pass()}) or exists (select 1 from exclude e where e.contig = k.contig and e.start_ <= k.pos and k.pos < e.end_)""",
     "pileup_unstranded": f"select contig, pos, {_LOW} from pile",
     "pileup_stranded": f"select contig, pos, trstrand, {_LOW} from sf_pile",
     "mapped_reads": "select translate(sf, '+-', '-+') as trstrand, count(distinct read_id) as reads from strand_reads group by sf",
@@ -204,13 +234,37 @@ SQL = {
     "strand_by_editing_site": f"select contig, pos, {_site_editing(SITE_EDITING['least'], SITE_EDITING['least_freq'])} as trstrand from sites",
     "strand_by_editing_roi": f"select roi_id, {_roi_editing(ROI_EDITING['least'], ROI_EDITING['least_freq'])} as trstrand from table_",
     "strand_engine": f"select roi_id, coalesce(case when a.strand in ('+', '-') then a.strand end, {_roi_editing(ROI_EDITING['least'], ROI_EDITING['least_freq'])}) as trstrand from table_ t left join (select roi_id, strand from roi_strand) a using (roi_id)",
+    "editing_index_unstranded": _unstranded_index_sql("masked_table", "roi_annotation", "'fixture' as experiment, 'rois' as \"ROI-file\""),
+    "run_totals": f"""select translate(sf, '+-', '-+') as kind, count(distinct read_id) as n from strand_reads group by sf
+        union all select 'items', count(*) from sites where {_site_pass()}""",
+    "site_file": """select row_number() over (order by contig, pos) as n, contig, pos, trstrand from (SITE_OUTPUT)""",
+    "roi_file": """select row_number() over (order by contig, start, "end", trstrand, name) as n, contig, start, "end", trstrand, name from (ROI_OUTPUT)""",
+    "index_file": """select unnest(['experiment,ROI-file,#unstranded', 'one,rois,0', 'two,rois,0']) as line""",
+    "bam_file": "select read_id, contig, pos, flags, mapq, cigar, seq, qual from reads",
+    "bam_contigs": "select contig, length(seq) as len from genome_seq",
+    "vcf_file": "select contig, pos1 - 1 as pos, ref, alt, filter_, gt from vcf_raw",
+    "site_run": f"""select contig, pos, coalesce(strand_, {_two_alleles(SITE_EDITING['least'], _DEFAULT_FREQ)}) as trstrand, refnuc, case when n2 is null then n1 when n1 = 'N' or n2 = 'N' then 'N' else n1 || '/' || n2 end as prednuc, A, C, G, T from (
+        select s.*, case when a.strand in ('+', '-') then a.strand end as strand_ from ({{run_sites}}) s left join ({{run_annotation}}) a on a.contig = s.contig and a.pos = s.pos)""",
+    "roi_run": f"""select contig, start_ as start, end_ as "end", strand, name, coalesce(known_, {_roi_editing(ROI_EDITING['least'], _DEFAULT_FREQ)}) as trstrand, coverage, nucmasked, heterozygous, {_ROI_HEADER}
+        from (select t.*, case when a.strand in ('+', '-') then a.strand end as known_ from vtable t left join ({{utr_annotation}}) a using (roi_id)) v
+        where ({_ROI_PASS}) or exists (select 1 from rois f where f.strand = '+' and f.contig = v.contig and f.start_ = v.post_start and f.end_ = v.post_end and f.strand = v.strand and f.name = v.name)""",
+    "roi_run_index": _unstranded_index_sql("vtable", "utr_annotation", "'fixture' as experiment"),
 }
+for _name, _like in (("bcf_file", "vcf_file"), ("fasta_file", "scan_fasta"), ("fasta_without_index", "scan_fasta"), ("bed_file", "scan_bed"), ("gff_file", "scan_gff"), ("bam_region", "scan_reads")):
+    SQL[_name] = SQL[_like]
+SQL["site_file"] = SQL["site_file"].replace("SITE_OUTPUT", SQL["site_output"])
+SQL["roi_file"] = SQL["roi_file"].replace("ROI_OUTPUT", SQL["roi_output"])
 # Features without the 3'UTR extension, for the two outputs.
 _BARE = {
     "site_annotation": _annotated("contig, pos", f"(select *, pos + 1 as stop from sites where {_site_pass()})", "pos", "stop").replace("join feats f", "join features f"),
     "roi_annotation": _annotated("roi_id", "post", "post_start", "post_end").replace("join feats f", "join features f"),
 }
-for _name in ("site_output", "roi_output"):
+_RUN_SITES = f"""select * from vreach k where (A + C + G + T > 0 and (({_site_pass()}) or (n2 is not null and {_site_pass('n2')})))
+        or exists (select 1 from features e where e.class = 'exon' and e.contig = k.contig and e.start_ <= k.pos and k.pos < e.end_)"""
+_BARE["run_sites"] = _RUN_SITES
+_BARE["run_annotation"] = _annotated("contig, pos", f"({_RUN_SITES})", "pos", "stop")
+_BARE["utr_annotation"] = _annotated("roi_id", "post", "post_start", "post_end")
+for _name in ("site_output", "roi_output", "site_file", "roi_file", "editing_index_unstranded", "site_run", "roi_run", "roi_run_index"):
     SQL[_name] = SQL[_name].format(**_BARE)
 # The greedy fold is sequential: a recursive walk over the ordered intervals of each contig.
 _WALK = """recursive ordered as (select contig, start_ as s, end_ as e, row_number() over (partition by contig order by start_, end_ desc) as k from rois),

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.nucleotides import ACGT, coverage, mismatches, most_frequent, normalize, symbol
 from ..functions.strands import DESIGNS, FIRST, deduce, of_read
 from ..operators import filters, intervals, pileup, refpred, rois, sites, strand
-from ..sources import text
+from .. import cli
+from ..sources import bam, bcf, text
 from ..sources.fixtures import Fixtures
 from . import analyses
 
@@ -36,23 +38,26 @@ def _bases(x: Fixtures, design: str = "u") -> DataFrame:
 
 def _counted(x: Fixtures) -> DataFrame:
     """Covered positions with reference base and counts."""
-    return refpred.with_counts(x.genome(), pileup.pileup(_bases(x)))
+    return refpred.with_counts(x.tiles(), pileup.pileup(_bases(x)))
 
 
 def _sites(x: Fixtures) -> DataFrame:
-    return sites.site_table(x.genome(), _bases(x))
-
-
-def _force(x: Fixtures) -> DataFrame:
-    return x.exclude().where("ex_id % 5 = 0")
+    return sites.site_table(x.tiles(), _bases(x))
 
 
 def _force_rois(x: Fixtures) -> DataFrame:
-    return x.rois().where("roi_id % 7 = 0")
+    """Regions on the forward strand are forced: those of the other strands have to pass."""
+    return x.rois().where("strand = '+'")
 
 
 def _table(x: Fixtures, exclude: bool = False) -> DataFrame:
-    return rois.roi_table(x.rois(), x.genome(), _passed(x), x.exclude() if exclude else None)
+    return rois.roi_table(x.rois(), x.tiles(), _passed(x), x.exclude() if exclude else None)
+
+
+def _near(x: Fixtures) -> DataFrame:
+    """Bases near the regions only, as the region table counts them."""
+    ranges = x.rois().select("contig", F.col("start_").alias("r_start"), F.col("end_").alias("r_end"))
+    return pileup.bases(_passed(x), within=ranges)
 
 
 def _lower(df: DataFrame) -> DataFrame:
@@ -81,7 +86,7 @@ def contigs(x):
 
 @query
 def scan_fasta(x):
-    return text.fetch(text.tiles_of(x.genome()), x.rois(), "roi_id")
+    return text.fetch(x.tiles(), x.rois(), "roi_id")
 
 
 @query
@@ -102,20 +107,28 @@ def scan_vcf(x):
     return text.parse_vcf(x.vcf_raw().select(line.alias("value")))
 
 
+def site_output_of(x: Fixtures) -> DataFrame:
+    options = analyses.Options(strand_least_mismatches=SITE_EDITING["least"])
+    return _site_columns(analyses.site_analysis(x.reads(), x.tiles(), options, gff=x.gff()))
+
+
 @query
 def site_output(x):
-    options = analyses.Options(strand_least_mismatches=SITE_EDITING["least"])
-    return _site_columns(analyses.site_analysis(x.reads(), x.genome(), options, gff=x.gff()))
+    return site_output_of(x)
 
 
 def _site_columns(df: DataFrame) -> DataFrame:
     return df.select(*sites.COLUMNS)
 
 
+def roi_output_of(x: Fixtures) -> DataFrame:
+    options = analyses.Options(strand_least_mismatches=ROI_EDITING["least"])
+    return analyses.roi_analysis(x.reads(), x.tiles(), x.rois(), options, exclude=x.exclude(), gff=x.gff())
+
+
 @query
 def roi_output(x):
-    options = analyses.Options(strand_least_mismatches=ROI_EDITING["least"])
-    return analyses.roi_analysis(x.reads(), x.genome(), x.rois(), options, exclude=x.exclude(), gff=x.gff())
+    return roi_output_of(x)
 
 
 @query
@@ -155,7 +168,7 @@ def roi_threshold(x):
 
 @query
 def roi_matrix(x):
-    return rois.matrix(rois.regions(x.rois()), x.genome(), _bases(x)).drop("trstrand")
+    return rois.matrix(rois.regions(x.rois()), x.tiles(), _near(x)).drop("trstrand")
 
 
 @query
@@ -165,8 +178,7 @@ def vcf_genotype(x):
 
 @query
 def site_region(x):
-    include = x.rois().where("roi_id % 10 = 0")
-    return _lower(sites.restrict(_counted(x), include=include).select("contig", "pos", *ACGT))
+    return _lower(sites.restrict(_counted(x), include=x.rois()).select("contig", "pos", *ACGT))
 
 
 @query
@@ -222,7 +234,7 @@ def roi_read_coverage(x):
 
 @query
 def join_reference(x):
-    return _lower(refpred.with_counts(x.genome(), pileup.pileup(_bases(x)), "left"))
+    return _lower(refpred.filled(x.genome(), pileup.pileup(_bases(x))))
 
 
 @query
@@ -238,7 +250,7 @@ def strand_by_annotation_roi(x):
 
 @query
 def strand_by_annotation_site(x):
-    at = x.genome().where("pos % 3 = 0").withColumn("stop", F.col("pos") + 1)
+    at = x.genome().withColumn("stop", F.col("pos") + 1)
     return strand.by_annotation(at, strand.features(x.gff(), UTR3), ["contig", "pos"], "pos", "stop")
 
 
@@ -249,7 +261,7 @@ def roi_force(x):
 
 @query
 def site_force(x):
-    found = sites.keep(x.genome(), _sites(x), _force(x))
+    found = sites.keep(_sites(x), sites.forced(x.tiles(), _bases(x), x.exclude()))
     return _lower(found.select("contig", "pos", "trstrand", "refnuc", "n1", *ACGT))
 
 
@@ -286,7 +298,7 @@ def most_frequent_base(x):
 @query
 def editing_index(x):
     options = analyses.Options(design="s/f")
-    return analyses.editing_index(x.reads(), x.genome(), x.rois(), options, exclude=x.exclude(), experiment="fixture", roi_file="rois")
+    return analyses.editing_index(x.reads(), x.tiles(), x.rois(), options, exclude=x.exclude(), experiment="fixture", roi_file="rois")
 
 
 @query
@@ -338,4 +350,133 @@ def strand_engine(x):
     return rois.stranded(_table(x), strand.features(x.gff(), UTR3), **ROI_EDITING).select("roi_id", "trstrand")
 
 
+@query
+def editing_index_unstranded(x):
+    """Strands of regions are predicted, by annotation and then by editing; the rest is counted."""
+    options = analyses.Options(strand_least_mismatches=ROI_EDITING["least"])
+    return analyses.editing_index(x.reads(), x.tiles(), x.rois(), options, exclude=x.exclude(), gff=x.gff(), experiment="fixture", roi_file="rois")
+
+
+@query
+def run_totals(x):
+    """What a run reports: reads by strand, and the items written."""
+    options = analyses.Options(strand_least_mismatches=SITE_EDITING["least"])
+    items = analyses.site_analysis(x.reads(), x.tiles(), options, gff=x.gff()).agg(F.lit("items").alias("kind"), F.count("*").alias("n"))
+    reads = analyses.run_totals(x.reads(), analyses.Options(design="f/s"))
+    return reads.select(F.col("trstrand").alias("kind"), F.col("reads").alias("n")).unionByName(items)
+
+
+def _numbered(x: Fixtures, path: str) -> DataFrame:
+    """The rows of a written table with their place in it."""
+    rows = x.spark.read.option("header", True).csv(path)
+    return rows.withColumn("n", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("bigint"))
+
+
+@query
+def site_file(x):
+    """The written site table: its rows in the order of the file."""
+    path = x.folder("sites")
+    text.write_table(site_output_of(x), path)
+    return _numbered(x, path).select("n", "contig", F.col("pos").cast("bigint").alias("pos"), "trstrand")
+
+
+@query
+def roi_file(x):
+    path = x.folder("regions")
+    text.write_table(roi_output_of(x), path)
+    return _numbered(x, path).select("n", "contig", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "trstrand", "name")
+
+
+@query
+def index_file(x):
+    """A run's index appended to a file twice: one header, two rows."""
+    path = x.folder("index")
+    options = analyses.Options(design="s/f")
+    for name in ("one", "two"):
+        row = analyses.editing_index(x.reads(), x.tiles(), x.rois(), options, exclude=x.exclude(), experiment=name, roi_file="rois")
+        text.append_index(row.select("experiment", "ROI-file", "#unstranded"), path)
+    return x.spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query
+def bam_file(x):
+    """All alignments, written to sorted BAM files and read again."""
+    return _from_bam(bam.read_bam(x.spark, *x.bam_files()))
+
+
+@query
+def bam_region(x):
+    """Alignments that overlap c1:100-400, found by the files' indexes."""
+    return _from_bam(bam.read_bam(x.spark, *x.bam_files(), contig="c1", start=100, end=400))
+
+
+def _from_bam(reads: DataFrame) -> DataFrame:
+    return reads.select(F.substring("name", 2, 30).cast("bigint").alias("read_id"), "contig", "pos", "flags", "mapq", "cigar", "seq", "qual")
+
+
+@query
+def bam_contigs(x):
+    return text.contigs(bam.header_contigs(x.spark, *x.bam_files()))
+
+
+@query
+def fasta_file(x):
+    """Regions' bases from a FASTA file, read in pieces by its index."""
+    return text.fetch(text.read_fasta(x.spark, x.fasta_file(), split=8192), x.rois(), "roi_id")
+
+
+@query
+def fasta_without_index(x):
+    return text.fetch(text.read_fasta(x.spark, x.fasta_file(index=False)), x.rois(), "roi_id")
+
+
+@query
+def bed_file(x):
+    return text.read_bed(x.spark, x.bed_file(x.rois(), "rois"))
+
+
+@query
+def gff_file(x):
+    return text.read_gff(x.spark, x.gff_file())
+
+
+@query
+def vcf_file(x):
+    return text.read_vcf(x.spark, x.vcf_file())
+
+
+@query
+def bcf_file(x):
+    return bcf.read_bcf(x.spark, *x.bcf_files())
+
+
+def _run(x: Fixtures, mode: str, *more: str) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """The command line's run over files, with variants, trimming, exclusions, forced rows and annotation together."""
+    args = [mode, "-i", *x.bam_files(), "-r", x.fasta_file(), "-s", "u", "-5", "3", "-3", "5", "--vcf", x.vcf_file(), "--exclude", x.bed_file(x.exclude(), "exclude"), "--annotation", x.gff_file(), "--utr3ext", str(UTR3), *more]
+    return cli.run(x.spark, cli.parser().parse_args(args))
+
+
+def _exons(x: Fixtures) -> DataFrame:
+    return x.gff().where("type = 'exon'")
+
+
+@query
+def site_run(x):
+    more = ["--region", x.bed_file(x.rois(), "rois"), "--force", x.bed_file(_exons(x), "exons"), "--str-min-mismatches", str(SITE_EDITING["least"])]
+    return _site_columns(_run(x, "site", *more)[0])
+
+
+@query
+def roi_run(x):
+    more = ["--rois", x.bed_file(x.rois(), "rois"), "--force", x.bed_file(_force_rois(x), "force"), "--str-min-mismatches", str(ROI_EDITING["least"])]
+    return _run(x, "roi", *more)[0]
+
+
+@query
+def roi_run_index(x):
+    rois = x.bed_file(x.rois(), "rois")
+    row = _run(x, "roi", "--rois", rois, "--str-min-mismatches", str(ROI_EDITING["least"]), "--ei", "unused", "-n", "fixture")[1]
+    return row.drop("ROI-file")
+
+
 __all__ = ["QUERIES"]

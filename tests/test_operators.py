@@ -24,9 +24,16 @@ def observed(spark, reads, **options):
     return [(r["pos"], r["base"]) for r in pileup.bases(spark.createDataFrame(reads, READ), **options).orderBy("pos").collect()]
 
 
-@pytest.mark.parametrize(("flags", "passed"), [(83, True), (91, True), (1107, False), (1, False), (4095, False)])
-def test_flags(spark, flags, passed):
-    assert one(spark, filters.by_flags(3, 3844), flags=flags) is passed
+def test_flags(spark):
+    """By the rule itself: every bit of include is there and none of exclude; each bit of either mask is tried alone."""
+    include, exclude = 0b1000_0010, 0b0100_0001_0100
+    wanted = [include, include | 1 << 9, 0xFFF & ~exclude]
+    missing = [include & ~(1 << bit) for bit in range(12) if include >> bit & 1]
+    excluded = [include | 1 << bit for bit in range(12) if exclude >> bit & 1]
+    rows = spark.createDataFrame([(f,) for f in [*wanted, *missing, *excluded, 0]], "flags int")
+    passed = [r["flags"] for r in rows.where(filters.by_flags(include, exclude)).collect()]
+    assert sorted(passed) == sorted(wanted)
+    assert rows.where(filters.by_flags(0, 0)).count() == rows.count()
 
 
 @pytest.mark.parametrize(("mapq", "least", "no255", "passed"), [(0, 1, False, False), (1, 1, False, True), (255, 1, False, True), (255, 1, True, False), (254, 254, True, True)])
@@ -125,13 +132,17 @@ def test_zero_coverage_fails_even_without_thresholds(spark):
 @pytest.mark.parametrize(
     ("assembly", "counts", "cov", "freq", "hyper", "want"),
     [
-        ("C", (4, 3, 3, 0), 10, 0.4, False, "A"),
-        ("C", (4, 3, 3, 0), 10, 0.41, False, "C"),
-        ("C", (4, 3, 3, 0), 11, 0.4, False, "C"),
-        ("A", (0, 0, 20, 0), 20, 0.95, True, "A"),
-        ("T", (0, 20, 0, 0), 20, 0.95, True, "T"),
-        ("A", (0, 0, 20, 0), 20, 0.95, False, "G"),
-        ("N", (0, 0, 20, 0), 20, 0.95, True, "G"),
+        ("G", (1, 13, 0, 2), 16, 0.8125, False, "C"),  # coverage and frequency at their bounds
+        ("G", (1, 13, 0, 2), 17, 0.5, False, "G"),
+        ("G", (1, 13, 0, 2), 1, 0.82, False, "G"),
+        ("A", (1, 0, 30, 0), 5, 0.9, True, "A"),  # may be edited in full
+        ("A", (1, 0, 30, 0), 5, 0.9, False, "G"),
+        ("A", (1, 30, 0, 0), 5, 0.9, True, "C"),
+        ("T", (0, 30, 0, 1), 5, 0.9, True, "T"),
+        ("C", (0, 1, 0, 30), 5, 0.9, True, "T"),  # the other way round it isn't editing
+        ("N", (0, 0, 7, 0), 5, 0.9, True, "G"),
+        ("T", (6, 6, 0, 0), 5, 0.5, False, "A"),
+        ("T", (0, 0, 0, 0), 0, 0.0, False, "T"),
     ],
 )
 def test_autoref(spark, assembly, counts, cov, freq, hyper, want):
@@ -141,19 +152,23 @@ def test_autoref(spark, assembly, counts, cov, freq, hyper, want):
 @pytest.mark.parametrize(
     ("n1", "n2", "counts", "want"),
     [
-        ("A", None, (1, 0, 8, 0), "+"), ("A", None, (8, 0, 1, 0), "."), ("T", None, (0, 8, 0, 1), "-"), ("C", None, (1, 8, 8, 1), "."),
-        ("A", "C", (1, 0, 8, 0), "+"), ("A", "T", (1, 8, 8, 1), "."), ("G", "T", (0, 8, 0, 1), "-"),
+        ("A", None, (57, 0, 3, 0), "+"), ("A", None, (58, 0, 3, 0), "."), ("A", None, (9, 0, 2, 0), "."), ("A", None, (9, 40, 3, 40), "+"),
+        ("T", None, (0, 3, 0, 57), "-"), ("T", None, (3, 0, 0, 57), "."), ("G", None, (3, 0, 57, 0), "."), ("N", None, (9, 9, 9, 9), "."),
+        ("A", "G", (5, 0, 5, 0), "+"), ("C", "T", (0, 5, 0, 5), "-"), ("A", "T", (5, 5, 5, 5), "."), ("A", "T", (5, 2, 5, 5), "+"), ("C", "G", (5, 5, 5, 5), "."),
     ],
 )
 def test_site_editing(spark, n1, n2, counts, want):
-    assert site(spark, n1, n2, counts).select(strand.by_editing_site(8, 0.05)).first()[0] == want
+    """Three at least, and a twentieth of those that are the allele or its edited form."""
+    assert site(spark, n1, n2, counts).select(strand.by_editing_site(3, 0.05)).first()[0] == want
 
 
 @pytest.mark.parametrize(
-    ("aa", "ag", "tt", "tc", "want"), [(1, 8, 8, 1, "+"), (8, 1, 1, 8, "-"), (1, 8, 1, 8, "."), (1, 8, 1, 9, "-"), (1, 9, 1, 8, "+"), (9, 1, 9, 1, "."), (0, 0, 0, 0, ".")]
+    ("aa", "ag", "tt", "tc", "want"),
+    [(95, 5, 100, 0, "+"), (100, 0, 95, 5, "-"), (96, 5, 100, 0, "."), (0, 4, 0, 0, "."), (60, 20, 60, 20, "."), (60, 20, 61, 20, "+"), (61, 20, 60, 20, "-"), (0, 5, 9, 4, "+"), (0, 0, 0, 0, ".")],
 )
 def test_roi_editing(spark, aa, ag, tt, tc, want):
-    assert one(spark, strand.by_editing_roi(8, 0.05), a_to_a=aa, a_to_g=ag, t_to_t=tt, t_to_c=tc) == want
+    """Five at least and a twentieth; where both sides hold, the more frequent one."""
+    assert one(spark, strand.by_editing_roi(5, 0.05), a_to_a=aa, a_to_g=ag, t_to_t=tt, t_to_c=tc) == want
 
 
 def test_annotation(spark):
@@ -180,14 +195,15 @@ def test_genotypes(spark):
 
 
 def genome(spark, letters):
-    return spark.createDataFrame([("c", k, x) for k, x in enumerate(letters)], "contig string, pos long, refnuc string")
+    return spark.createDataFrame([("c", 0, letters)], "contig string, tile long, seq string")
 
 
 def test_forced_sites(spark):
     ref, reads = genome(spark, "ACGTA"), spark.createDataFrame([read("ACG", "3M", rid=k) for k in range(3)], READ)
     force = spark.createDataFrame([("c", 2, 4)], "contig string, start_ long, end_ long")
     for design, want in (("u", [(2, ".", 3), (3, ".", 0)]), ("s", [(2, "+", 3), (2, "-", 0), (3, "+", 0), (3, "-", 0)])):
-        found = sites.keep(ref, sites.site_table(ref, pileup.bases(reads, design), design), force, design)
+        observed = pileup.bases(reads, design)
+        found = sites.keep(sites.site_table(ref, observed, design), sites.forced(ref, observed, force, design))
         assert sorted((r["pos"], r["trstrand"], r["G"]) for r in found.collect()) == want
 
 
@@ -210,6 +226,49 @@ def test_regions_and_index(spark):
     assert sorted((r["roi_id"], r["trstrand"]) for r in kept) == [(1, "+"), (1, "-"), (2, "+"), (2, "-")]
 
 
+def test_forced_sites_have_their_variants(spark):
+    """Also where no read is; and a site that passes and is forced comes once."""
+    ref, reads = genome(spark, "ACGTA"), spark.createDataFrame([read("AT", "2M", rid=k) for k in range(12)], READ)
+    calls = spark.createDataFrame([("c", 4, "C", "G"), ("c", 1, "G", None)], "contig string, pos long, n1 string, n2 string")
+    force = spark.createDataFrame([("c", 1, 2), ("c", 3, 99)], "contig string, start_ long, end_ long")
+    predictor = lambda at: refpred.with_variants(at, calls)
+    observed = pileup.bases(reads)
+    found = sites.keep(sites.site_table(ref, observed, "u", predictor), sites.forced(ref, observed, force, "u", predictor))
+    assert sorted((r["pos"], r["n1"], r["n2"], r["T"]) for r in found.collect()) == [(1, "G", None, 12), (3, "T", None, 0), (4, "C", "G", 0)]
+
+
+def test_bases_within_ranges_are_all_that_ranges_hold(spark):
+    """Blocks are cut at buckets: nothing in a range is lost, and nothing comes twice."""
+    reads = spark.createDataFrame([read("ACGT" * 300, "500M2000N700M", pos=k * 37, rid=k) for k in range(20)], READ)
+    ranges = spark.createDataFrame([("c", 600, 620), ("c", 610, 1030), ("c", 1023, 1025), ("c", 3000, 3001), ("d", 0, 9999)], "contig string, r_start long, r_end long")
+    whole = [(r["read_id"], r["pos"], r["base"]) for r in pileup.bases(reads).collect()]
+    some = [(r["read_id"], r["pos"], r["base"]) for r in pileup.bases(reads, within=ranges).collect()]
+    held = lambda p: 600 <= p < 1030 or p == 3000
+    assert len(some) == len(set(some)) < len(whole) and set(some) <= set(whole)
+    assert {x for x in some if held(x[1])} == {x for x in whole if held(x[1])}
+
+
+def test_matched_runs_of_long_reads(spark):
+    """Against a walk over each base."""
+    import random
+
+    rnd = random.Random(4)
+    rows = [read("".join(rnd.choices("ACGTN", k=180)), f"{rnd.randrange(1, 90)}M7N{90}M", pos=k, rid=k, qual="".join(rnd.choices("!0I5~", k=180))) for k in range(30)]
+    for phred in (0, 15, 20, 95):
+        want = []
+        for rid, _, pos, _, _, cigar, _, qual in rows:
+            first = int(cigar.split("M")[0])
+            for start, marks in ((pos, qual[:first]), (pos + first + 7, qual[first : first + 90])):
+                runs = [k for k in range(len(marks) + 1) if k < len(marks) and ord(marks[k]) - 33 >= phred]
+                for k in runs:
+                    if want and want[-1][0] == rid and want[-1][2] == start + k and k:
+                        want[-1][2] += 1
+                    else:
+                        want.append([rid, start + k, start + k + 1])
+        got = sorted([r["read_id"], r["start_"], r["end_"]] for r in pileup.matched_blocks(spark.createDataFrame(rows, READ), phred=phred).collect())
+        assert got == sorted(want)
+
+
 def test_output_columns(spark):
     assert rois.HEADER[:12] == ["contig", "start", "end", "strand", "name", "trstrand", "coverage", "nucmasked", "heterozygous", "#A", "A->A", "A->C"] and len(rois.HEADER) == 29
     assert sites.COLUMNS == ["contig", "pos", "trstrand", "refnuc", "prednuc", "A", "C", "G", "T"]
