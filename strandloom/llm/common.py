@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints"
 RUN = uuid.uuid4().hex
 #: A join's keys with more than this share of its rows are dealt over several tasks: fewer than its inverse.
 HOT_SHARE = 1 / 500
-LEAST_HOT = 5_000
+LEAST_HOT = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,3 +109,12 @@ def free_name(df: DataFrame, base: str) -> str:
 
 def text_or_empty(column) -> F.Column:
     return F.coalesce(column.cast("string"), F.lit(""))
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: Python workers wait for the next one and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
