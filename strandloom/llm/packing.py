@@ -8,7 +8,10 @@ fullest combination stays the fullest while it is available, so this is the same
 time). The plan has a row for each combination and length; the pieces find their bin by their rank
 among the pieces of their length.
 
-Null texts count as empty. An empty table gives an empty one. Ids may repeat or be null.
+Null texts count as empty, and a text without tokens is a piece of its closing id. An empty table gives an empty one. Ids may repeat or be null:
+rows are told apart by a number of their own, and repeated rows are packed each. Pieces of one length are alike, so which of them
+takes which place follows from their rows' numbers. Very long texts are tokenized whole, in blocks of about ``BLOCK_CHARS`` characters with others.
+Only the id and the text are read, so extra columns of any name don't matter.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, give_back
 from .wordbpe import WordBPE
 
 CAPACITY = 4096
@@ -77,6 +80,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
                     [*taken, pa.array(numbers[0].astype(np.int32)), *map(pa.array, numbers[1:])],
                     names=["row", "doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        del tokenizer
+        give_back()
 
     named = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     return named.mapInArrow(make, schema)

@@ -25,7 +25,7 @@ def copies(rnd, count, groups):
 @pytest.mark.parametrize("limit", [64, 3])
 def test_kept_as_by_brute_force(spark, make_docs, monkeypatch, limit):
     """Copies at 0.8 to 1, in small buckets and beyond the limit; two bits link few of them."""
-    monkeypatch.setattr(shingles, "SMALL_BUCKET", limit)
+    monkeypatch.setattr(shingles, "DEALT", limit)
     texts = copies(random.Random(limit), 12, 6)
     bits = [simhash.fingerprint(t) & (1 << 64) - 1 for t in texts]
     edges = [(i, j) for i in range(len(texts)) for j in range(i) if similar(texts[i], texts[j]) or (bits[i] ^ bits[j]).bit_count() <= 2]

@@ -48,9 +48,14 @@ def test_fingerprint_of_blocks(monkeypatch):
     assert simhash.fingerprint(text) == whole
 
 
-def test_budgets_leave_two_exact_segments():
-    assert simhash._agreeing() == 2
+def test_keys_hold_three_segments_and_no_near_pair_misses_all():
+    ways = simhash.keys()
+    assert len(ways) == 10 and {mask.bit_count() for _, mask in ways} <= {38, 39}
     assert sum(simhash.segments()) == (1 << 64) - 1
+    for i in range(64):
+        for j in range(i + 1):
+            apart = (1 << i) | (1 << j)
+            assert any(not apart & mask for _, mask in ways)
 
 
 @pytest.mark.parametrize("limit", [64, 3])
