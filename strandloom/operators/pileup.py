@@ -87,28 +87,38 @@ def bases(reads: DataFrame, design: str = "u", trim5: int = 0, trim3: int = 0, p
 _LOW = "\x01"
 
 
-def matched_blocks(reads: DataFrame, trim5: int = 0, trim3: int = 0, phred: int = PHRED) -> DataFrame:
-    """(read_id, contig, start_, end_): runs of accepted bases within one aligned block; N counts as matched.
+def matched_runs(reads: DataFrame, trim5: int = 0, trim3: int = 0, phred: int = PHRED) -> DataFrame:
+    """``reads`` (read_id, contig, flags) with ``runs``: their stretches of accepted bases within one aligned block, ascending; N counts as matched.
 
-    Runs are found in the masked quality string, and only runs, a few a block, are looked at one by one.
+    Runs are found in the masked quality string, and only runs, a few a block, are looked at one by one. Reads without any are gone.
     """
-    blocks = _block_rows(reads, trim5, trim3)
     low = "".join(map(chr, range(33, 33 + max(0, phred))))
-    masked = F.translate("marks", low, _LOW * len(low)) if low else F.col("marks")
+    masked = F.translate("qual", low, _LOW * len(low)) if low else F.col("qual")
+    marked = reads.select("read_id", "contig", "pos", "flags", "seq", "cigar", masked.alias("masked"))
     run = f"[^{_LOW}]+"
-    lengths = lambda texts: F.transform(texts, lambda t: F.length(t).cast("bigint"))
-    marked = blocks.select("read_id", "contig", "start_", masked.alias("masked"))
-    found = marked.select("read_id", "contig", "start_", lengths(F.regexp_extract_all("masked", F.lit(run), F.lit(0))).alias("runs"), lengths(F.split("masked", run, -1)).alias("gaps"))
-
-    def step(done: Column, r: Column) -> Column:
-        start = done["at"] + r["gap"]
-        piece = F.struct(start.alias("start_"), (start + r["run"]).alias("end_"))
-        return F.struct((start + r["run"]).alias("at"), F.concat(done["out"], F.array(piece)).alias("out"))
-
-    zero = F.struct(F.col("start_").alias("at"), F.array().cast("array<struct<start_:bigint,end_:bigint>>").alias("out"))
-    pairs = F.arrays_zip(F.col("runs").alias("run"), F.slice("gaps", F.lit(1), F.size("runs")).alias("gap"))
-    runs = F.aggregate(pairs, zero, step, lambda done: done["out"])
-    return found.where(F.size("runs") > 0).select("read_id", "contig", F.explode(runs).alias("r")).select("read_id", "contig", "r.start_", "r.end_")
+    zero = "array<struct<start_:bigint,end_:bigint>>"
+
+    def of_block(b: Column) -> Column:
+        part = F.substring(F.col("masked"), b["query"].cast("int") + 1, b["len"].cast("int"))
+        found, gaps = F.regexp_extract_all(part, F.lit(run), F.lit(0)), F.split(part, run, -1)
+        pairs = F.arrays_zip(found.alias("run"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"))
+
+        def step(done: Column, r: Column) -> Column:
+            start = done["at"] + F.length(r["gap"])
+            piece = F.struct(start.alias("start_"), (start + F.length(r["run"])).alias("end_"))
+            return F.struct((start + F.length(r["run"])).alias("at"), F.concat(done["out"], F.array(piece)).alias("out"))
+
+        return F.aggregate(pairs, F.struct((F.col("pos") + b["ref"]).alias("at"), F.array().cast(zero).alias("out")), step, lambda done: done["out"])
+
+    blocks = F.filter(trimmed_blocks(trim5, trim3), lambda b: b["len"] > 0)
+    runs = F.flatten(F.transform(blocks, of_block))
+    return marked.select("read_id", "contig", "flags", runs.alias("runs")).where(F.size("runs") > 0)
+
+
+def matched_blocks(reads: DataFrame, trim5: int = 0, trim3: int = 0, phred: int = PHRED) -> DataFrame:
+    """(read_id, contig, start_, end_): a row for each of ``matched_runs``."""
+    runs = matched_runs(reads, trim5, trim3, phred)
+    return runs.select("read_id", "contig", F.explode("runs").alias("r")).select("read_id", "contig", "r.start_", "r.end_")
 
 
 def count(observed: DataFrame, *keys: str) -> DataFrame:
