@@ -2,7 +2,8 @@
 
 The chain predicts one category after the other with linear models; each model after the first
 also sees the probabilities of the categories before it. In training these are out-of-fold
-predictions: a row's earlier probabilities come from models that were fitted without its fold.
+predictions: a row's earlier probabilities come from models that were fitted without its fold, on features that
+were chosen and categories that were derived without it too.
 
 Categories are 0/1 columns of the labelled rows, in chain order; the last is the verdict. Where the
 labels have one ``toxic`` column only, ``derived_categories`` makes two earlier ones from it: toxic
@@ -16,6 +17,10 @@ Labelled rows are fitted on a sample of at most ``SAMPLE`` rows, chosen by a has
 features are counted and chosen on the cluster, and the driver gets the chosen ones of each row, however
 long its text. Every text is scored, whole. Null and empty texts have no features and get the model's
 probability for that. Without both classes among the labelled rows every score is their mean.
+
+Null ids and labels teach nothing; a row without an id is scored like any other. Repeated rows are scored each, and each
+of a labelled text's rows counts in the fit, up to the sample's size. Features of one chi-square are taken by their number, lower ones first, and a
+score at the threshold is toxic. Result columns have free names, so extra columns of any name come back as they are.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, free_name, release
+from .common import cut, free_name, give_back, release
 
 SAMPLE = 10_000
 MOST_FEATURES = 4_000
@@ -49,7 +54,7 @@ LEAST_CHI = 6.6
 MOST_STRONG = 400
 WORDS = re.compile(r"[^\W\d_]+").findall
 #: Distinct words whose features a worker keeps.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 300_000
 
 
 def word_features(word: str) -> list[int]:
@@ -164,17 +169,27 @@ def chi_square(held: Column, toxic: Column, rows: float, positive: float) -> Col
     return F.when(below > 0, F.lit(float(rows)) * F.pow(a * (neg - b) - b * (pos - a), 2) / below).otherwise(0.0)
 
 
-def choose_features(rows: DataFrame, most: int = MOST_FEATURES) -> list[tuple[int, float, bool]]:
-    """(feature, chi-square, whether it tells positives) of at most ``most`` features of ``rows`` (f, y), most dependent first.
+def count_features(rows: DataFrame) -> DataFrame:
+    """(feature, held, toxic, and both for every fold) of ``rows`` (f, y, fold), counted on the cluster."""
+    each = rows.select("y", "fold", F.explode("f").alias("feature"))
+    own = [F.col("fold") == k for k in range(FOLDS)]
+    sums = [s for k in range(FOLDS) for s in (F.count_if(own[k]).cast("double").alias(f"held_{k}"), F.coalesce(F.sum(F.when(own[k], F.col("y"))), F.lit(0.0)).alias(f"toxic_{k}"))]
+    return each.groupBy("feature").agg(F.count("*").cast("double").alias("held"), F.sum("y").alias("toxic"), *sums)
+
+
+def choose_features(counts: DataFrame, n: float, positive: float, without: int | None = None, most: int = MOST_FEATURES) -> list[tuple[int, bool]]:
+    """(feature, whether it tells positives) of at most ``most`` features, most dependent first.
 
-    Counted on the cluster: the driver gets the chosen ones only.
+    ``counts``: of ``count_features``; ``without``: a fold whose rows don't count; ``n`` and ``positive``: of the rows that do.
+    The driver gets the chosen ones only.
     """
-    total = rows.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
-    n, p = total["n"], total["p"] or 0.0
-    counts = rows.select("y", F.explode("f").alias("feature")).groupBy("feature").agg(F.count("*").cast("double").alias("held"), F.sum("y").alias("toxic"))
-    scored = counts.where(F.col("held") >= LEAST_ROWS).withColumn("chi", chi_square(F.col("held"), F.col("toxic"), n, p))
+    held, toxic = F.col("held"), F.col("toxic")
+    if without is not None:
+        held, toxic = held - F.col(f"held_{without}"), toxic - F.col(f"toxic_{without}")
+    left = counts.select("feature", held.alias("held"), toxic.alias("toxic")).where(F.col("held") >= LEAST_ROWS)
+    scored = left.withColumn("chi", chi_square(F.col("held"), F.col("toxic"), n, positive))
     top = scored.where(F.col("chi") > LEAST_CHI).orderBy(F.desc("chi"), "feature").limit(most).collect()
-    return [(r["feature"], r["chi"], r["toxic"] * (n - p) > (r["held"] - r["toxic"]) * p) for r in top]
+    return [(r["feature"], r["toxic"] * (n - positive) > (r["held"] - r["toxic"]) * positive) for r in top]
 
 
 def derived_categories(texts: list[np.ndarray], sizes: np.ndarray, y: np.ndarray, strong: np.ndarray) -> np.ndarray:
@@ -186,21 +201,32 @@ def derived_categories(texts: list[np.ndarray], sizes: np.ndarray, y: np.ndarray
     return np.column_stack([toxic & (hits > middle), some & (share > level), toxic]).astype(float)
 
 
-def fit_chain(chosen: np.ndarray, texts: list[np.ndarray], categories: np.ndarray, folds: np.ndarray) -> Chain:
-    """``categories``: a 0/1 column each, in chain order; ``folds``: the fold of each row; ``chosen``: features, ascending."""
+def out_of_fold(texts: list[np.ndarray], earlier: np.ndarray, folds: np.ndarray, k: int, by_fold: dict) -> np.ndarray:
+    """Probabilities of category ``k``: each row's by a model of the other folds, on their features and categories."""
+    held = np.zeros(len(texts))
+    for fold, (chosen, categories) in by_fold.items():
+        out = folds == fold
+        if not out.any():
+            continue
+        rows = Chain(chosen).rows(texts)
+        model = fit_linear(rows.take(~out), earlier[~out], categories[:, k], steps=120)
+        held[out] = model.predict(rows.take(out), earlier[out])
+    return held
+
+
+def fit_chain(chosen: np.ndarray, texts: list[np.ndarray], categories: np.ndarray, folds: np.ndarray, by_fold: dict | None = None) -> Chain:
+    """``categories``: a 0/1 column each, in chain order; ``folds``: the fold of each row; ``chosen``: features, ascending.
+
+    ``by_fold``: of each fold, the features and the categories as the other folds' rows alone give them.
+    """
+    by_fold = {f: (chosen, categories[folds != f]) for f in np.unique(folds)} if by_fold is None else by_fold
     chain = Chain(chosen)
     rows = chain.rows(texts)
     earlier = np.zeros((len(texts), 0))
     for k in range(categories.shape[1]):
-        y = categories[:, k]
-        chain.models.append(fit_linear(rows, earlier, y))
-        held = np.zeros(len(texts))
+        chain.models.append(fit_linear(rows, earlier, categories[:, k]))
         if k + 1 < categories.shape[1]:
-            for fold in np.unique(folds):
-                out = folds == fold
-                model = fit_linear(rows.take(~out), earlier[~out], y[~out], steps=120)
-                held[out] = model.predict(rows.take(out), earlier[out])
-            earlier = np.column_stack([earlier, held])
+            earlier = np.column_stack([earlier, out_of_fold(texts, earlier, folds, k, by_fold)])
     return chain
 
 
@@ -216,19 +242,34 @@ def train(docs: DataFrame, labels: DataFrame, label_columns: list[str], id_colum
     known = labels.select(F.col(id_column).alias("id"), *[F.col(c).cast("double").alias(n) for c, n in zip(label_columns, names)]).dropna()
     picked = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    rows = cut(texts.join(F.broadcast(picked), "id").select("id", *names, _feature_column("text").alias("f")))
-    top = choose_features(rows.select("f", F.col(names[-1]).alias("y")))
-    chosen = np.array(sorted(f for f, _, _ in top), dtype=np.int32)
-    wanted = F.array(*map(F.lit, chosen.tolist())) if len(chosen) else F.array().cast("array<int>")
-    found = rows.select("id", *names, F.size("f").alias("size"), F.array_intersect("f", wanted).alias("f")).orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    fold = (F.crc32(F.col("id").cast("string").cast("binary")) % FOLDS).cast("int").alias("fold")
+    rows = cut(texts.join(F.broadcast(picked), "id").select("id", *names, fold, _feature_column("text").alias("f")))
+    verdict = F.col(names[-1])
+    counts = cut(count_features(rows.select("f", "fold", verdict.alias("y"))))
+    totals = {r["fold"]: (r["n"], r["p"]) for r in rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum(verdict).alias("p")).collect()}
+    n, positive = (sum(t[k] for t in totals.values()) for k in (0, 1))
+    top = {None: choose_features(counts, n, positive)}
+    for k, (held, toxic) in totals.items():
+        top[k] = choose_features(counts, n - held, positive - toxic, k)
+    chosen = {k: np.array(sorted(f for f, _ in t), dtype=np.int32) for k, t in top.items()}
+    every = np.unique(np.concatenate(list(chosen.values())))
+    wanted = F.array(*map(F.lit, every.tolist())) if len(every) else F.array().cast("array<int>")
+    found = rows.select("id", *names, "fold", F.size("f").alias("size"), F.array_intersect("f", wanted).alias("f")).orderBy(F.xxhash64("id"), "id").limit(sample).collect()
     held = [np.array(r["f"], dtype=np.int32) for r in found]
+    sizes, folds = np.array([r["size"] for r in found]), np.array([r["fold"] for r in found], dtype=int)
     y = np.array([[r[n] for n in names] for r in found], dtype=float).reshape(len(found), len(names))
-    if len(names) == 1:
-        strong = np.array([f for f, _, positive in top if positive][:MOST_STRONG], dtype=np.int32)
-        y = derived_categories(held, np.array([r["size"] for r in found]), y[:, 0], strong)
-    folds = np.array([zlib.crc32(str(r["id"]).encode()) % FOLDS for r in found])
-    release(rows)
-    return fit_chain(chosen, held, y, folds)
+
+    def categories(fold: int | None) -> np.ndarray:
+        """Of the rows outside ``fold``, as they alone give them."""
+        own = np.flatnonzero(folds != fold) if fold is not None else np.arange(len(found))
+        if len(names) > 1:
+            return y[own]
+        strong = np.array([f for f, positive in top[fold] if positive][:MOST_STRONG], dtype=np.int32)
+        return derived_categories([held[k] for k in own], sizes[own], y[own, 0], strong)
+
+    by_fold = {fold: (chosen[fold], categories(fold)) for fold in totals}
+    release(rows, counts)
+    return fit_chain(chosen[None], held, categories(None), folds, by_fold)
 
 
 def score_udf(chain: Chain):
@@ -260,6 +301,8 @@ def score_udf(chain: Chain):
                     known.clear()
             rows = Rows(np.array(row, dtype=np.int64), np.array(column, dtype=np.int64), (len(texts), len(chosen)))
             yield pd.Series(list(chain.predict(rows)))
+        known.clear()
+        give_back()
 
     return score
 

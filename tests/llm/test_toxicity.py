@@ -74,3 +74,48 @@ def test_given_categories_and_the_bound(spark, make_docs):
     chain = toxicity.train(make_docs(texts), rows, ["insult", "toxic"], sample=40)
     assert len(chain.models) == 2
     assert toxicity.classify(make_docs(["x"]).where("false"), chain)[0].count() == 0
+
+
+def test_features_are_chosen_without_the_fold(spark):
+    """Against chi-squares counted one by one on the rows outside each fold."""
+    rnd = random.Random(3)
+    rows = [([f for f in range(40) if rnd.random() < (0.6 if y and f < 6 else 0.3)], float(y), k % toxicity.FOLDS) for k in range(400) for y in [rnd.random() < 0.4]]
+    counts = toxicity.count_features(spark.createDataFrame(rows, "f array<int>, y double, fold int"))
+    for without in (None, 0, 3):
+        left = [(set(f), y) for f, y, fold in rows if fold != without]
+        n, p = len(left), sum(y for _, y in left)
+        want = []
+        for f in range(40):
+            a = sum(y for have, y in left if f in have)
+            b = sum(1 - y for have, y in left if f in have)
+            chi = n * (a * (n - p - b) - b * (p - a)) ** 2 / (p * (n - p) * (a + b) * (n - a - b))
+            if a + b >= toxicity.LEAST_ROWS and chi > toxicity.LEAST_CHI:
+                want.append((-chi, f, a * (n - p) > b * p))
+        got = toxicity.choose_features(counts, float(n), float(p), without)
+        assert got == [(f, tells) for _, f, tells in sorted(want)] and got
+
+
+def test_linear_fit_against_newton():
+    rng = np.random.default_rng(1)
+    x = (rng.random((300, 4)) < 0.4).astype(float)
+    dense = rng.random((300, 1))
+    y = (rng.random(300) < toxicity.sigmoid(2 * x[:, 0] - x[:, 1] + dense[:, 0] - 1)).astype(float)
+    row, column = np.nonzero(x)
+    found = toxicity.fit_linear(toxicity.Rows(row, column, x.shape), dense, y, steps=4000)
+    z, theta = np.column_stack([x, dense, np.ones(300)]), np.zeros(6)
+    weight, decay = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())), 0.0005 * np.array([1, 1, 1, 1, 1, 0])
+    for _ in range(30):
+        p = toxicity.sigmoid(z @ theta)
+        grad = z.T @ (weight * (p - y)) / 300 + decay * theta
+        theta -= np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z / 300 + np.diag(decay), grad)
+    assert np.allclose(np.concatenate([found.sparse, found.dense, [found.bias]]), theta, atol=0.02)
+
+
+def test_earlier_probabilities_do_not_depend_on_labels_of_their_fold():
+    rng = np.random.default_rng(2)
+    texts = [np.flatnonzero(rng.random(12) < 0.4).astype(np.int32) for _ in range(100)]
+    folds, every = np.arange(100) % 5, np.arange(12, dtype=np.int32)
+    y = (rng.random(100) < 0.5).astype(float)
+    other = np.where(folds == 2, 1 - y, y)
+    a, b = (toxicity.out_of_fold(texts, np.zeros((100, 0)), folds, 0, {f: (every, np.column_stack([v, v])[folds != f]) for f in range(5)}) for v in (y, other))
+    assert (a[folds == 2] == b[folds == 2]).all() and not np.allclose(a[folds != 2], b[folds != 2])
