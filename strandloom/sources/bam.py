@@ -13,13 +13,16 @@ block, offset in the block, so equal names never meet and a file given twice cou
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .files import open_input, open_output
@@ -27,6 +30,10 @@ from .files import open_input, open_output
 SCHEMA = "read_id bigint, contig string, pos bigint, flags int, mapq int, cigar string, seq string, qual string, name string"
 #: Compressed bytes of a piece.
 SPLIT = 32 << 20
+#: Compressed bytes between two ranges that are read over rather than sought.
+GAP = 1 << 20
+#: Ranges of whole index windows that a read is narrowed to at most; with more all is read and filtered.
+MOST_RANGES = 50_000
 BATCH = 4096
 BASES, OPERATIONS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 EOF_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
@@ -117,6 +124,9 @@ def linear_offsets(index: bytes) -> list[list[int]]:
 
 
 _FIXED = struct.Struct("<iiBBHHHiiii")
+#: From the hexadecimal digits of a packed sequence to its letters, and from a quality to its mark.
+_LETTERS = str.maketrans("0123456789abcdef", BASES)
+_MARKS = bytes(min(q + 33, 126) for q in range(256))
 
 
 def decode(record: bytes, contigs: list[str]) -> tuple:
@@ -127,9 +137,9 @@ def decode(record: bytes, contigs: list[str]) -> tuple:
     cigar = "".join(f"{op >> 4}{OPERATIONS[op & 15]}" for op in struct.unpack_from(f"<{operations}I", record, at)) or "*"
     at += 4 * operations
     packed = record[at : at + (length + 1) // 2]
-    seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:length]
+    seq = packed.hex().translate(_LETTERS)[:length]
     at += len(packed)
-    qual = bytes(min(q + 33, 126) for q in record[at : at + length]).decode()
+    qual = record[at : at + length].translate(_MARKS).decode("ascii")
     return contigs[contig] if contig >= 0 else None, pos, flags, mapq, cigar, seq, qual, name
 
 
@@ -139,13 +149,41 @@ class Piece(InputPartition):
     number: int
     start: int
     end: int | None
+    #: Of a piece for ranges: their contig, and which of its ranges are this piece's.
+    contig: str | None = None
+    first: int = 0
+    last: int = 0
+
+
+Ranges = dict[str, list[tuple[int, int]]]
+
+
+def merged(ranges: Iterable[tuple[str, int, int]]) -> Ranges:
+    """By contig: ranges in order, those that touch as one."""
+    out: Ranges = {}
+    for contig, start, end in sorted(ranges):
+        own = out.setdefault(contig, [])
+        if own and start <= own[-1][1]:
+            own[-1] = (own[-1][0], max(own[-1][1], end))
+        elif end > start:
+            own.append((start, end))
+    return out
+
+
+def first_met(ranges: list[tuple[int, int]], start: int, end: int) -> int:
+    """The number of the first of ``ranges`` that an alignment overlaps, or -1."""
+    k = bisect_right(ranges, start, key=lambda r: r[1])
+    return k if k < len(ranges) and ranges[k][0] < end else -1
 
 
 class BamReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.paths = [p.strip() for p in options["path"].split(",") if p.strip()]
-        self.contig = options.get("contig")
-        self.start, self.end = int(options.get("start", 0)), int(options.get("end", 2**62))
+        self.ranges: Ranges | None = None
+        if "ranges" in options:
+            self.ranges = {c: [tuple(r) for r in rs] for c, rs in json.loads(options["ranges"]).items()}
+        elif "contig" in options:
+            self.ranges = merged([(options["contig"], int(options.get("start", 0)), int(options.get("end", 2**62)))])
         self.split = int(options.get("split", SPLIT))
 
     def partitions(self) -> Sequence[InputPartition]:
@@ -154,29 +192,37 @@ class BamReader(DataSourceReader):
     def _pieces(self, number: int, path: str) -> list[Piece]:
         blocks = Blocks(path)
         names = [n for n, _ in read_header(blocks)]
-        first = blocks.offset
+        start = blocks.offset
         blocks.close()
-        if self.contig is not None and self.contig not in names:
+        if self.ranges is not None and self.ranges.keys().isdisjoint(names):
             return []
         try:
             with open_input(f"{path}.bai") as f:
                 windows = linear_offsets(f.read())
         except OSError:
-            return [Piece(path, number, first, None)]
-        last = None
-        if self.contig is not None:
-            own = names.index(self.contig)
-            later = [o for w in windows[own + 1 :] for o in w if o]
-            last = min(later, default=None)
-            offsets = [o for o in windows[own][max(0, self.start >> 14) : (self.end - 1 >> 14) + 1] if o]
-            first = min(offsets, default=min([o for o in windows[own] if o], default=first))
-        else:
-            offsets = [o for w in windows for o in w if o]
-        cuts = [first]
-        for o in sorted(set(offsets)):
+            return [Piece(path, number, start, None)]
+        if self.ranges is not None:
+            return [p for contig, own in self.ranges.items() if contig in names for p in self._for_ranges(path, number, contig, own, windows[names.index(contig)])]
+        cuts = [start]
+        for o in sorted({o for w in windows for o in w if o}):
             if (o >> 16) - (cuts[-1] >> 16) >= self.split:
                 cuts.append(o)
-        return [Piece(path, number, a, b) for a, b in zip(cuts, [*cuts[1:], last])]
+        return [Piece(path, number, a, b) for a, b in zip(cuts, [*cuts[1:], None])]
+
+    def _for_ranges(self, path: str, number: int, contig: str, ranges: list[tuple[int, int]], windows: list[int]) -> list[Piece]:
+        """Ranges that lie near each other in the file share a piece."""
+        out: list[Piece] = []
+        near = 0
+        for k, (low, _) in enumerate(ranges):
+            at = next((o for o in windows[max(0, low) >> 14 :] if o), None)
+            if at is None:
+                break
+            if out and (at >> 16) - near <= GAP and (at >> 16) - (out[-1].start >> 16) < self.split:
+                out[-1].last = k + 1
+            else:
+                out.append(Piece(path, number, at, None, contig, k, k + 1))
+            near = at >> 16
+        return out
 
     def read(self, partition: Piece | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # no file has the contig
@@ -193,12 +239,12 @@ class BamReader(DataSourceReader):
                 break
             record = blocks.read(struct.unpack("<i", size)[0])
             row = decode(record, contigs)
-            if self.contig is not None:
-                if row[0] != self.contig or row[1] >= self.end:
-                    if row[0] == self.contig or row[0] is None:
-                        break
-                    continue
-                if row[1] + max(1, _span(row[4])) <= self.start:
+            if self.ranges is not None:
+                own = self.ranges.get(row[0])
+                if partition.contig is not None and (row[0] != partition.contig or row[1] >= own[partition.last - 1][1]):
+                    break
+                met = first_met(own, row[1], row[1] + max(1, _span(row[4]))) if own else -1
+                if met < 0 or partition.contig is not None and not partition.first <= met < partition.last:
                     continue
             rows.append(((partition.number << 54) + (place & (1 << 54) - 1), *row))
             if len(rows) == BATCH:
@@ -240,12 +286,21 @@ class BamSource(DataSource):
         return BamReader(dict(self.options))
 
 
-def read_bam(spark: SparkSession, *paths: str, contig: str | None = None, start: int = 0, end: int | None = None) -> DataFrame:
-    """All alignments of the files together, or those that overlap a region."""
+def read_bam(spark: SparkSession, *paths: str, contig: str | None = None, start: int = 0, end: int | None = None, near: DataFrame | None = None) -> DataFrame:
+    """All alignments of the files together, those that overlap a region, or those near ``near`` (contig, start_, end_).
+
+    Near: in the same window of 16 kb as a range, so that what the files' indexes can tell apart is left unread.
+    """
     spark.dataSource.register(BamSource)
     reader = spark.read.format("bam")
     if contig is not None:
         reader = reader.option("contig", contig).option("start", str(start)).option("end", str(end if end is not None else 2**62))
+    elif near is not None:
+        window = lambda c: F.shiftright(F.greatest(F.col(c).cast("bigint"), F.lit(0)), 14)
+        touched = near.where("end_ > start_ and end_ > 0").select("contig", F.explode(F.sequence(window("start_"), F.shiftright(F.col("end_").cast("bigint") - 1, 14))).alias("w")).distinct()
+        held = touched.limit(MOST_RANGES + 1).collect()
+        if len(held) <= MOST_RANGES:
+            reader = reader.option("ranges", json.dumps(merged((r["contig"], r["w"] << 14, r["w"] + 1 << 14) for r in held)))
     return reader.load(",".join(paths))
 
 

@@ -145,6 +145,25 @@ def test_bam(spark, tmp_path, index):
         assert sorted(map(str, (tuple(r)[1:] for r in part.collect()))) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("index", [True, False])
+@pytest.mark.parametrize("gap", [0, 1 << 20])
+def test_bam_near_many_ranges(spark, tmp_path, index, gap, monkeypatch):
+    """Each alignment in a window that a range touches comes once, and little else is read."""
+    monkeypatch.setattr(bam, "GAP", gap)
+    rnd = random.Random(5)
+    rows, path = records(900, 7), str(tmp_path / "x.bam")
+    bam.write_bam(path, [("a", 100_000), ("b", 100_000), ("c", 9)], rows, block=700, index=index)
+    for count in (1, 3, 9):
+        ranges = [(rnd.choice("abz"), s := rnd.randrange(-50, 70_000), s + rnd.randrange(1, 20_000)) for _ in range(count)]
+        near = spark.createDataFrame(ranges, "contig string, start_ long, end_ long")
+        found = bam.read_bam(spark, path, near=near)
+        got = sorted(str(tuple(r)[1:]) for r in found.collect())
+        held = lambda r, c, s, e: r[0] == c and r[1] >> 14 <= e - 1 >> 14 and r[1] + bam._span(r[4]) - 1 >> 14 >= max(0, s) >> 14
+        assert got == sorted(str(r) for r in rows if any(held(r, *x) for x in ranges))
+    reader = bam.BamReader({"path": path, "ranges": '{"a": [[0, 16384], [49152, 65536]], "b": [[16384, 32768]]}'})
+    assert len(reader.partitions()) == (1 if not index else 3 if not gap else 2)
+
+
 def test_a_file_given_twice_counts_twice(spark, tmp_path):
     path = str(tmp_path / "x.bam")
     bam.write_bam(path, [("a", 100_000), ("b", 9)], records(20))
