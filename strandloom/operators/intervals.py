@@ -8,6 +8,7 @@ which their overlap starts, so each is found once.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -118,31 +119,49 @@ def split(intervals: DataFrame, size: int) -> DataFrame:
     return cut.withColumn("start_", F.col("piece")).withColumn("end_", F.least(F.col("piece") + size, "end_")).drop("piece")
 
 
+#: Bases of a contig whose intervals are ordered together.
+CHUNK = 1 << 20
+
+
+def _carried(rows: DataFrame, value: Column, name: str, upto: int) -> DataFrame:
+    """``rows`` with the greatest ``value`` of those of the contig before them, or up to and with them (``upto`` -1 or 0), in ``rows``'s order.
+
+    Chunks of a contig are ordered apart, and one row a chunk is carried on, so that no task holds a contig.
+    """
+    own = Window.partitionBy("contig", "chunk").orderBy("start_", F.desc("end_"), "k").rowsBetween(Window.unboundedPreceding, upto)
+    before = Window.partitionBy("contig").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy("contig", "chunk").agg(F.max(value).alias("top")).withColumn("carry", F.max("top").over(before))
+    inside = rows.withColumn(name, F.max(value).over(own)).join(tops.select("contig", "chunk", "carry"), ["contig", "chunk"])
+    return inside.withColumn(name, F.greatest(name, "carry")).drop("carry")
+
+
 def greedy_bins(intervals: DataFrame, size: int) -> DataFrame:
     """(contig, start_, end_, items): intervals by start, longer first, joined while they end within ``size`` of the bin's start.
 
     A bin's end shrinks to its last item's; an item longer than ``size`` makes a bin of its length. The
-    fold is sequential, so contigs are cut first wherever no interval reaches the next start by ``size``.
+    fold is sequential, so contigs are cut first wherever no interval reaches the next start by ``size``; a task folds
+    what lies between two such places.
     """
-    order = [F.col("start_"), F.desc("end_")]
-    reach = F.greatest(F.col("end_"), F.col("start_") + size)
-    before = F.max(reach).over(Window.partitionBy("contig").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("start_") >= F.col("before"), 1).otherwise(0)).over(Window.partitionBy("contig").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    cut = intervals.select("contig", F.col("start_").cast("bigint").alias("start_"), F.col("end_").cast("bigint").alias("end_")).withColumn("before", before).withColumn("island", island)
-    listed = cut.groupBy("contig", "island").agg(F.sort_array(F.collect_list(F.struct("start_", (-F.col("end_")).alias("minus")))).alias("items"))
-    kind = "array<struct<start_:bigint,limit:bigint,end_:bigint,items:bigint>>"
-
-    def step(bins: Column, item: Column) -> Column:
-        last, end = F.try_element_at(bins, F.lit(-1)), -item["minus"]
-        fits = F.coalesce(end <= last["limit"], F.lit(False))
-        one = F.lit(1).cast("bigint")
-        grown = F.struct(last["start_"].alias("start_"), last["limit"].alias("limit"), F.greatest(last["end_"], end).alias("end_"), (last["items"] + one).alias("items"))
-        fresh = F.struct(item["start_"].alias("start_"), F.greatest(end, item["start_"] + size).alias("limit"), end.alias("end_"), one.alias("items"))
-        kept = F.slice(bins, F.lit(1), F.greatest(F.size(bins) - 1, F.lit(0)))
-        return F.when(fits, F.concat(kept, F.array(grown))).otherwise(F.concat(bins, F.array(fresh)))
-
-    bins = F.explode(F.aggregate("items", F.array().cast(kind), step))
-    return listed.select("contig", bins.alias("b")).select("contig", "b.start_", "b.end_", "b.items")
+    rows = intervals.select("contig", F.col("start_").cast("bigint").alias("start_"), F.col("end_").cast("bigint").alias("end_"))
+    rows = rows.withColumn("chunk", _bucket(F.col("start_"), CHUNK)).withColumn("k", F.monotonically_increasing_id())
+    known = _carried(rows, F.greatest(F.col("end_"), F.col("start_") + size), "reached", -1)
+    opens = F.when(F.col("reached").isNull() | (F.col("start_") >= F.col("reached")), F.col("start_"))
+    islands = _carried(known.withColumn("opens", opens), F.col("opens"), "island", 0)
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        ordered = pdf.sort_values(["start_", "end_"], ascending=[True, False])
+        bins: list[list] = []
+        limit = 0
+        for start, end in zip(ordered["start_"].tolist(), ordered["end_"].tolist()):
+            if bins and end <= limit:
+                bins[-1][2] = max(bins[-1][2], end)
+                bins[-1][3] += 1
+            else:
+                bins.append([pdf["contig"].iloc[0], start, end, 1])
+                limit = max(end, start + size)
+        return pd.DataFrame(bins, columns=["contig", "start_", "end_", "items"])
+
+    return islands.select("contig", "island", "start_", "end_").groupBy("contig", "island").applyInPandas(fold, "contig string, start_ bigint, end_ bigint, items bigint")
 
 
 def segments(intervals: DataFrame, features: DataFrame, key: str) -> DataFrame:

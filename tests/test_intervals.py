@@ -56,8 +56,9 @@ def test_split(spark):
     assert sorted((r["start_"], r["end_"]) for r in iv.split(table, 100).collect()) == [(0, 100), (100, 200), (200, 284)]
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_greedy_bins(spark, seed):
+@pytest.mark.parametrize(("seed", "chunk"), [(0, 1 << 20), (1, 1 << 20), (2, 16), (3, 5), (4, 64)])
+def test_greedy_bins(spark, seed, chunk, monkeypatch):
+    monkeypatch.setattr(iv, "CHUNK", chunk)
     rows, table = made(spark, 40, seed, 0, 300)
     want, limit = [], None
     for _, c, s, e in sorted(rows, key=lambda r: (r[1], r[2], -r[3])):
