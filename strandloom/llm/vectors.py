@@ -2,27 +2,33 @@
 
 Vectors of one label link at a cosine of ``THRESHOLD`` or more, in double precision. Equal vectors
 are one node with a count before anything else. The nodes of each label are cut into overlapping
-shards around centroids: each goes to its ``overlap`` nearest. On every shard a graph is built with
-robust pruning (Subramanya et al., 2019: a candidate is dropped if a kept one is nearer to it than
-the node, by the factor ``ALPHA``), the adjacency lists of all shards are united, and every node is
+shards around centroids: each goes to its ``overlap`` nearest. On every shard a graph is built by insertion with
+robust pruning (Subramanya et al., 2019): nodes come in batches, each is searched in the graph so far, greedily from the
+medoids, and what its search met is pruned (a candidate is dropped if a kept one is nearer to it than
+the node, by the factor ``ALPHA``) to its neighbours, which link back. The adjacency lists of all shards are united, and every node is
 searched in its shards: greedily from the shard's medoids to its neighbourhood, then outwards
 through every node within the range until no more are found. Each pair found is verified, and
 counted in one shard only, the first that both nodes are in.
 
-Recall is audited: the links of a sample of nodes are counted by brute force against all vectors,
-in blocks. Below ``RECALL`` the search is repeated with twice the overlap and a wider beam, and at
+Recall is audited node by node: the links of sampled nodes, some of them nodes with links, are counted by brute force against all vectors,
+in blocks, and recall is the mean over the nodes. Below ``RECALL`` the search is repeated with twice the overlap and a wider beam, and at
 last without shards, where all pairs of blocks of a label are compared.
 
 Memory: a task holds one shard or two blocks of one. Shards above ``BLOCK`` nodes are cut into
-blocks and all pairs of blocks are searched, so no hot label or dense cluster meets in one task.
-Centroids are fitted on the driver from at most ``SAMPLE`` vectors; there are ``MOST_CENTROIDS`` at
-most. Vectors that are null, zero, or hold null or non-finite components, and rows without a label,
-link with nothing. Vectors of different lengths don't link. Repeated ids are separate rows.
+blocks and all pairs of blocks are searched, so no hot label or dense cluster meets in one task. Up to ``FLAT`` centroids are fitted
+on the driver from at most ``SAMPLE`` vectors; more are a tree of two levels, whose second is fitted in tasks: ``MOST_CENTROIDS`` at
+most, 78 million vectors, beyond which shards grow.
+
+Vectors that are null, zero, or hold null or non-finite components, and rows without a label or an id,
+link with nothing. Ids are integers. Vectors of different lengths don't link. Repeated ids are separate rows, linked by their vectors only;
+a row is kept where its id is its component's. Ties: equal cosines are all links. Vectors may have any length that a task holds ``BLOCK`` of.
+Columns are read by the names given, so extra ones of any name are passed over; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, release, spread_join
 from .graph import components
 
 THRESHOLD = 0.93
@@ -38,15 +44,19 @@ RECALL = 0.99
 SHARD = 600
 BLOCK = 1200
 SAMPLE = 20_000
-MOST_CENTROIDS = 4096
+FLAT = 1024
+MOST_CENTROIDS = 65_536
+MOST_LABELS = 4096
 OVERLAP = 2
 BEAM = 8
-DEGREE = 24
-POOL = 48
-FAR = 16
+DEGREE = 20
+#: Nodes of a search that are candidates for neighbours, nodes inserted together, and how many of these are candidates too.
+POOL = 16
+BATCH = 128
+MATES = 12
 ALPHA = 1.2
 MEDOIDS = 16
-AUDITED = 256
+AUDITED = 192
 #: Nodes a little below the threshold are expanded too: their neighbours may be above it.
 SLACK = 0.05
 ROUNDS = ((1, 1), (2, 2), (0, 0))
@@ -93,39 +103,114 @@ def medoids(x: np.ndarray, count: int = MEDOIDS) -> np.ndarray:
     return np.unique(found)
 
 
-def build(x: np.ndarray, degree: int = DEGREE, pool: int = POOL, far: int = FAR, alpha: float = ALPHA) -> np.ndarray:
-    """Adjacency rows (-1: none) of the robust-pruned graph over unit vectors ``x``."""
-    n = len(x)
-    if n == 1:
-        return np.full((1, 1), -1)
-    random = np.random.default_rng(n)
-    near = min(pool, n - 1)
-    adjacency = np.full((n, min(degree, near + far)), -1)
-    for at in range(0, n, 256):
-        rows = np.arange(at, min(at + 256, n))
-        cosine = x[rows] @ x.T
-        cosine[np.arange(len(rows)), rows] = -2
-        candidates = np.argpartition(-cosine, near - 1, axis=1)[:, :near]
-        candidates = np.concatenate([candidates, random.integers(0, n, (len(rows), far))], axis=1)
-        own = np.take_along_axis(cosine, candidates, 1)
-        order = np.argsort(-own, axis=1, kind="stable")
-        candidates, own = np.take_along_axis(candidates, order, 1), np.take_along_axis(own, order, 1)
-        near_x = x[candidates]
-        apart = 1 - near_x @ near_x.transpose(0, 2, 1)
-        away = 1 - own
-        alive = own > -1.5
-        every = np.arange(len(rows))
-        for k in range(adjacency.shape[1]):
+def pruned(x: np.ndarray, rows: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """For each of ``rows`` the neighbours that robust pruning leaves of its ``candidates`` (-1: none), nearest first."""
+    out = np.full((len(rows), degree), -1)
+    for at in range(0, len(rows), 256):
+        own, near = rows[at : at + 256], candidates[at : at + 256]
+        cosine = np.matmul(x[near], x[own][:, :, None])[:, :, 0]
+        cosine[(near < 0) | (near == own[:, None])] = -2
+        order = np.argsort(-cosine, axis=1, kind="stable")
+        near, cosine = np.take_along_axis(near, order, 1), np.take_along_axis(cosine, order, 1)
+        others = x[near]
+        apart, away, alive = 1 - others @ others.transpose(0, 2, 1), 1 - cosine, cosine > -1.5
+        every = np.arange(len(own))
+        for k in range(min(degree, near.shape[1])):
             some = alive.any(axis=1)
             if not some.any():
                 break
             best = alive.argmax(axis=1)
-            adjacency[rows[some], k] = candidates[every, best][some]
+            out[at + every[some], k] = near[every, best][some]
             alive &= alpha * apart[every, best] > away
             alive[every, best] = False
+    return out
+
+
+def _link_back(x: np.ndarray, adjacency: np.ndarray, sources: np.ndarray, alpha: float) -> None:
+    """Every neighbour of ``sources`` gets them for neighbours; lists that run over are pruned."""
+    a, k = np.nonzero(adjacency[sources] >= 0)
+    ends, new = adjacency[sources][a, k], sources[a]
+    order = np.argsort(ends, kind="stable")
+    ends, new = ends[order], new[order]
+    targets, first, count = np.unique(ends, return_index=True, return_counts=True)
+    degree = adjacency.shape[1]
+    held = (adjacency[targets] >= 0).sum(axis=1)
+    number = np.repeat(np.arange(len(targets)), count)
+    place = np.arange(len(ends)) - first[number]
+    fits = held + count <= degree
+    mine = fits[number]
+    adjacency[ends[mine], held[number][mine] + place[mine]] = new[mine]
+    if not fits.all():
+        over = np.flatnonzero(~fits)
+        wide = np.full((len(over), degree + int(count[over].max())), -1)
+        wide[:, :degree] = adjacency[targets[over]]
+        slot = np.full(len(targets), -1)
+        slot[over] = np.arange(len(over))
+        wide[slot[number][~mine], degree + place[~mine]] = new[~mine]
+        adjacency[targets[over]] = pruned(x, targets[over], wide, degree, alpha)
+
+
+def build(x: np.ndarray, degree: int = DEGREE, pool: int = POOL, alpha: float = ALPHA) -> np.ndarray:
+    """Adjacency rows (-1: none) of the robust-pruned graph over unit vectors ``x``, built by searching each node in the graph so far."""
+    x, n = x.astype(np.float32), len(x)
+    adjacency = np.full((n, degree), -1)
+    entry = medoids(x)
+    rest = np.setdiff1d(np.arange(n), entry)
+    np.random.default_rng(n).shuffle(rest)
+    adjacency[entry] = pruned(x, entry, np.tile(entry, (len(entry), 1)), degree, alpha)
+    _link_back(x, adjacency, entry, alpha)
+    at = 0
+    while at < len(rest):
+        batch = rest[at : at + min(BATCH, len(entry) + at)]
+        at += len(batch)
+        found, _ = greedy(x, adjacency, batch, entry, pool, np.zeros((len(batch), n), dtype=bool))
+        among = x[batch] @ x[batch].T
+        np.fill_diagonal(among, -2)
+        mates = batch[np.argsort(-among, axis=1, kind="stable")[:, : min(MATES, len(batch) - 1)]]
+        adjacency[batch] = pruned(x, batch, np.concatenate([found, mates], axis=1), degree, alpha)
+        _link_back(x, adjacency, batch, alpha)
     return adjacency
 
 
+def greedy(x: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, entry: np.ndarray, width: int, seen: np.ndarray, visit=None) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, cosines): the ``width`` nearest that each query's search from ``entry`` keeps (-1: none), nearest first.
+
+    ``seen`` (queries by nodes) is marked; ``visit`` is told (query's place, node, cosine) of all that is met.
+    """
+    cosine = x[queries] @ x[entry].T
+    order = np.argsort(-cosine, axis=1, kind="stable")[:, :width]
+    ids, sims = np.full((len(queries), width), -1), np.full((len(queries), width), -2.0)
+    ids[:, : order.shape[1]], sims[:, : order.shape[1]] = entry[order], np.take_along_axis(cosine, order, 1)
+    seen[:, entry] = True
+    if visit:
+        q, c = np.indices(cosine.shape).reshape(2, -1)
+        visit(q, entry[c], cosine.reshape(-1))
+    done, live = ids < 0, np.arange(len(queries))
+    while len(live):
+        at = np.where(done[live], -3.0, sims[live]).argmax(axis=1)
+        open_ = ~done[live, at]
+        live, at = live[open_], at[open_]
+        if not len(live):
+            break
+        done[live, at] = True
+        next_ = adjacency[ids[live, at]]
+        fresh = (next_ >= 0) & ~seen[live[:, None], next_]
+        row, c = np.nonzero(fresh)
+        q, node = live[row], next_[row, c]
+        seen[q, node] = True
+        value = np.einsum("ij,ij->i", x[queries[q]], x[node])
+        if visit:
+            visit(q, node, value)
+        new = np.full((len(live), next_.shape[1]), -2.0)
+        new[fresh] = value
+        ids2 = np.concatenate([ids[live], np.where(fresh, next_, -1)], axis=1)
+        sims2 = np.concatenate([sims[live], new], axis=1)
+        done2 = np.concatenate([done[live], ~fresh], axis=1)
+        order = np.argsort(-sims2, axis=1, kind="stable")[:, :width]
+        ids[live], sims[live], done[live] = (np.take_along_axis(m, order, 1) for m in (ids2, sims2, done2))
+    return ids, sims
+
+
 def united(lists: list[np.ndarray], n: int) -> np.ndarray:
     """One adjacency matrix of all edges in ``lists`` ((k, 2) arrays of node places), both ways."""
     edges = np.concatenate([np.zeros((0, 2), dtype=np.int64), *lists])
@@ -172,55 +257,23 @@ def _beyond(x: np.ndarray, frontier: np.ndarray, adjacency: np.ndarray, seen: np
 def search(x: np.ndarray, adjacency: np.ndarray, threshold: float = THRESHOLD, beam: int = BEAM) -> np.ndarray:
     """A symmetric matrix: which pairs the searches of all nodes found at ``threshold`` or more."""
     n = len(x)
-    entry = medoids(x)
-    seen = np.zeros((n, n), dtype=bool)
-    linked = np.zeros((n, n), dtype=bool)
-    every = np.arange(n)
-    cosine = x @ x[entry].T
-    width = max(beam, 1)
-    ids = np.full((n, width), -1)
-    sims = np.full((n, width), -2.0)
-    order = np.argsort(-cosine, axis=1)[:, :width]
-    ids[:, : order.shape[1]] = entry[order]
-    sims[:, : order.shape[1]] = np.take_along_axis(cosine, order, 1)
-    done = ids < 0
-    seen[:, entry] = True
-    linked[:, entry] = cosine >= threshold
-    live = every
-    near: list[np.ndarray] = [np.argwhere(cosine >= threshold - SLACK)]
-    near[0][:, 1] = entry[near[0][:, 1]]
-    while len(live):
-        at = np.where(done[live], -3.0, sims[live]).argmax(axis=1)
-        open_ = ~done[live, at]
-        live, at = live[open_], at[open_]
-        if not len(live):
-            break
-        done[live, at] = True
-        next_ = adjacency[ids[live, at]]
-        fresh = (next_ >= 0) & ~seen[live[:, None], next_]
-        q, c = np.nonzero(fresh)
-        q, node = live[q], next_[q, c]
-        seen[q, node] = True
-        value = np.einsum("ij,ij->i", x[q], x[node])
+    seen, linked = np.zeros((n, n), dtype=bool), np.zeros((n, n), dtype=bool)
+    near: list[np.ndarray] = []
+
+    def visit(q: np.ndarray, node: np.ndarray, value: np.ndarray) -> None:
         linked[q, node] = value >= threshold
         close = value >= threshold - SLACK
         near.append(np.column_stack([q[close], node[close]]))
-        new = np.full((len(live), next_.shape[1]), -2.0)
-        new[fresh] = value
-        ids2 = np.concatenate([ids[live], np.where(fresh, next_, -1)], axis=1)
-        sims2 = np.concatenate([sims[live], new], axis=1)
-        done2 = np.concatenate([done[live], ~fresh], axis=1)
-        order = np.argsort(-sims2, axis=1, kind="stable")[:, :width]
-        ids[live], sims[live], done[live] = (np.take_along_axis(m, order, 1) for m in (ids2, sims2, done2))
+
+    every = np.arange(n)
+    greedy(x, adjacency, every, medoids(x), max(beam, 1), seen, visit)
     frontier = np.concatenate(near)
     while len(frontier):
-        found = []
+        near.clear()
         for q, node, value in _beyond(x, frontier, adjacency, seen):
             seen[q, node] = True
-            linked[q, node] = value >= threshold
-            close = value >= threshold - SLACK
-            found.append(np.column_stack([q[close], node[close]]))
-        frontier = np.concatenate(found)
+            visit(q, node, value)
+        frontier = np.concatenate(near)
     linked[every, every] = False
     return linked | linked.T
 
@@ -238,7 +291,7 @@ def forest(linked: np.ndarray) -> np.ndarray:
 
 _GROUP = ["label", "shard", "i", "j"]
 _EDGES = "node long, next long"
-_FOUND = "node long, links long, root long"
+_FOUND = "node long, links long, pairs long, root long"
 
 
 def _build_group(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -259,7 +312,7 @@ def _search_group(beam: int, threshold: float):
             for k, nexts in enumerate(pdf["nexts"]):
                 ends = np.asarray(nexts if nexts is not None else [], dtype=np.int64)
                 at = np.minimum(np.searchsorted(nodes, ends), n - 1)
-                at = at[nodes[at] == ends]
+                at = at[nodes[at] == ends] if n else at
                 edges.append(np.column_stack([np.full(len(at), k), at]))
             linked = search(x, united(edges, n), threshold, beam)
         else:  # the exact way: all pairs
@@ -277,48 +330,108 @@ def _search_group(beam: int, threshold: float):
             for t in range(width):
                 earlier |= (shards[a, s] == shards[b, t]) & (shards[a, s] >= 0) & (shards[a, s] < shard)
         links = np.bincount(a[~earlier], counts[b[~earlier]], n).astype(np.int64)
-        return pd.DataFrame({"node": nodes, "links": links, "root": nodes[forest(linked)]})
+        pairs = np.bincount(a[~earlier], minlength=n).astype(np.int64)
+        return pd.DataFrame({"node": nodes, "links": links, "pairs": pairs, "root": nodes[forest(linked)]})
 
     return run
 
 
-def _centroids(nodes: DataFrame, total: int) -> tuple[list, np.ndarray]:
-    """Labels with more than one shard, with the first and the number of their centroids; and the centroids."""
-    large = nodes.groupBy("label").agg(F.count("*").alias("c")).where(F.col("c") > SHARD).orderBy(F.desc("c"), "label").limit(MOST_CENTROIDS).collect()
+def _fit_leaves(leaves: dict):
+    """Fits the second level's centroids of one cell of the first; ``leaves``: how many a sampled vector stands for, by label."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = unit(pdf["v"])
+        made = fit_centroids(x, max(1, round(len(x) * leaves[int(pdf["number"].iloc[0])])))
+        return pd.DataFrame({"number": [pdf["number"].iloc[0]], "top": [pdf["top"].iloc[0]], "made": [made.astype(np.float32).tobytes()]})
+
+    return run
+
+
+@dataclass
+class Tree:
+    """Centroids of one label and length of vectors: of the first level, and below each those of the second with the number of the first."""
+
+    tops: np.ndarray
+    below: list[tuple[int, np.ndarray]] | None = None
+
+    def nearest(self, x: np.ndarray, overlap: int) -> np.ndarray:
+        """The numbers of the ``overlap`` nearest leaves of each vector, ascending."""
+        own = x @ self.tops.T
+        tops = np.argsort(-own, axis=1, kind="stable")[:, :overlap]
+        if self.below is None:
+            return np.sort(tops, axis=1)
+        ids, sims = np.full((len(x), tops.shape[1] * overlap), -1), np.full((len(x), tops.shape[1] * overlap), -3.0)
+        for rank in range(tops.shape[1]):
+            for t in np.unique(tops[:, rank]):
+                rows, (first, made) = np.flatnonzero(tops[:, rank] == t), self.below[t]
+                cosine = x[rows] @ made.T
+                best = np.argsort(-cosine, axis=1, kind="stable")[:, :overlap]
+                at = rank * overlap + np.arange(best.shape[1])
+                ids[rows[:, None], at], sims[rows[:, None], at] = first + best, np.take_along_axis(cosine, best, 1)
+        return np.sort(np.take_along_axis(ids, np.argsort(-sims, axis=1, kind="stable")[:, :overlap], 1), axis=1)
+
+
+def _trees(nodes: DataFrame, total: int) -> dict[tuple, Tree]:
+    """By (label, length of vectors): the centroids of labels with more than one shard."""
+    large = nodes.groupBy("label").agg(F.count("*").alias("c")).where(F.col("c") > SHARD).orderBy(F.desc("c"), "label").limit(MOST_LABELS).collect()
     wanted = {r["label"]: -(-r["c"] // SHARD) for r in large}
-    scale = min(1.0, MOST_CENTROIDS / max(1, sum(wanted.values())))
-    taken = nodes.where(F.pmod(F.xxhash64("node"), F.lit(max(1, -(-total // (SAMPLE // 2)))) ) == 0).limit(SAMPLE).select("label", "node", "v").collect()
-    by_label: dict = {}
-    for r in sorted(taken, key=lambda r: r["node"]):
+    whole = sum(wanted.values())
+    scale = min(1.0, FLAT / max(1, whole))
+    sampled = lambda most: nodes.where(F.pmod(F.xxhash64("node"), F.lit(max(1, -(-2 * total // most)))) == 0).limit(most)
+    by_key: dict = {}
+    for r in sorted(sampled(SAMPLE).select("label", "node", "v").collect(), key=lambda r: r["node"]):
         if r["label"] in wanted:
-            by_label.setdefault(r["label"], {}).setdefault(len(r["v"]), []).append(r["v"])
-    table, all_ = [], []
-    for label, by_width in by_label.items():
-        for width, vs in by_width.items():
-            made = fit_centroids(unit(vs), max(1, int(wanted[label] * scale)))
-            table.append((label, width, len(all_)))
-            all_.append(made)
-    return table, all_
+            by_key.setdefault((r["label"], len(r["v"])), []).append(r["v"])
+    trees = {key: Tree(fit_centroids(unit(vs), max(1, int(wanted[key[0]] * scale) if whole > FLAT else wanted[key[0]]))) for key, vs in by_key.items()}
+    if whole <= FLAT:
+        return trees
+    most = 4 * min(whole, MOST_CENTROIDS)
+    number = {key: k for k, key in enumerate(trees)}
+    rate = min(whole, MOST_CENTROIDS) / max(1, min(total, most // 2))  # leaves for each sampled vector
+    share = dict.fromkeys(number.values(), rate)
+    spread = nodes.sparkSession.sparkContext.broadcast((number, trees))
+
+    @F.pandas_udf("struct<number:int,top:int>")
+    def cell(labels: pd.Series, vectors: pd.Series) -> pd.DataFrame:
+        number, trees = spread.value
+        out = np.full((len(labels), 2), -1, dtype=np.int32)
+        for key, at in _by_key(labels, vectors, number).items():
+            out[at, 0], out[at, 1] = number[key], trees[key].nearest(unit(vectors.iloc[at]), 1)[:, 0]
+        return pd.DataFrame(out, columns=["number", "top"])
+
+    cells = sampled(most).select(cell("label", "v").alias("c"), "v").select("c.*", "v").where("number >= 0")
+    made = {(r["number"], r["top"]): r["made"] for r in cells.groupBy("number", "top").applyInPandas(_fit_leaves(share), "number int, top int, made binary").collect()}
+    for key, tree in trees.items():
+        first, below = 0, []
+        for t, centroid in enumerate(tree.tops):
+            found = made.get((number[key], t))
+            own = np.frombuffer(found, dtype=np.float32).reshape(-1, tree.tops.shape[1]) if found else centroid[None, :]
+            below.append((first, own))
+            first += len(own)
+        tree.below = below
+    spread.destroy()
+    return trees
+
+
+def _by_key(labels: pd.Series, vectors: pd.Series, known: dict) -> dict[tuple, list[int]]:
+    rows: dict = {}
+    for k, (label, v) in enumerate(zip(labels, vectors)):
+        if (key := (label, len(v))) in known:
+            rows.setdefault(key, []).append(k)
+    return rows
 
 
 def _shards(nodes: DataFrame, overlap: int, total: int) -> DataFrame:
     """``nodes`` with shards: array<int> of the nearest centroids' numbers in the label, ascending."""
     if not overlap:
         return nodes.withColumn("shards", F.array(F.lit(0)))
-    table, all_ = _centroids(nodes, total)
-    number = {(label, width): k for label, width, k in table}
+    trees = nodes.sparkSession.sparkContext.broadcast(_trees(nodes, total))
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def nearest(labels: pd.Series, vectors: pd.Series) -> pd.Series:
         out: list = [[0]] * len(labels)
-        rows: dict = {}
-        for k, (label, v) in enumerate(zip(labels, vectors)):
-            if (key := (label, len(v))) in number:
-                rows.setdefault(key, []).append(k)
-        for key, at in rows.items():
-            own = unit(vectors.iloc[at]) @ all_[number[key]].T
-            keep = np.sort(np.argsort(-own, axis=1, kind="stable")[:, :overlap], axis=1)
-            for k, shards in zip(at, keep.tolist()):
+        for key, at in _by_key(labels, vectors, trees.value).items():
+            for k, shards in zip(at, trees.value[key].nearest(unit(vectors.iloc[at]), overlap).tolist()):
                 out[k] = shards
         return pd.Series(out)
 
@@ -339,68 +452,76 @@ def _members(placed: DataFrame) -> DataFrame:
 
 
 def search_links(nodes: DataFrame, overlap: int, beam: int, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, links, root): what each group of nodes found; links are to be summed, roots connect nodes."""
+    """(node, links, pairs, root): what each group of nodes found; links, with copies, and pairs, without, are to be summed, roots connect nodes."""
     members = cut(_members(_shards(nodes, overlap, nodes.count())))
-    group = ["label", "width", *_GROUP[1:]]
+    group, kept = ["label", "width", *_GROUP[1:]], [members]
     if beam:
         edges = cut(members.select(*group, "node", "v").groupBy(*group).applyInPandas(_build_group, _EDGES))
         lists = edges.groupBy("node").agg(F.collect_set("next").alias("nexts"))
         members = members.join(lists, "node", "left")
+        kept.append(edges)
     else:
         members = members.withColumn("nexts", F.array().cast("array<long>"))
-    return cut(members.groupBy(*group).applyInPandas(_search_group(beam, threshold), _FOUND))
+    found = cut(members.groupBy(*group).applyInPandas(_search_group(beam, threshold), _FOUND))
+    release(*kept)
+    return found
+
 
+def audit(nodes: DataFrame, found: DataFrame, threshold: float = THRESHOLD, queries: int = AUDITED) -> tuple[float, int]:
+    """(recall, links seen) by brute force against all of up to ``queries`` nodes that have links, and as many of all nodes.
 
-def audit(nodes: DataFrame, found: DataFrame, threshold: float = THRESHOLD, queries: int = AUDITED) -> tuple[int, int]:
-    """(links found, links there) of a sample of at most ``queries`` nodes, by brute force against all."""
-    sample = nodes.orderBy(F.xxhash64("node", F.lit(7))).limit(queries).select("label", "node", "v").collect()
-    if not sample:
-        return 0, 0
+    Recall is the mean over the nodes that have links in truth, in the lesser of the two samples; links between equal vectors
+    don't count. Without any link it is 1: then no node that was found to have one, and none of a sample of all, has one.
+    """
+    pairs = found.groupBy("node").agg(F.sum("pairs").alias("have"))
+    known = nodes.join(pairs, "node", "left").select("label", "node", "v", F.coalesce("have", F.lit(0)).alias("have"))
+    order = F.xxhash64("node", F.lit(7))
+    samples = [known.where(c).orderBy(order).limit(queries).collect() for c in (F.col("have") > 0, F.lit(True))]
+    asked = {r["node"]: r for sample in samples for r in sample}
     by: dict = {}
-    for r in sample:
-        by.setdefault((r["label"], len(r["v"])), []).append((r["node"], r["v"]))
-    asked = {k: (np.array([a for a, _ in q]), unit([v for _, v in q])) for k, q in by.items()}
+    for r in asked.values():
+        by.setdefault((r["label"], len(r["v"])), []).append(r)
+    tables = {k: (np.array([r["node"] for r in rows]), unit([r["v"] for r in rows])) for k, rows in by.items()}
 
     def run(batches):
         for pdf in batches:
-            total = 0
-            if len(pdf):
-                for key, rows in pdf.groupby([pdf["label"], pdf["v"].map(len)]):
-                    if key in asked:
-                        ids, x = asked[key]
-                        near = (x @ unit(rows["v"]).T >= threshold) & (ids[:, None] != rows["node"].to_numpy()[None, :])
-                        total += int((near * rows["n"].to_numpy()[None, :]).sum())
-            yield pd.DataFrame({"total": [total]})
+            nodes_, there = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            for key, at in _by_key(pdf["label"], pdf["v"], tables).items():
+                ids, x = tables[key]
+                near = (x @ unit(pdf["v"].iloc[at]).T >= threshold) & (ids[:, None] != pdf["node"].to_numpy()[at][None, :])
+                nodes_.append(ids)
+                there.append(near.sum(axis=1))
+            yield pd.DataFrame({"node": np.concatenate(nodes_), "there": np.concatenate(there)})
 
-    there = nodes.select("label", "node", "n", "v").mapInPandas(run, "total long").agg(F.sum("total")).first()[0] or 0
-    names = F.broadcast(nodes.sparkSession.createDataFrame([(r["node"],) for r in sample], "node long"))
-    have = found.join(names, "node").agg(F.sum("links")).first()[0] or 0
-    return int(have), int(there)
+    counted = nodes.select("label", "node", "v").mapInPandas(run, "node long, there long").groupBy("node").agg(F.sum("there").alias("there"))
+    truth = {r["node"]: r["there"] for r in counted.collect()} if asked else {}
+    recalls = [[min(1.0, r["have"] / truth[r["node"]]) for r in sample if truth.get(r["node"])] for sample in samples]
+    return min((float(np.mean(r)) for r in recalls if r), default=1.0), sum(truth.values())
 
 
 def near_duplicates(table: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(id, n_links, component, kept): one row for every row of ``table``."""
     rows = table.select(F.col(id_column).alias("id"), F.col(label_column).alias("label"), F.col(vector_column).alias("v"))
     rows = rows.withColumn("ok", usable(F.col("v"), F.col("label")) & F.col("id").isNotNull())
-    hashed = rows.withColumn("h", F.when(F.col("ok"), F.struct(F.xxhash64("v").alias("a"), F.hash("v").alias("b"))))
-    keyed = cut(hashed.select("id", "label", "ok", "h"))
-    nodes = cut(
-        hashed.where("ok").groupBy("label", "h").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.first("v").alias("v"))
-    )
+    same = F.struct("label", F.xxhash64("v").alias("a"), F.hash("v").alias("b"))
+    hashed = rows.withColumn("h", F.when(F.col("ok"), same))
+    keyed = cut(hashed.select("id", "ok", "h"))
+    one = hashed.where("ok").groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.first("v").alias("v"))
+    # Nodes have numbers of their own, since an id may be there twice.
+    nodes = cut(one.select("h", "h.label", "first", "n", "v", F.monotonically_increasing_id().alias("node")))
     plain = nodes.select("label", "node", "n", "v")
     for overlap, beam in ROUNDS:
         found = search_links(plain, overlap * OVERLAP, beam * BEAM, threshold)
-        have, there = audit(plain, found, threshold)
-        if have >= recall * there:
+        if not beam or audit(plain, found, threshold)[0] >= recall:
             break
+        release(found)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     reach = components(found.where("node <> root").select("node", "root"))
-    classes = (
-        nodes.select("label", "h", "node", "n")
-        .join(links, "node", "left")
-        .join(reach, "node", "left")
-        .select("label", "h", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    )
-    linked = keyed.where("ok").join(classes, ["label", "h"]).select("id", "n_links", "component")
+    reached = nodes.join(links, "node", "left").join(reach, "node", "left")
+    counted = cut(reached.select("h", "n", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("class")))
+    named = counted.groupBy("class").agg(F.min("first").alias("component"), F.count("*").alias("size"))
+    classes = cut(spread_join(counted, named, "class", "size", F.col("h")).select("h", "n", "n_links", "component"))
+    release(nodes, found, counted)
+    linked = spread_join(keyed.where("ok").select("id", "h"), classes, "h", "n", F.col("id")).select("id", "n_links", "component")
     alone = keyed.where(~F.col("ok")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return linked.union(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component")))

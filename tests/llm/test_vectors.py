@@ -61,8 +61,36 @@ def test_the_last_round_is_exact(spark, monkeypatch):
 def test_audit_sees_what_is_missing(spark):
     rows = clustered(120, 4)
     nodes = spark.createDataFrame([(r[2], r[0], 1, r[1]) for r in rows], "label int, node long, n long, v array<float>")
-    found = spark.createDataFrame([(r[0], 0, r[0]) for r in rows], vectors._FOUND)
-    assert vectors.audit(nodes, found) == (0, sum(w[0] for w in brute(rows).values()))
+    want = brute(rows)
+    none, some, all_ = (spark.createDataFrame([(r[0], 0, int(want[r[0]][0] * f), r[0]) for r in rows], vectors._FOUND) for f in (0, 0.5, 1))
+    links = sum(w[0] for w in want.values())
+    assert vectors.audit(nodes, none) == (0.0, links) and vectors.audit(nodes, all_) == (1.0, links)
+    linked = [int(w[0] * 0.5) / w[0] for w in want.values() if w[0]]
+    assert abs(vectors.audit(nodes, some)[0] - np.mean(linked)) < 1e-9
+
+
+def test_one_dense_cluster_does_not_hide_lost_links(spark):
+    """A node with many links found and many nodes with all of theirs lost."""
+    rows = [(k, [1.0, 0.001 * k, 0.0], 0) for k in range(60)] + [(100 + 2 * k + j, [0.0, float(np.cos(k)), float(np.sin(k)) + 0.001 * j], k + 1) for k in range(30) for j in (0, 1)]
+    nodes = spark.createDataFrame([(r[2], r[0], 1, r[1]) for r in rows], "label int, node long, n long, v array<float>")
+    found = spark.createDataFrame([(r[0], 0, 59 if r[0] < 100 else 0, r[0]) for r in rows], vectors._FOUND)
+    recall, links = vectors.audit(nodes, found)
+    assert recall == 0.5 and links == 60 * 59 + 60
+
+
+def test_repeated_ids_are_separate_rows(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (2, [1.0, 0.01, 0.0], 0)]
+    found = vectors.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["id"], r["n_links"], r["component"]) for r in found) == [(1, 0, 1), (1, 1, 1), (2, 1, 1)]
+
+
+def test_two_levels_of_centroids(spark, monkeypatch):
+    for name, value in (("FLAT", 4), ("SHARD", 20), ("BLOCK", 40)):
+        monkeypatch.setattr(vectors, name, value)
+    rows = clustered(400, 6)
+    got, want = run(spark, rows), brute(rows)
+    assert all(got[i][0] <= want[i][0] for i in want)
+    assert sum(g[0] for g in got.values()) >= 0.97 * sum(w[0] for w in want.values())
 
 
 def test_odd_rows(spark):
