@@ -81,14 +81,15 @@ def run(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, DataF
         thresholds={"least_cov": args.out_min_cov, "least_mism": args.out_min_mismatches, "least_freq": args.out_min_freq},
     )
     text.contigs(bam.header_contigs(spark, *args.input)).collect()  # headers must agree
-    bed = {k: text.read_bed(spark, getattr(args, k, None)) if getattr(args, k, None) else None for k in ("exclude", "force", "region", "rois")}
+    bed = {k: text.read_bed(spark, getattr(args, k)) if getattr(args, k, None) else None for k in ("exclude", "force", "region", "rois")}
     # Files are decoded once, and only near the regions: bases, coverage and totals read what is left after the filters.
-    found = bam.read_bam(spark, *args.input, near=bed["rois"] if args.mode == "roi" else bed["region"])
+    regions = bed["rois"] if args.mode == "roi" else bed["region"]
+    found = bam.read_bam(spark, *args.input, near=regions)
     reads = options.passing(found.where(F.col("contig").isNotNull())).drop("name").persist(StorageLevel.DISK_ONLY)
     tiles = text.read_fasta(spark, args.reference)
     gff = text.read_gff(spark, args.annotation) if args.annotation else None
     variants = refpred.genotypes(text.read_vcf(spark, args.vcf)) if args.vcf else None
-    totals = analyses.run_totals(reads, options)
+    totals = analyses.run_totals(reads, options, regions)
     if args.mode == "site":
         table = analyses.site_analysis(reads, tiles, options, include=bed["region"], exclude=bed["exclude"], force=bed["force"], gff=gff, variants=variants)
         return table, None, totals

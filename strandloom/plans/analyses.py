@@ -127,9 +127,11 @@ def editing_index(
     return indexed(roi_rows(reads, tiles, regions, o, exclude=exclude, variants=variants, covered=False), o, gff, experiment, roi_file)
 
 
-def run_totals(reads: DataFrame, options: Options | None = None) -> DataFrame:
-    """(trstrand, reads): reads with at least one accepted base, of every strand of the design; none where a strand has none."""
+def run_totals(reads: DataFrame, options: Options | None = None, regions: DataFrame | None = None) -> DataFrame:
+    """(trstrand, reads): reads with at least one accepted base, in ``regions`` where there are some, of every strand of the design; 0 where a strand has none."""
     o = options or Options()
-    found = pileup.mapped_reads(pileup.bases(o.passing(reads), o.design, **o.bases()))
+    near = None if regions is None else regions.select("contig", F.col("start_").alias("r_start"), F.col("end_").alias("r_end"))
+    observed = pileup.bases(o.passing(reads), o.design, **o.bases(), within=near)
+    found = pileup.mapped_reads(sites.restrict(observed, regions))
     strands = reads.sparkSession.createDataFrame([(s,) for s in ("." if o.design == "u" else "+-")], "trstrand string")
     return strands.join(found, "trstrand", "left").select("trstrand", F.coalesce("reads", F.lit(0).cast("bigint")).alias("reads"))

@@ -243,6 +243,7 @@ SQL = {
     "bam_file": "select read_id, contig, pos, flags, mapq, cigar, seq, qual from reads",
     "bam_contigs": "select contig, length(seq) as len from genome_seq",
     "vcf_file": "select contig, pos1 - 1 as pos, ref, alt, filter_, gt from vcf_raw",
+    "run_reads": "select '.' as trstrand, count(distinct read_id) as reads from tseen s where exists (select 1 from rois r where r.contig = s.contig and r.start_ <= s.p and s.p < r.end_)",
     "site_run": f"""select contig, pos, coalesce(strand_, {_two_alleles(SITE_EDITING['least'], _DEFAULT_FREQ)}) as trstrand, refnuc, case when n2 is null then n1 when n1 = 'N' or n2 = 'N' then 'N' else n1 || '/' || n2 end as prednuc, A, C, G, T from (
         select s.*, case when a.strand in ('+', '-') then a.strand end as strand_ from ({{run_sites}}) s left join ({{run_annotation}}) a on a.contig = s.contig and a.pos = s.pos)""",
     "roi_run": f"""select contig, start_ as start, end_ as "end", strand, name, coalesce(known_, {_roi_editing(ROI_EDITING['least'], _DEFAULT_FREQ)}) as trstrand, coverage, nucmasked, heterozygous, {_ROI_HEADER}

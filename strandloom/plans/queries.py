@@ -472,6 +472,13 @@ def roi_run(x):
     return _run(x, "roi", *more)[0]
 
 
+@query
+def run_reads(x):
+    """The reads by strand that a run over regions reports."""
+    more = ["--region", x.bed_file(x.rois(), "rois")]
+    return _run(x, "site", *more)[2]
+
+
 @query
 def roi_run_index(x):
     rois = x.bed_file(x.rois(), "rois")
