@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nucleotides import ACGT
 from ..functions.strands import deduce
-from ..sources import text
+from ..sources import files, text
 from . import filters, intervals, pileup, refpred, sites, strand
 from .filters import cell
 
@@ -89,6 +89,8 @@ def roi_table(
     Regions that the genome doesn't hold have null counts, which pass no threshold; ``output`` writes zeros.
     """
     cut = regions(rois, exclude)
+    if exclude is not None:  # positions, reads, coverage and the table all need the pieces: they are cut once
+        cut = files.stored(cut, files.fresh(rois.sparkSession, "regions"))
     near = pieces_of(cut).select("contig", F.col("p_start").alias("r_start"), F.col("p_end").alias("r_end"))
     observed = pileup.bases(reads, design, **bases, within=near)
     rows = cut.withColumn("trstrand", F.explode(F.array(*map(F.lit, _strands(design)))))

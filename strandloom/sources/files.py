@@ -52,6 +52,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _hadoop(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())

@@ -7,7 +7,6 @@ a BAM file: they are written once for each directory and session, in the shared
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,7 +97,7 @@ class Fixtures:
     def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _WRITTEN:
-            path = f"{files.shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+            path = self.folder(name)
             files.stored(make(), path)
             _WRITTEN[key] = path
         return self.spark.read.parquet(_WRITTEN[key])
@@ -108,8 +107,7 @@ class Fixtures:
         self.tiles(), self.reads()
 
     def folder(self, name: str) -> str:
-        """A path of its own in the shared folder."""
-        return f"{files.shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        return files.fresh(self.spark, name)
 
     def _written(self, name: str, write: Callable[[str], list[str]]) -> list[str]:
         """Paths of files that are written once."""
