@@ -29,15 +29,15 @@ def test_held_out(spark, make_docs):
 def test_blocks_equal_one_by_one(monkeypatch):
     texts, labels = corpus(120)
     raw = np.stack([quality.measure(t) for t in texts])
-    voter = quality.fit(raw, np.array(labels))
+    voter = quality.fit(raw.copy(), np.array(labels))
     whole = voter.score(raw)
     monkeypatch.setattr(quality, "BLOCK", 7)
     assert np.allclose(voter.score(raw), whole)
     brute = []
     for v in voter.project(raw):
         cosine = voter.vectors @ v
-        near = np.argsort(-cosine)[: quality.NEIGHBOURS]
-        weight = np.maximum(cosine[near], 1e-6) ** quality.SHARPNESS
+        near = np.flatnonzero(cosine >= np.sort(cosine)[-quality.NEIGHBOURS] - 1e-7)
+        weight = np.maximum(cosine[near], 1e-2) ** quality.SHARPNESS
         brute.append((weight * voter.labels[near]).sum() / weight.sum())
     assert np.allclose(whole, brute, atol=1e-3)
 
@@ -58,3 +58,24 @@ def test_odd_rows(spark, make_docs):
     found = docs.withColumn("score", F.lit(3)).select(quality.score_udf(some)("text").alias("s")).collect()
     assert all(0 <= r["s"] <= 1 for r in found)
     assert docs.where("false").select(quality.score_udf(some)("text")).count() == 0
+
+
+def test_axes_span_what_a_full_decomposition_does():
+    texts, labels = corpus(90)
+    raw = np.stack([quality.measure(t) for t in texts]).astype(np.float64)
+    found, (_, values, rows) = quality.leading_axes(raw, 5), np.linalg.svd(raw, full_matrices=False)
+    assert np.allclose(np.linalg.norm(raw @ found, axis=0), values[:5], rtol=1e-3)
+    assert np.allclose(np.abs((found.T @ rows[:3].T)[:3].diagonal()), 1, atol=1e-2)
+
+
+def test_terms_enter_the_space():
+    a, b = quality.measure("the cat sat on the mat"), quality.measure("tfe cbt sbt om tfe mbt")
+    assert np.allclose(a[: quality.BUCKETS + quality.EXTRA], b[: quality.BUCKETS + quality.EXTRA]) and a @ b < a @ a
+    assert np.isclose(np.linalg.norm(a[quality.BUCKETS + quality.EXTRA :]), quality.TERM_WEIGHT, atol=0.05)
+
+
+def test_all_that_are_as_near_vote():
+    """Thirty labelled copies of one text: whichever come first, the share of all of them counts."""
+    raw = np.stack([quality.measure("one two three")] * 30 + [quality.measure("4 5 6!!")] * 10)
+    labels = np.array([1] * 15 + [0] * 15 + [1] * 10)
+    assert np.allclose(quality.fit(raw, labels).score(np.stack([quality.measure("one two three")])), 0.5)
