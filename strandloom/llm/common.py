@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints"
 #: This process's folder in the shared one.
 RUN = uuid.uuid4().hex
-#: A join's keys with more than this share of its rows are dealt over several tasks: fewer than its inverse.
+#: A join's keys with more than this share of its rows are dealt over several tasks: fewer than its inverse, which stand in the plan.
 HOT_SHARE = 1 / 500
 LEAST_HOT = 1_000
 
@@ -67,30 +67,30 @@ def release(*tables: DataFrame) -> None:
         _delete(table.sparkSession, table._cut_at)
 
 
-def hot_keys(sizes: DataFrame, key: str, count: str) -> DataFrame | None:
-    """(key, copies) of the keys that hold more than ``HOT_SHARE`` of the rows that ``sizes`` counts, or None where there are none.
+def hot_keys(sizes: DataFrame, key: str, count: str) -> dict[int, int]:
+    """Hash -> parts of the keys that hold more than ``HOT_SHARE`` of the rows that ``sizes`` counts.
 
-    There are fewer than ``1 / HOT_SHARE`` of them, whatever the table's size, so that they may be broadcast.
+    There are fewer than ``1 / HOT_SHARE`` of them, whatever the table's size.
     """
     seen = sizes.agg(F.sum(count).alias("total"), F.max(count).alias("most")).first()
     floor = max(LEAST_HOT, int((seen["total"] or 0) * HOT_SHARE))
     if (seen["most"] or 0) <= floor:
-        return None
-    return sizes.where(F.col(count) > floor).select(key, F.ceil(F.col(count) / F.lit(floor)).cast("int").alias("copies"))
+        return {}
+    hot = sizes.where(F.col(count) > floor).select(F.xxhash64(key).alias("h"), F.ceil(F.col(count) / F.lit(floor)).cast("long").alias("parts"))
+    return {r["h"]: r["parts"] for r in hot.collect()}
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, count: str, by: Column, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right``, which has one row for each ``key`` and in ``count`` the number of left rows that have it.
 
-    Rows of a hot key are dealt over tasks by a hash of ``by``, and its one right row is copied to each.
+    Rows of a hot key are dealt over tasks by a hash of ``by``, and its one right row is copied to each. The plan is
+    the same whether a key is hot or not; the few hot ones stand in it as values.
     """
-    hot = hot_keys(right, key, count)
-    if hot is None:
-        return left.join(right, key, how)
-    copies, salt = free_name(left, "copies"), free_name(left, "salt")
-    hot = F.broadcast(hot.withColumnRenamed("copies", copies))
-    dealt = left.join(hot, key, "left").withColumn(salt, F.pmod(F.xxhash64(by), F.coalesce(copies, F.lit(1)).cast("long"))).drop(copies)
-    several = right.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(copies, F.lit(1)).cast("long") - 1))).drop(copies)
+    salt = free_name(left, "salt")
+    hot = hot_keys(right, key, count) or {0: 1}
+    parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x).cast("long") for pair in hot.items() for x in pair]), F.xxhash64(key)), F.lit(1).cast("long"))
+    dealt = left.withColumn(salt, F.pmod(F.xxhash64(by), parts))
+    several = right.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     return dealt.join(several, [key, salt], how).drop(salt)
 
 
