@@ -48,6 +48,7 @@ def cut(df: DataFrame) -> DataFrame:
     atexit.unregister(_delete)
     atexit.register(_delete, spark, run)
     df.write.parquet(path)
+    trim_jvm(spark)
     table = spark.read.schema(df.schema).parquet(path)
     table._cut_at = path
     return table
@@ -118,3 +119,20 @@ def give_back() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
     if trim:
         trim(0)
+
+
+def trim_jvm(spark: SparkSession) -> str | None:
+    """Return freed native memory of the driver's JVM to the system, as ``jcmd System.trim_native_heap`` does; what it says, None where it can't.
+
+    A driver that plans and compiles many queries frees as much in many threads, and the GNU library would keep it, beside the heap.
+    """
+    try:
+        jvm, gateway = spark._jvm, spark.sparkContext._gateway
+        args = gateway.new_array(jvm.java.lang.Object, 4)
+        args[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        args[1] = "systemTrimNativeHeap"
+        # The server's own class isn't open to calls from outside its module, its interface is.
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Exception:  # another system or an older Java
+        return None

@@ -142,16 +142,14 @@ class Chain:
     models: list[Linear] = field(default_factory=list)
 
     def rows(self, texts: list[np.ndarray]) -> Rows:
-        row, column = [], []
-        for k, found in enumerate(texts):
+        column = [np.array([], dtype=np.int32)]
+        for found in texts:
             at = np.searchsorted(self.chosen, found)
             at = at[(at < len(self.chosen))]
             hit = at[np.isin(self.chosen[at], found)] if len(at) else at
-            hit = np.unique(hit)
-            row.append(np.full(len(hit), k))
-            column.append(hit)
-        empty = np.array([], dtype=np.int64)
-        return Rows(np.concatenate([empty, *row]).astype(np.int64), np.concatenate([empty, *column]).astype(np.int64), (len(texts), len(self.chosen)))
+            column.append(np.unique(hit).astype(np.int32))
+        row = np.repeat(np.arange(len(texts), dtype=np.int32), [len(c) for c in column[1:]])
+        return Rows(row, np.concatenate(column), (len(texts), len(self.chosen)))
 
     def predict(self, rows: Rows) -> np.ndarray:
         """A column of probabilities for each category."""
@@ -208,9 +206,9 @@ def out_of_fold(texts: list[np.ndarray], earlier: np.ndarray, folds: np.ndarray,
         out = folds == fold
         if not out.any():
             continue
-        rows = Chain(chosen).rows(texts)
-        model = fit_linear(rows.take(~out), earlier[~out], categories[:, k], steps=120)
-        held[out] = model.predict(rows.take(out), earlier[out])
+        own = lambda keep: Chain(chosen).rows([texts[at] for at in np.flatnonzero(keep)])
+        model = fit_linear(own(~out), earlier[~out], categories[:, k], steps=120)
+        held[out] = model.predict(own(out), earlier[out])
     return held
 
 
@@ -254,10 +252,12 @@ def train(docs: DataFrame, labels: DataFrame, label_columns: list[str], id_colum
     chosen = {k: np.array(sorted(f for f, _ in t), dtype=np.int32) for k, t in top.items()}
     every = np.unique(np.concatenate(list(chosen.values())))
     wanted = F.array(*map(F.lit, every.tolist())) if len(every) else F.array().cast("array<int>")
-    found = rows.select("id", *names, "fold", F.size("f").alias("size"), F.array_intersect("f", wanted).alias("f")).orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    held = [np.array(r["f"], dtype=np.int32) for r in found]
-    sizes, folds = np.array([r["size"] for r in found]), np.array([r["fold"] for r in found], dtype=int)
-    y = np.array([[r[n] for n in names] for r in found], dtype=float).reshape(len(found), len(names))
+    first = rows.select("id", *names, "fold", F.size("f").alias("size"), F.array_intersect("f", wanted).alias("f")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    # As columns: a Python number for each feature of each row would take several times the memory.
+    found = first.select(*names, "fold", "size", "f").toArrow()
+    held = [part.values.to_numpy()[lo:hi] for part in found["f"].chunks for lo, hi in zip(part.offsets.to_pylist(), part.offsets.to_pylist()[1:])]
+    sizes, folds = found["size"].to_numpy(), found["fold"].to_numpy().astype(int)
+    y = np.column_stack([found[n].to_numpy() for n in names])
 
     def categories(fold: int | None) -> np.ndarray:
         """Of the rows outside ``fold``, as they alone give them."""
@@ -269,7 +269,9 @@ def train(docs: DataFrame, labels: DataFrame, label_columns: list[str], id_colum
 
     by_fold = {fold: (chosen[fold], categories(fold)) for fold in totals}
     release(rows, counts)
-    return fit_chain(chosen[None], held, categories(None), folds, by_fold)
+    chain = fit_chain(chosen[None], held, categories(None), folds, by_fold)
+    give_back()
+    return chain
 
 
 def score_udf(chain: Chain):

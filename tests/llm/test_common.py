@@ -1,3 +1,4 @@
+import ctypes
 import random
 
 import pytest
@@ -40,6 +41,19 @@ def test_written_tables_go(spark):
     assert not os.path.exists(path)
 
 
+def test_a_written_table_returns_the_native_memory_that_its_plan_freed(spark, monkeypatch):
+    said, trim = [], common.trim_jvm
+    monkeypatch.setattr(common, "trim_jvm", lambda session: said.append(trim(session)))
+    common.release(common.cut(spark.range(3)))
+    version = tuple(int(x) for x in spark._jvm.java.lang.System.getProperty("java.version").split("-")[0].split("."))
+    known = hasattr(ctypes.CDLL(None), "malloc_trim") and version >= (17, 0, 9)
+    assert len(said) == 1 and (not known or "Trim native heap" in said[0])
+
+
+def test_a_jvm_that_cannot_trim_is_left_alone():
+    assert common.trim_jvm(object()) is None
+
+
 def test_no_local_folder_on_a_cluster():
     class Context:
         master = "spark://head:7077"

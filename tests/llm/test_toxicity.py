@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -119,3 +120,31 @@ def test_earlier_probabilities_do_not_depend_on_labels_of_their_fold():
     other = np.where(folds == 2, 1 - y, y)
     a, b = (toxicity.out_of_fold(texts, np.zeros((100, 0)), folds, 0, {f: (every, np.column_stack([v, v])[folds != f]) for f in range(5)}) for v in (y, other))
     assert (a[folds == 2] == b[folds == 2]).all() and not np.allclose(a[folds != 2], b[folds != 2])
+
+
+def test_the_sample_reaches_the_driver_without_a_python_object_for_each_feature(spark, make_docs, monkeypatch):
+    rnd, rows = random.Random(3), 600
+    words = [["".join(rnd.choices("abcdefghij", k=9)) for _ in range(250)] for _ in range(2)]
+    texts = [" ".join(rnd.sample(words[k % 2], 200)) for k in range(rows)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(rows)], "doc_id long, toxic int").repartition(3)
+    docs = make_docs(texts).repartition(3)
+    monkeypatch.setattr(toxicity, "fit_chain", lambda chosen, held, categories, folds, by_fold: (tracemalloc.get_traced_memory()[1], held, categories, folds))
+    choose = toxicity.choose_features
+
+    def chosen(*args):
+        found = choose(*args)
+        tracemalloc.reset_peak()
+        return found
+
+    monkeypatch.setattr(toxicity, "choose_features", chosen)
+    tracemalloc.start()
+    try:
+        peak, held, categories, folds = toxicity.train(docs, labels, ["toxic"])
+    finally:
+        tracemalloc.stop()
+    counts = sum(map(len, held))
+    assert len(held) == len(folds) == len(categories) == rows and counts > 400 * rows
+    own = {tuple(sorted(h)): int(y) for h, y in zip(held, categories[:, -1])}
+    every = np.unique(np.concatenate(held))
+    assert own == {tuple(np.intersect1d(toxicity.features(t), every)): k % 2 for k, t in enumerate(texts)}
+    assert peak < 25 * counts
