@@ -142,13 +142,13 @@ class Chain:
     models: list[Linear] = field(default_factory=list)
 
     def rows(self, texts: list[np.ndarray]) -> Rows:
-        column = [np.array([], dtype=np.int32)]
+        column = [np.array([], dtype=np.int64)]
         for found in texts:
             at = np.searchsorted(self.chosen, found)
             at = at[(at < len(self.chosen))]
             hit = at[np.isin(self.chosen[at], found)] if len(at) else at
-            column.append(np.unique(hit).astype(np.int32))
-        row = np.repeat(np.arange(len(texts), dtype=np.int32), [len(c) for c in column[1:]])
+            column.append(np.unique(hit))
+        row = np.repeat(np.arange(len(texts)), [len(c) for c in column[1:]])
         return Rows(row, np.concatenate(column), (len(texts), len(self.chosen)))
 
     def predict(self, rows: Rows) -> np.ndarray:
