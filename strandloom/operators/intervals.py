@@ -168,7 +168,9 @@ def segments(intervals: DataFrame, features: DataFrame, key: str) -> DataFrame:
     """(key, contig, start_, end_): each interval cut at every border of a feature that overlaps it."""
     own = intervals.select(key, "contig", F.col("start_").alias("own_start"), F.col("end_").alias("own_end"))
     met = overlaps(own, features.select("contig", F.col("start_").alias("f_start"), F.col("end_").alias("f_end")), ("own_start", "own_end"), ("f_start", "f_end"))
-    borders = met.select(key, "contig", "own_start", "own_end", F.explode(F.array("f_start", "f_end")).alias("at")).where("at > own_start and at < own_end")
-    starts = own.where("own_end > own_start").select("*", F.col("own_start").alias("at")).unionByName(borders).distinct()
+    borders = met.select(key, "contig", "own_end", F.explode(F.array("f_start", "f_end")).alias("at"), "own_start").where("at > own_start and at < own_end").drop("own_start")
+    starts = own.where("own_end > own_start").select(key, "contig", "own_end", F.col("own_start").alias("at")).unionByName(borders)
+    # Of equal borders all but the last begin an empty segment: nothing is made distinct, so no task holds its borders in a hash table.
     after = F.lead("at").over(Window.partitionBy(key).orderBy("at"))
-    return starts.select(key, "contig", F.col("at").alias("start_"), F.coalesce(after, "own_end").alias("end_"))
+    cut = starts.select(key, "contig", F.col("at").alias("start_"), F.coalesce(after, "own_end").alias("end_"))
+    return cut.where("end_ > start_")

@@ -75,3 +75,13 @@ def test_segments(spark):
     features = spark.createDataFrame([("c", -5, 3), ("c", 3, 8), ("c", 8, 30), ("c", 8, 30)], "contig string, start_ long, end_ long")
     got = sorted((r["k"], r["start_"], r["end_"]) for r in iv.segments(rows, features, "k").collect())
     assert got == [(1, 0, 3), (1, 3, 8), (1, 8, 20), (2, 50, 60), (3, 0, 5)]
+
+
+def test_segments_hold_no_borders_in_a_hash_table(spark):
+    """Equal borders of several features, and features that end where an interval does, cut once; and nothing is aggregated on the way."""
+    rows = spark.createDataFrame([(1, "c", 0, 600), (2, "c", 0, 600)], SCHEMA)
+    features = spark.createDataFrame([("c", 5, 300)] * 3 + [("c", 0, 300), ("c", 300, 600), ("c", 5, 700)], "contig string, start_ long, end_ long")
+    found = iv.segments(rows, features, "k")
+    got = sorted((r["k"], r["start_"], r["end_"]) for r in found.collect())
+    assert got == [(k, *x) for k in (1, 2) for x in ((0, 5), (5, 300), (300, 600))]
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
