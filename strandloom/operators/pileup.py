@@ -1,18 +1,20 @@
 """Alignments to observations: CIGAR expansion, trimming, matched blocks, counts by position.
 
-An alignment's CIGAR is folded once, inside the row, to its aligned blocks: the reference and read
-offsets at which bases stand over each other. Nothing is shuffled until bases are counted, and then
-only partial counts are.
+``bases`` gives a row per observed base: an alignment's CIGAR is folded once, inside the row, to its aligned blocks: the reference
+and read offsets at which bases stand over each other. Counts are made of ``pieces``, what a block has in a tile of the genome:
+these are shuffled by tile, and a task counts one tile after another (``kernels``), however many positions there are.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nucleotides import ACGT, count_column, normalize
 from ..functions.strands import deduce, of_read
-from . import intervals
+from ..sources import text
+from . import intervals, kernels
 from .filters import PHRED
 
 _BLOCKS = "array<struct<ref:bigint,query:bigint,len:bigint>>"
@@ -83,36 +85,54 @@ def bases(reads: DataFrame, design: str = "u", trim5: int = 0, trim3: int = 0, p
     return single.where((F.col("letter") != "") & (mark - 33 >= phred)).select("read_id", "contig", (F.col("start_") + F.col("k")).alias("pos"), normalize(F.col("letter")).alias("base"), "trstrand")
 
 
-#: Stands for a quality that is too low; no quality string holds it.
-_LOW = "\x01"
+def touched(ranges: DataFrame, start: str, end: str) -> kernels.Touched:
+    """The stretches of tiles that ``ranges`` (contig, start, end) touch; 64 tiles reach the driver as one number."""
+    tiles = by_tile(ranges.select("contig", start, end), start, end).select("contig", "tile")
+    words = tiles.groupBy("contig", F.shiftright("tile", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(tile & 63 as int))")).alias("bits"))
+    found: dict[str, list[tuple[int, int]]] = {}
+    for r in words.toLocalIterator():
+        found.setdefault(r["contig"], []).append((r["word"], r["bits"]))
+    out = {}
+    for contig, pairs in found.items():
+        word, bits = np.array(sorted(pairs), np.int64).T
+        row, bit = np.nonzero(bits[:, None] >> np.arange(64) & 1)
+        out[contig] = kernels.stretches((word[row] << 6) + bit)
+    return out
 
 
-def matched_runs(reads: DataFrame, trim5: int = 0, trim3: int = 0, phred: int = PHRED) -> DataFrame:
-    """``reads`` (read_id, contig, flags) with ``runs``: their stretches of accepted bases within one aligned block, ascending; N counts as matched.
+def by_tile(ranges: DataFrame, start: str, end: str) -> DataFrame:
+    """``ranges`` with a row for each tile that they touch, cut to it."""
+    first, last = text.tile_of(F.col(start)), text.tile_of(F.col(end) - 1)
+    spread = ranges.where(F.col(end) > F.col(start)).withColumn("tile", F.explode(F.sequence(first, last)))
+    low, high = F.greatest(F.col(start), F.col("tile") * text.TILE), F.least(F.col(end), (F.col("tile") + 1) * text.TILE)
+    return spread.withColumns({start: low, end: high})
 
-    Runs are found in the masked quality string, and only runs, a few a block, are looked at one by one. Reads without any are gone.
-    """
-    low = "".join(map(chr, range(33, 33 + max(0, phred))))
-    masked = F.translate("qual", low, _LOW * len(low)) if low else F.col("qual")
-    marked = reads.select("read_id", "contig", "pos", "flags", "seq", "cigar", masked.alias("masked"))
-    run = f"[^{_LOW}]+"
-    zero = "array<struct<start_:bigint,end_:bigint>>"
 
-    def of_block(b: Column) -> Column:
-        part = F.substring(F.col("masked"), b["query"].cast("int") + 1, b["len"].cast("int"))
-        found, gaps = F.regexp_extract_all(part, F.lit(run), F.lit(0)), F.split(part, run, -1)
-        pairs = F.arrays_zip(found.alias("run"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"))
+def _placed(reads: DataFrame) -> DataFrame:
+    return reads.where("contig is not null and pos is not null")
 
-        def step(done: Column, r: Column) -> Column:
-            start = done["at"] + F.length(r["gap"])
-            piece = F.struct(start.alias("start_"), (start + F.length(r["run"])).alias("end_"))
-            return F.struct((start + F.length(r["run"])).alias("at"), F.concat(done["out"], F.array(piece)).alias("out"))
 
-        return F.aggregate(pairs, F.struct((F.col("pos") + b["ref"]).alias("at"), F.array().cast(zero).alias("out")), step, lambda done: done["out"])
+def pieces(reads: DataFrame, design: str = "u", trim5: int = 0, trim3: int = 0, phred: int = PHRED, within: DataFrame | None = None) -> DataFrame:
+    """What ``bases`` gives, by blocks and tiles (``kernels.PIECE``), for ``pileup``, ``stranded_pileup`` and ``positions``.
+
+    With ``within`` (contig, r_start, r_end) tiles that no range touches are left out.
+    """
+    near = None if within is None else touched(within, "r_start", "r_end")
+    kind = F.when(deduce(F.col("flags"), design) == "-", 1).otherwise(0).cast("tinyint")
+    rows = _placed(reads).select("contig", F.col("pos").cast("bigint").alias("pos"), F.col("flags").cast("int").alias("flags"), kind.alias("kind"), "cigar", "seq", "qual")
+    return rows.mapInArrow(lambda batches: kernels.pieces(batches, trim5, trim3, phred, near), "contig string, tile bigint, kind tinyint, at int, data binary")
+
+
+def matched_runs(reads: DataFrame, trim5: int = 0, trim3: int = 0, phred: int = PHRED, within: kernels.Touched = None) -> DataFrame:
+    """``reads`` (read_id, contig, flags) with ``runs``: their stretches of accepted bases within one aligned block, ascending; N counts as matched.
 
-    blocks = F.filter(trimmed_blocks(trim5, trim3), lambda b: b["len"] > 0)
-    runs = F.flatten(F.transform(blocks, of_block))
-    return marked.select("read_id", "contig", "flags", runs.alias("runs")).where(F.size("runs") > 0)
+    ``gap`` is the longest stretch between two of them. Reads without any are gone, and with ``within`` those that are in no touched tile.
+    """
+    rows = _placed(reads).select("read_id", "contig", F.col("pos").cast("bigint").alias("pos"), F.col("flags").cast("int").alias("flags"), "cigar", "seq", "qual")
+    kind = rows.schema["read_id"].dataType.simpleString()
+    return rows.mapInArrow(
+        lambda batches: kernels.runs(batches, trim5, trim3, phred, within), f"read_id {kind}, contig string, flags int, runs array<struct<start_:bigint,end_:bigint>>, gap bigint"
+    )
 
 
 def matched_blocks(reads: DataFrame, trim5: int = 0, trim3: int = 0, phred: int = PHRED) -> DataFrame:
@@ -122,23 +142,61 @@ def matched_blocks(reads: DataFrame, trim5: int = 0, trim3: int = 0, phred: int
 
 
 def count(observed: DataFrame, *keys: str) -> DataFrame:
-    """Counts of A, C, G and T by ``keys``; positions where only other letters were seen have none."""
+    """Counts of A, C, G and T of single ``bases`` by ``keys``, for streams; positions where only other letters were seen have none."""
     return observed.where(F.col("base") != "N").groupBy(*keys).agg(*[count_column(n, F.col("base")) for n in ACGT])
 
 
+def _as_pieces(observed: DataFrame) -> DataFrame:
+    if "data" in observed.columns:
+        return observed
+    tile, code = text.tile_of(F.col("pos")), F.unhex(F.concat(F.lit("0"), F.translate("base", "ACGTN", "01234")))
+    kind = F.when(F.col("trstrand") == "-", 1).otherwise(0).cast("tinyint")
+    return observed.where("base <> 'N'").select("contig", tile.alias("tile"), kind.alias("kind"), (F.col("pos") - tile * text.TILE).cast("int").alias("at"), code.alias("data"))
+
+
+def positions(observed: DataFrame, design: str = "u", tiles: DataFrame | None = None, ranges: DataFrame | None = None, also: bool = False) -> DataFrame:
+    """(contig, pos, refnuc, counts) of the positions that ``observed`` (``pieces`` or ``bases``) covers, one row a position.
+
+    Counts are A to T, and of both strands side by side (``+A`` to ``-T``) where the design tells them. There is no refnuc without
+    ``tiles``; with them only positions that the genome holds come. With ``ranges`` (contig, start_, end_) all of their
+    positions come, covered or not, instead of the others, or with ``also`` beside them, marked by ``forced``. Tiles
+    and ranges are counted where the bases are, in one exchange.
+    """
+    rows = _as_pieces(observed)
+    other = lambda df, kind, at, data: df.select("contig", "tile", F.lit(kind).cast("tinyint").alias("kind"), at.cast("int").alias("at"), data.alias("data"))
+    if ranges is not None:
+        parts = by_tile(ranges.select("contig", "start_", "end_"), "start_", "end_")
+        size = F.unhex(F.lpad(F.hex(F.col("end_") - F.col("start_")), 8, "0"))
+        rows = rows.unionByName(other(parts, kernels.RANGE, F.col("start_") - F.col("tile") * text.TILE, size))
+        if not also:
+            tiles = tiles.join(parts.select("contig", "tile").distinct(), ["contig", "tile"], "left_semi")
+    if tiles is not None:
+        rows = rows.unionByName(other(tiles, kernels.GENOME, F.lit(0), F.col("seq").cast("binary")))
+    strands, genome, how = (1 if design == "u" else 2), tiles is not None, "" if ranges is None else "also" if also else "only"
+    names = [f"{s}{n}" for s in ([""] if strands == 1 else "+-") for n in ACGT]
+    schema = ", ".join(["contig string", "pos bigint", *["refnuc string"] * genome, *[f"`{n}` bigint" for n in names], *["forced boolean"] * also])
+    sorted_ = rows.repartition("contig", "tile").sortWithinPartitions("contig", "tile")
+    return sorted_.mapInArrow(lambda batches: kernels.counted(batches, strands, genome, how), schema)
+
+
 def pileup(observed: DataFrame) -> DataFrame:
-    return count(observed, "contig", "pos")
+    return positions(observed)
 
 
-def stranded_pileup(observed: DataFrame) -> DataFrame:
-    return count(observed, "contig", "pos", "trstrand")
+def stranded_pileup(observed: DataFrame, design: str = "s") -> DataFrame:
+    """A row per position and strand that has counts."""
+    if "data" not in observed.columns:
+        return count(observed, "contig", "pos", "trstrand")
+    if design == "u":
+        return positions(observed).withColumn("trstrand", F.lit("."))
+    return by_strand(positions(observed, design)).where(" + ".join(ACGT) + " > 0")
 
 
-def by_strand(observed: DataFrame) -> DataFrame:
-    """A row per position with the counts of both strands side by side (``+A`` to ``-T``), in one aggregation."""
-    seen = observed.where(F.col("base") != "N")
-    sums = [F.count_if((F.col("trstrand") == s) & (F.col("base") == n)).alias(f"{s}{n}") for s in "+-" for n in ACGT]
-    return seen.groupBy("contig", "pos").agg(*sums)
+def by_strand(places: DataFrame) -> DataFrame:
+    """``places`` with counts of both strands side by side: a row with A to T for each strand."""
+    own = [c for c in places.columns if c[1:] not in ACGT or c[:1] not in "+-"]
+    strands = F.array(*[F.struct(F.lit(s).alias("trstrand"), *[F.col(f"`{s}{n}`").alias(n) for n in ACGT]) for s in "+-"])
+    return places.select(*own, F.explode(strands).alias("s")).select(*own, "s.*")
 
 
 def mapped_reads(observed: DataFrame) -> DataFrame:

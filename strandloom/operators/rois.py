@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.nucleotides import ACGT
 from ..functions.strands import deduce
@@ -64,14 +65,26 @@ def matrix(cut: DataFrame, tiles: DataFrame, observed: DataFrame, design: str =
     """(roi_id, trstrand, heterozygous, n_a..n_t, a_to_a..t_to_t) of every region and strand of the design.
 
     Driven from the genome's side: uncovered positions count in n_x too. Positions whose prediction is N
-    are left out, those with two alleles only counted. Only the tiles that regions touch are cut to positions.
+    are left out, those with two alleles only counted. Every position comes once, however many regions hold it: sums run over a tile's
+    positions, and what a region has in a tile is the difference between its two ends.
     """
-    places = text.positions_in(tiles, pieces_of(cut), "p_start", "p_end")
-    inside = sites.predicted(refpred.filled(places, sites.counts_of(observed, design)), design, predictor)
-    hom = F.col("n2").isNull()
-    sums = [F.count_if(hom & (F.col("n1") == a)).alias(n) for a, n in zip(ACGT, COUNTS)]
-    cells = [F.coalesce(F.sum(F.when(hom & (F.col("n1") == a), F.col(b))), F.lit(0).cast("bigint")).alias(cell(a, b)) for a in ACGT for b in ACGT]
-    return inside.groupBy("roi_id", "trstrand").agg(F.count_if(~hom).alias("heterozygous"), *sums, *cells)
+    parts = pileup.by_tile(pieces_of(cut), "p_start", "p_end")
+    places = pileup.positions(observed, design, tiles, pieces_of(cut).withColumnsRenamed({"p_start": "start_", "p_end": "end_"}))
+    rows = sites.predicted(places, design, predictor).select("contig", text.tile_of(F.col("pos")).alias("tile"), "trstrand", "pos", F.lit(1).alias("after"), "n1", "n2", *ACGT)
+    ends = F.array(F.struct(F.col("p_start").alias("pos"), F.lit(-1).alias("sign")), F.struct(F.col("p_end").alias("pos"), F.lit(1).alias("sign")))
+    borders = parts.select("contig", "tile", F.array(*map(F.lit, _strands(design))).alias("strands"), "roi_id", F.explode(ends).alias("b"))
+    borders = borders.select("contig", "tile", F.explode("strands").alias("trstrand"), "b.pos", F.lit(0).alias("after"), "roi_id", "b.sign")
+    # A tile's positions and borders come in order; narrow rows are sorted, and sums are widened after that.
+    by = ["contig", "tile", "trstrand"]
+    ordered = rows.unionByName(borders, allowMissingColumns=True).repartition(*by).sortWithinPartitions(*by, "pos", "after")
+    place, hom = F.col("after") == 1, F.col("n2").isNull()
+    sums = {"places": F.count_if(place), "heterozygous": F.count_if(place & ~hom)}
+    sums |= {n: F.count_if(place & hom & (F.col("n1") == a)) for a, n in zip(ACGT, COUNTS)}
+    sums |= {cell(a, b): F.sum(F.when(place & hom & (F.col("n1") == a), F.col(b)).otherwise(0)) for a in ACGT for b in ACGT}
+    so_far = Window.partitionBy(*by).orderBy("pos", "after").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = ordered.select("roi_id", "trstrand", "sign", *[v.over(so_far).alias(n) for n, v in sums.items()]).where("roi_id is not null")
+    found = known.groupBy("roi_id", "trstrand").agg(*[F.sum(F.col("sign") * F.col(n)).alias(n) for n in sums])
+    return found.where("places > 0").drop("places")
 
 
 def roi_table(
@@ -92,7 +105,7 @@ def roi_table(
     if exclude is not None:  # positions, reads, coverage and the table all need the pieces: they are cut once
         cut = files.stored(cut, files.fresh(rois.sparkSession, "regions"))
     near = pieces_of(cut).select("contig", F.col("p_start").alias("r_start"), F.col("p_end").alias("r_end"))
-    observed = pileup.bases(reads, design, **bases, within=near)
+    observed = pileup.pieces(reads, design, **bases, within=near)
     rows = cut.withColumn("trstrand", F.explode(F.array(*map(F.lit, _strands(design)))))
     full = rows.join(matrix(cut, tiles, observed, design, predictor), ["roi_id", "trstrand"], "left")
     if covered:

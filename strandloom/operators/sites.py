@@ -8,34 +8,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nucleotides import ACGT, symbol
-from ..sources import text
 from . import filters, intervals, pileup, refpred, strand
 
 Predictor = Callable[[DataFrame], DataFrame]
 COLUMNS = ["contig", "pos", "trstrand", "refnuc", "prednuc", *ACGT]
 
 
-def counts_of(observed: DataFrame, design: str) -> DataFrame:
-    """Counts by (contig, pos): one row a position, with both strands side by side where the design tells them."""
-    return pileup.pileup(observed) if design == "u" else pileup.by_strand(observed)
-
-
 def predicted(places: DataFrame, design: str, predictor: Predictor) -> DataFrame:
-    """``places`` (contig, pos, refnuc and what ``counts_of`` gives) with n1, n2, and a row with counts for every strand of the design.
+    """``places`` (as ``pileup.positions`` gives them) with n1, n2, and a row with counts for every strand of the design.
 
     The reference is predicted once per position, from all strands together.
     """
     if design == "u":
         return predictor(places).withColumn("trstrand", F.lit("."))
-    own = [c for c in places.columns if c[1:] not in ACGT or c[:1] not in "+-"]
-    pooled = places.withColumns({n: F.col(f"+{n}") + F.col(f"-{n}") for n in ACGT})
-    strands = F.array(*[F.struct(F.lit(s).alias("trstrand"), *[F.col(f"{s}{n}").alias(n) for n in ACGT]) for s in "+-"])
-    return predictor(pooled).select(*own, "n1", "n2", F.explode(strands).alias("s")).select(*own, "n1", "n2", "s.*")
+    pooled = places.withColumns({n: F.col(f"`+{n}`") + F.col(f"`-{n}`") for n in ACGT})
+    return pileup.by_strand(predictor(pooled).drop(*ACGT))
 
 
-def site_table(tiles: DataFrame, observed: DataFrame, design: str = "u", predictor: Predictor = refpred.autoref) -> DataFrame:
-    """(contig, pos, refnuc, n1, n2, trstrand, counts) of every covered position and every strand of the design; a strand without counts has zeros."""
-    return predicted(refpred.with_counts(tiles, counts_of(observed, design)), design, predictor)
+def site_table(
+    tiles: DataFrame, observed: DataFrame, design: str = "u", predictor: Predictor = refpred.autoref, force: DataFrame | None = None, reach: Callable[[DataFrame], DataFrame] = lambda at: at
+) -> DataFrame:
+    """(contig, pos, refnuc, n1, n2, trstrand, counts) of every covered position and every strand of the design; a strand without counts has zeros.
+
+    With ``force`` all its positions come too, covered or not, and ``forced`` marks them. ``reach`` takes those positions that the analysis looks at.
+    """
+    places = pileup.positions(observed, design, tiles, force, force is not None)
+    return predicted(reach(places), design, predictor)
 
 
 def restrict(sites: DataFrame, include: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
@@ -50,20 +48,17 @@ def restrict(sites: DataFrame, include: DataFrame | None = None, exclude: DataFr
     return sites
 
 
-def forced(
-    tiles: DataFrame, observed: DataFrame, force: DataFrame, design: str = "u", predictor: Predictor = refpred.autoref, reach: Callable[[DataFrame], DataFrame] = lambda at: at
-) -> DataFrame:
-    """All positions of ``force``, on every strand of the design, covered or not, as ``site_table`` gives them.
-
-    ``reach`` takes from the forced positions those that the analysis doesn't look at.
-    """
-    places = reach(text.positions_in(tiles, force.select("contig", "start_", "end_")).distinct())
-    return predicted(refpred.filled(places, counts_of(observed, design)), design, predictor)
+def forced(tiles: DataFrame, observed: DataFrame, force: DataFrame, design: str = "u", predictor: Predictor = refpred.autoref) -> DataFrame:
+    """All positions of ``force``, on every strand of the design, covered or not, as ``site_table`` gives them."""
+    return predicted(pileup.positions(observed, design, tiles, force), design, predictor)
 
 
 def keep(sites: DataFrame, must: DataFrame | None = None, **thresholds) -> DataFrame:
-    """Sites that pass the thresholds, and all of ``must``."""
-    passing = sites.where(filters.site_threshold(**thresholds))
+    """Sites that pass the thresholds, those that are marked as forced, and all of ``must``."""
+    passing = filters.site_threshold(**thresholds)
+    if "forced" in sites.columns:
+        return sites.where(F.col("forced") | passing).drop("forced")
+    passing = sites.where(passing)
     if must is None:
         return passing
     return passing.join(must.select("contig", "pos").distinct(), ["contig", "pos"], "left_anti").unionByName(must.select(*sites.columns))

@@ -60,11 +60,10 @@ def site_analysis(
     """The site table in its output form. Thresholds come before strand prediction: they drop most rows."""
     o = options or Options()
     near = None if include is None else include.select("contig", F.col("start_").alias("r_start"), F.col("end_").alias("r_end"))
-    observed = pileup.bases(o.passing(reads), o.design, **o.bases(), within=near)
+    observed = pileup.pieces(o.passing(reads), o.design, **o.bases(), within=near)
     reach = lambda at: sites.restrict(at, include, exclude)
-    found = sites.site_table(tiles, reach(observed), o.design, o.predictor(variants))
-    must = None if force is None else sites.forced(tiles, observed, force, o.design, o.predictor(variants), reach)
-    kept = sites.keep(found, must, **o.thresholds)
+    found = sites.site_table(tiles, observed, o.design, o.predictor(variants), force, reach)
+    kept = sites.keep(found, **o.thresholds)
     return sites.output(sites.stranded(kept, None if gff is None else strand.features(gff, o.utr3), o.design, **o.editing()))
 
 

@@ -36,13 +36,17 @@ def _bases(x: Fixtures, design: str = "u") -> DataFrame:
     return pileup.bases(_passed(x), design)
 
 
+def _pieces(x: Fixtures, design: str = "u") -> DataFrame:
+    return pileup.pieces(_passed(x), design)
+
+
 def _counted(x: Fixtures) -> DataFrame:
     """Covered positions with reference base and counts."""
-    return refpred.with_counts(x.tiles(), pileup.pileup(_bases(x)))
+    return pileup.positions(_pieces(x), tiles=x.tiles())
 
 
 def _sites(x: Fixtures) -> DataFrame:
-    return sites.site_table(x.tiles(), _bases(x))
+    return sites.site_table(x.tiles(), _pieces(x))
 
 
 def _force_rois(x: Fixtures) -> DataFrame:
@@ -55,9 +59,9 @@ def _table(x: Fixtures, exclude: bool = False) -> DataFrame:
 
 
 def _near(x: Fixtures) -> DataFrame:
-    """Bases near the regions only, as the region table counts them."""
+    """What reads have near the regions only, as the region table counts it."""
     ranges = x.rois().select("contig", F.col("start_").alias("r_start"), F.col("end_").alias("r_end"))
-    return pileup.bases(_passed(x), within=ranges)
+    return pileup.pieces(_passed(x), within=ranges)
 
 
 def _lower(df: DataFrame) -> DataFrame:
@@ -75,7 +79,7 @@ def scan_reads(x):
 def pool_replicates(x):
     reads = _passed(x)
     again = reads.withColumn("read_id", -F.col("read_id") - 1)
-    return _lower(pileup.pileup(pileup.bases(reads.unionByName(again))))
+    return _lower(pileup.pileup(pileup.pieces(reads.unionByName(again))))
 
 
 @query
@@ -234,7 +238,7 @@ def roi_read_coverage(x):
 
 @query
 def join_reference(x):
-    return _lower(refpred.filled(x.genome(), pileup.pileup(_bases(x))))
+    return _lower(refpred.filled(x.genome(), pileup.pileup(_pieces(x))))
 
 
 @query
@@ -261,18 +265,18 @@ def roi_force(x):
 
 @query
 def site_force(x):
-    found = sites.keep(_sites(x), sites.forced(x.tiles(), _bases(x), x.exclude()))
+    found = sites.keep(_sites(x), sites.forced(x.tiles(), _pieces(x), x.exclude()))
     return _lower(found.select("contig", "pos", "trstrand", "refnuc", "n1", *ACGT))
 
 
 @query
 def pileup_unstranded(x):
-    return _lower(pileup.pileup(_bases(x)))
+    return _lower(pileup.pileup(_pieces(x)))
 
 
 @query
 def pileup_stranded(x):
-    return _lower(pileup.stranded_pileup(_bases(x, "s/f")))
+    return _lower(pileup.stranded_pileup(_pieces(x, "s/f"), "s/f"))
 
 
 @query

@@ -273,3 +273,57 @@ def test_output_columns(spark):
     assert rois.HEADER[:12] == ["contig", "start", "end", "strand", "name", "trstrand", "coverage", "nucmasked", "heterozygous", "#A", "A->A", "A->C"] and len(rois.HEADER) == 29
     assert sites.COLUMNS == ["contig", "pos", "trstrand", "refnuc", "prednuc", "A", "C", "G", "T"]
     assert len(index.PAIRS) == 16
+
+
+def mixed_reads(n, seed, contigs="cd"):
+    """Reads with introns, gaps of low quality, clips and letters of all kinds; some cross tiles, one place has very many."""
+    import random
+
+    rnd = random.Random(seed)
+    rows = []
+    for k in range(n):
+        cigar, size = rnd.choice([("40M", 40), ("10M5N30M", 40), ("3S30M2I5M", 40), ("12M700N28M", 40), ("20=1X1500N9M2D10M", 40), ("60M", 50), ("*", 40), ("5H38M", 40)])
+        seq = "".join(rnd.choices("ACGTacgNR", k=size))
+        qual = "".join(rnd.choices("!5I", weights=[2, 1, 6], k=rnd.choice([size, size, size, size - 7])))
+        rows.append((k, rnd.choice(contigs), rnd.choice([1000, rnd.randrange(900, 3200)]), rnd.choice([0, 16, 64, 83, 99, 128, 147]), 60, cigar, seq, qual))
+    return rows
+
+
+@pytest.mark.parametrize("dense", [False, True])
+@pytest.mark.parametrize("options", [{}, {"trim5": 3, "trim3": 5, "phred": 0}])
+def test_counts_of_pieces_are_counts_of_bases(spark, options, dense):
+    """Also where a slice's counts of a tile take the place of its pieces; with the genome, ranges and both."""
+    from strandloom.operators import kernels
+
+    rows = mixed_reads(300, 7) + [(1000 + k, "c", 2040, 16 * (k % 2), 60, "40M", "ACGTA" * 8, "I" * 40) for k in range(2000 if dense else 3)]
+    assert not dense or 2000 * 8 * 2 < kernels.DENSE < 2000 * 24
+    reads = spark.createDataFrame(rows, READ)
+    for design in ("u", "s/f"):
+        want = sorted(tuple(r) for r in pileup.count(pileup.bases(reads, design, **options), "contig", "pos", "trstrand").collect())
+        got = sorted((r["contig"], r["pos"], r["trstrand"], r["A"], r["C"], r["G"], r["T"]) for r in pileup.stranded_pileup(pileup.pieces(reads, design, **options), design).collect())
+        assert got == want and len(got) > 1500
+    import random
+
+    letters = "".join(random.Random(1).choices("ACGTNacgtR", k=3000))
+    tiles = spark.createDataFrame([("c", k, letters[k * 1024 : (k + 1) * 1024]) for k in range(3)], "contig string, tile long, seq string")
+    counts = {(r["contig"], r["pos"]): tuple(r[n] for n in "ACGT") for r in pileup.pileup(pileup.pieces(reads, **options)).collect()}
+    base = {p: x.upper() if x.upper() in "ACGT" else "N" for p, x in enumerate(letters)}
+    row = lambda p: ("c", p, base[p], *counts.get(("c", p), (0, 0, 0, 0)))
+    covered = {p for c, p in counts if c == "c" and p in base}
+    spans = [(-5, 3), (1000, 1050), (1020, 2100), (1020, 1021), (2990, 5000), (7, 7)]
+    inside = {p for s, e in spans for p in range(s, e) if p in base}
+    ranges = spark.createDataFrame([("c", *x) for x in spans] + [("d", 0, 9)], "contig string, start_ long, end_ long")
+    seen = pileup.pieces(reads, **options)
+    assert sorted(tuple(r) for r in pileup.positions(seen, tiles=tiles).collect()) == [row(p) for p in sorted(covered)]
+    assert sorted(tuple(r) for r in pileup.positions(seen, tiles=tiles, ranges=ranges).collect()) == [row(p) for p in sorted(inside)]
+    also = sorted(tuple(r) for r in pileup.positions(seen, tiles=tiles, ranges=ranges, also=True).collect())
+    assert also == [(*row(p), p in inside) for p in sorted(covered | inside)]
+    near = pileup.pieces(reads, **options, within=ranges.withColumnsRenamed({"start_": "r_start", "end_": "r_end"}))
+    assert sorted(tuple(r) for r in pileup.positions(near, tiles=tiles, ranges=ranges).collect()) == [row(p) for p in sorted(inside)]
+
+
+def test_no_hash_table_of_positions(spark):
+    """Counts need no aggregation in Spark: a task's memory doesn't grow with the positions that its reads cover."""
+    reads = spark.createDataFrame(mixed_reads(20, 1), READ)
+    plan = pileup.pileup(pileup.pieces(reads))._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("MapInArrow") == 2
