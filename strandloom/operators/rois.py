@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,26 +34,80 @@ def _strands(design: str) -> list[str]:
     return ["."] if design == "u" else ["+", "-"]
 
 
+#: Lengths at which regions are told apart by ``read_coverage``, beside the shortest.
+LENGTHS = (8, 64, 1024)
+
+
 def read_coverage(cut: DataFrame, reads: DataFrame, design: str = "u", **bases) -> DataFrame:
     """(roi_id, trstrand, coverage): reads with a matched base in a region's range, masked gaps included.
 
+    A read misses no region between its ends that is longer than the stretches between its runs: such pairs are counted by the reads'
+    ends (``_spanning``). The others, as a read with an intron or a region of a few bases, meet one by one (``_meeting``). A region's
+    ``class`` is the number of lengths that it reaches, but one; a read's is the number that its longest gap reaches, and pairs are
+    of the first kind where the read's isn't the greater.
+    """
+    length = F.col("post_end") - F.col("post_start")
+    least = cut.select(F.min(length)).first()[0] or 1
+    lengths = [least, *(n for n in LENGTHS if n > least)]
+    near = pileup.touched(cut, "post_start", "post_end")
+    reached = lambda n: sum(((n >= k).cast("int") for k in lengths[1:]), (n >= lengths[0]).cast("int"))
+    runs = pileup.matched_runs(reads, **bases, within=near).select("contig", "runs", deduce(F.col("flags"), design).alias("trstrand"), reached(F.col("gap")).alias("class"))
+    ranges = cut.select("roi_id", "contig", "post_start", "post_end", (reached(length) - 1).alias("class"))
+    met = _spanning(ranges, runs.where(F.col("class") < len(lengths)), design, len(lengths)).unionByName(_meeting(ranges, runs.where("class > 0")))
+    return met.groupBy("roi_id", "trstrand").agg(F.sum("reads").alias("coverage")).where("coverage > 0")
+
+
+def _spanning(ranges: DataFrame, runs: DataFrame, design: str, classes: int) -> DataFrame:
+    """(roi_id, trstrand, reads): parts whose sum is the number of reads of no greater class between whose ends a base of the region's range lies.
+
+    These are the reads that begin before the range's end, but for those that end before its start. Tile by tile: those that begin in a
+    tile before the range's end there, and where the range starts those that come from the tile before and haven't ended.
+    """
+    first, last = F.col("runs")[0]["start_"], F.element_at("runs", -1)["end_"]
+    at, upto = text.tile_of(first), text.tile_of(last - 1)
+
+    def event(tile: Column, pos: Column, order: int, began: int, inside: int) -> Column:
+        """Of equal places the order is: who enters or has ended, the regions' borders, who begins."""
+        return F.struct(tile.alias("tile"), pos.alias("pos"), F.lit(order).alias("order"), F.lit(began).alias("began"), F.lit(inside).alias("inside"))
+
+    entered = F.transform(F.when(upto > at, F.sequence(at + 1, upto)).otherwise(F.array().cast("array<bigint>")), lambda t: event(t, t * text.TILE, 0, 0, 1))
+    moved = runs.select("contig", "trstrand", "class", F.inline(F.concat(F.array(event(at, first, 2, 1, 0), event(upto, last, 0, 0, -1)), entered)))
+    parts = pileup.by_tile(ranges.withColumn("from", F.col("post_start")), "post_start", "post_end")
+    ends = F.array(F.struct(F.col("post_end").alias("pos"), F.lit(False).alias("opens")))
+    start = F.struct(F.col("post_start").alias("pos"), F.lit(True).alias("opens"))
+    either = F.when(F.col("post_start") == F.col("from"), F.array_append(ends, start)).otherwise(ends)
+    borders = parts.select("contig", "tile", "class", "roi_id", F.array(*map(F.lit, _strands(design))).alias("strands"), F.explode(either).alias("b"))
+    borders = borders.select("contig", "tile", F.explode("strands").alias("trstrand"), "class", "b.pos", F.lit(1).alias("order"), "roi_id", "b.opens")
+    by = ["contig", "tile", "trstrand"]
+    so_far = Window.partitionBy(*by).orderBy("pos", "order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = {f"{n}{k}": F.sum(F.when((F.col("order") != 1) & (F.col("class") == k), F.col(n)).otherwise(0)) for n in ("began", "inside") for k in range(classes)}
+    seen = moved.unionByName(borders, allowMissingColumns=True).withColumns({n: v.over(so_far) for n, v in sums.items()}).where("roi_id is not null")
+    total = lambda n: sum((F.when(F.col("class") >= k, F.col(f"{n}{k}")).otherwise(0) for k in range(1, classes)), F.col(f"{n}0"))
+    return seen.select("roi_id", "trstrand", F.when(F.col("opens"), total("inside")).otherwise(total("began")).alias("reads"))
+
+
+def _meeting(cut: DataFrame, runs: DataFrame) -> DataFrame:
+    """(roi_id, trstrand, reads): 1 for each read and region of a lower class that share a base.
+
     A read keeps its runs in one row, and a read and a region meet once, in the bucket of the first base that they share: pairs
     need not be made distinct, and only partial counts move after the join.
     """
     width = intervals.BUCKET
     bucket = lambda pos: F.floor(pos / F.lit(width)).cast("bigint")
     touched = F.flatten(F.transform("runs", lambda r: F.sequence(bucket(r["start_"]), bucket(r["end_"] - 1))))
-    runs = pileup.matched_runs(reads, **bases).select("contig", "runs", deduce(F.col("flags"), design).alias("trstrand"), F.explode(F.array_distinct(touched)).alias("bucket"))
-    ranges = intervals.bucketed(cut.select("roi_id", F.col("contig").alias("r_contig"), "post_start", "post_end"), "post_start", "post_end").withColumnRenamed("bucket", "r_bucket")
+    spread = runs.withColumn("class", F.explode(F.sequence(F.lit(0), F.col("class") - 1))).select("contig", "runs", "trstrand", "class", F.explode(F.array_distinct(touched)).alias("bucket"))
+    names = {"contig": "r_contig", "class": "r_class", "bucket": "r_bucket"}
+    ranges = intervals.bucketed(cut.select("roi_id", "contig", "class", "post_start", "post_end"), "post_start", "post_end").withColumnsRenamed(names)
     first = F.try_element_at(F.filter("runs", lambda r: (r["start_"] < F.col("post_end")) & (F.col("post_start") < r["end_"])), F.lit(1))["start_"]
     on = (
         (F.col("contig") == F.col("r_contig"))
         & (F.col("bucket") == F.col("r_bucket"))
+        & (F.col("class") == F.col("r_class"))
         & (F.col("runs")[0]["start_"] < F.col("post_end"))
         & (F.col("post_start") < F.element_at("runs", -1)["end_"])
         & (F.col("bucket") == bucket(F.greatest(first, F.when(first.isNotNull(), F.col("post_start")))))
     )
-    return runs.join(ranges, on).groupBy("roi_id", "trstrand").agg(F.count("*").alias("coverage"))
+    return spread.join(ranges, on).select("roi_id", "trstrand", F.lit(1).cast("bigint").alias("reads"))
 
 
 def pieces_of(cut: DataFrame) -> DataFrame:

@@ -327,3 +327,38 @@ def test_no_hash_table_of_positions(spark):
     reads = spark.createDataFrame(mixed_reads(20, 1), READ)
     plan = pileup.pileup(pileup.pieces(reads))._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and plan.count("MapInArrow") == 2
+
+
+@pytest.mark.parametrize("shortest", [1, 9, 70, 600, 1100])
+@pytest.mark.parametrize("design", ["u", "f/s"])
+def test_region_coverage_and_matrix_by_brute_force(spark, design, shortest):
+    """Regions of one base to several tiles, with introns and gaps that hold some of them whole."""
+    import random
+
+    rnd = random.Random(shortest)
+    rows = mixed_reads(250, 3)
+    reads = spark.createDataFrame(rows, READ)
+    letters = "".join(rnd.choices("ACGTN", k=4200))
+    tiles = spark.createDataFrame([("c", k, letters[k * 1024 : (k + 1) * 1024]) for k in range(5)], "contig string, tile long, seq string")
+    regions = [(k, rnd.choice("cde"), s := rnd.choice([0, 1000, 1024, rnd.randrange(900, 3300)]), s + rnd.choice([shortest, shortest, shortest + rnd.randrange(1500)]), "n", ".") for k in range(60)]
+    frame = spark.createDataFrame(regions, "roi_id long, contig string, start_ long, end_ long, name string, strand string")
+    runs = [r for r in pileup.matched_blocks(reads).collect()]
+    of = {r[0]: one_strand(design, r[3]) for r in rows}
+    found = {(r["roi_id"], r["trstrand"]): r for r in rois.roi_table(frame, tiles, reads, None, design, refpred.assembly_only).collect()}
+    single = [(r["contig"], r["pos"], r["base"], r["trstrand"]) for r in pileup.bases(reads, design).collect()]
+    assert len(found) == 60 * (1 if design == "u" else 2)
+    for (k, s), row in found.items():
+        _, contig, start, end, *_ = regions[k]
+        assert row["coverage"] == len({r["read_id"] for r in runs if r["contig"] == contig and r["start_"] < end and start < r["end_"] and of[r["read_id"]] == s})
+        if contig != "c":
+            assert row["n_a"] is None
+            continue
+        assert [row[f"n_{n.lower()}"] for n in "ACGT"] == [letters[start:end].count(n) for n in "ACGT"]
+        for a in "ACGT":
+            for b in "ACGT":
+                assert row[f"{a}_to_{b}".lower()] == sum(c == contig and start <= p < min(end, 4200) and letters[p] == a and x == b and t == s for c, p, x, t in single)
+
+
+def one_strand(design, flags):
+    own, other = "-+" if flags & 16 else "+-"
+    return "." if design == "u" else own if bool(flags & 64) == (design == "s/f") else other
