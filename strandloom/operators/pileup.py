@@ -90,7 +90,7 @@ def touched(ranges: DataFrame, start: str, end: str) -> kernels.Touched:
     tiles = by_tile(ranges.select("contig", start, end), start, end).select("contig", "tile")
     words = tiles.groupBy("contig", F.shiftright("tile", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(tile & 63 as int))")).alias("bits"))
     found: dict[str, list[tuple[int, int]]] = {}
-    for r in words.toLocalIterator():
+    for r in words.collect():
         found.setdefault(r["contig"], []).append((r["word"], r["bits"]))
     out = {}
     for contig, pairs in found.items():
