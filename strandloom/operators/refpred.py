@@ -6,12 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nucleotides import ACGT, coverage, frequent, most_frequent
-from ..sources import text
-
-
-def with_counts(tiles: DataFrame, counts: DataFrame) -> DataFrame:
-    """Covered positions with reference base and counts. The genome moves as tiles, and only counted positions meet them."""
-    return text.with_base(counts, tiles)
 
 
 def filled(places: DataFrame, counts: DataFrame) -> DataFrame:

@@ -91,34 +91,6 @@ def tile_of(pos: Column) -> Column:
     return F.shiftright(pos, TILE.bit_length() - 1)
 
 
-def with_base(rows: DataFrame, tiles: DataFrame) -> DataFrame:
-    """``rows`` (contig, pos, ...) with refnuc; those that the genome doesn't hold are gone.
-
-    The genome moves as tiles, never as positions.
-    """
-    at = (F.col("pos") % TILE + 1).cast("int")
-    keyed = rows.withColumn("tile", tile_of(F.col("pos")))
-    joined = keyed.join(tiles, ["contig", "tile"]).withColumn("base", F.substring("seq", at, F.lit(1)))
-    return joined.where("base <> ''").withColumn("refnuc", letter(F.col("base"))).drop("tile", "seq", "base")
-
-
-def positions_in(tiles: DataFrame, ranges: DataFrame, start: str = "start_", end: str = "end_") -> DataFrame:
-    """Each base of each of ``ranges`` (contig, start, end and further columns, which stay): with pos and refnuc.
-
-    Only the tiles that ranges touch are cut to letters.
-    """
-    rest = [c for c in ranges.columns if c not in ("contig", start, end)]
-    touched = F.sequence(tile_of(F.col(start)), tile_of(F.col(end) - 1))
-    spread = ranges.where((F.col(end) > F.col(start)) & (F.col(end) > 0)).withColumn(start, F.greatest(F.col(start), F.lit(0)))
-    spread = spread.select("contig", *rest, F.col(start).cast("bigint").alias("s"), F.col(end).cast("bigint").alias("e"), F.explode(touched).alias("tile"))
-    first = F.greatest(F.col("s") - F.col("tile") * TILE, F.lit(0))
-    last = F.least(F.col("e") - F.col("tile") * TILE, F.lit(TILE))
-    part = F.substring("seq", first.cast("int") + 1, (last - first).cast("int"))
-    cut = spread.join(tiles, ["contig", "tile"]).select("contig", *rest, (F.col("tile") * TILE + first).alias("at"), part.alias("part")).where("part <> ''")
-    cells = cut.select("contig", *rest, "at", F.posexplode(F.split("part", "")).alias("k", "base"))
-    return cells.select("contig", *rest, (F.col("at") + F.col("k")).alias("pos"), letter(F.col("base")).alias("refnuc"))
-
-
 def fetch(tiles: DataFrame, ranges: DataFrame, key: str, start: str = "start_", end: str = "end_") -> DataFrame:
     """(key, seq): the bases of each range, from the tiles that it touches."""
     touched = F.sequence(F.floor(F.col(start) / TILE).cast("bigint"), F.floor((F.col(end) - 1) / TILE).cast("bigint"))
