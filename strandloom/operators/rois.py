@@ -24,8 +24,8 @@ def regions(rois: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
     cut = intervals.whole_pieces(rois) if exclude is None else intervals.subtract(rois, exclude, "roi_id")
     kept = F.aggregate("pieces", F.lit(0).cast("bigint"), lambda total, p: total + p["end_"] - p["start_"])
     return (
-        cut.withColumn("post_start", F.element_at("pieces", 1)["start_"])
-        .withColumn("post_end", F.element_at("pieces", -1)["end_"])
+        cut.withColumn("post_start", F.try_element_at("pieces", F.lit(1))["start_"])
+        .withColumn("post_end", F.try_element_at("pieces", F.lit(-1))["end_"])
         .withColumn("nucmasked", F.col("end_") - F.col("start_") - kept)
     )
 
